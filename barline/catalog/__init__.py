@@ -8,7 +8,7 @@ FLAGSHIP = "momentum_backtest"
 
 
 def _load() -> None:
-    from . import core  # noqa: F401
+    from . import core, trading  # noqa: F401
 
 
 def queries() -> dict:

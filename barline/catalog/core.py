@@ -294,10 +294,6 @@ def _raw(spark, sf):
     return feat.price_features(feat.with_return(td.bars(spark, sf)))
 
 
-def _raw_query(name, floats):
-    query(name, "bars_raw", "SELECT * FROM bars_raw", keys="symbol", ints="pos", floats=floats)(_raw)
-
-
 query("momentum", "bars_raw", "SELECT * FROM bars_raw", keys="symbol", ints="pos",
       floats="mom_5 mom_20 mom_63 mom_252")(lambda spark, sf: feat.momentum(feat.with_return(td.bars(spark, sf))))
 query("ewm_volatility", "bars_raw", "SELECT * FROM bars_raw", keys="symbol", ints="pos",
@@ -328,7 +324,7 @@ for _name, _cols in {
     "vix_term_slope": "vix_term vix_slope", "vix_curvature": "vix_curvature", "vix6m_slope": "vix6m_slope",
     "cross_correlation": "corr_tlt_63 corr_gld_63",
 }.items():
-    query(_name, "cross", "SELECT * FROM cross", keys="symbol", ints="pos", floats=_cols)(_cross)
+    query(_name, "crossed", "SELECT * FROM crossed", keys="symbol", ints="pos", floats=_cols)(_cross)
 
 
 @query("macro_spreads", "aligned", f"""
@@ -376,7 +372,7 @@ def mixture_inputs(spark, sf):
 
 
 @query("rolling_minmax_norm", "bars", f"""
-SELECT symbol, pos, coalesce(least(greatest((close - lo) / nullif(hi - lo, 0), 0), 1), 0.5) AS normed FROM (
+SELECT symbol, pos, CASE WHEN hi > lo THEN least(greatest((close - lo) / (hi - lo), 0), 1) ELSE 0.5 END AS normed FROM (
  SELECT symbol, pos, close, {roll('min', 'close', 252, 20)} AS lo, {roll('max', 'close', 252, 20)} AS hi FROM bars)""",
        keys="symbol", ints="pos", floats="normed")
 def rolling_minmax_norm(spark, sf):

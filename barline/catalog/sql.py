@@ -140,7 +140,7 @@ def logfloor(x: str) -> str:
     return f"CASE WHEN {x} IS NOT NULL THEN ln(greatest({x}, 1e-9)) END"
 
 
-cte("cross", "aligned", f"""
+cte("crossed", "aligned", f"""
 SELECT *, {logfloor('vix')} AS vix_log, {logfloor('skew')} AS skew_log, {logfloor('vvix')} AS vvix_log,
   vix - lag(vix, 5) OVER {W} AS vix_change, vix / nullif(vix3m, 0) AS vix_term, vix3m - vix AS vix_slope,
   2 * vix - vix9d - vix3m AS vix_curvature, vix6m - vix AS vix6m_slope,
@@ -156,14 +156,14 @@ _all = S.FEATURES_V2
 _lag2 = ", ".join(f"lag({c}) OVER {W} AS {c}" for c in _all)
 _dead = ", ".join(f"CASE WHEN count({c}) OVER (PARTITION BY symbol) = 0 THEN 0.0 ELSE {c} END AS {c}"
                   for c in S.FEATURES_V2_ADD)
-cte("f2", "bars_raw cross yz", f"""
+cte("f2", "bars_raw crossed yz", f"""
 SELECT symbol, row_number() OVER {W} - 1 AS pos, ts, close, r, {', '.join(_all)} FROM (
  SELECT symbol, pos, ts, close, r, {', '.join(S.FEATURES_V1)}, {_dead} FROM (
   SELECT symbol, pos, ts, close, r, {_lag2} FROM (
    SELECT f.*, {', '.join('c.' + c for c in S.FEATURES_V2_ADD if c != 'yang_zhang_vol')},
      last_value(y.yang_zhang_vol IGNORE NULLS) OVER (PARTITION BY f.symbol ORDER BY f.pos
        ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS yang_zhang_vol
-   FROM bars_raw f JOIN cross c ON f.symbol = c.symbol AND f.pos = c.pos
+   FROM bars_raw f JOIN crossed c ON f.symbol = c.symbol AND f.pos = c.pos
    LEFT JOIN yz y ON f.symbol = y.symbol AND f.pos = y.pos)))
 WHERE {' AND '.join(f'{c} IS NOT NULL' for c in _all)}""")
 

@@ -36,11 +36,15 @@ def rolling(fn: Callable[[Column], Column], c, n: int, min_periods: int | None =
 
 
 def rolling_corr(a, b, n: int, w: WindowSpec | None = None) -> Column:
+    """Pearson correlation over n rows with both values present; NULL for a constant window."""
     frame = (w or series()).rowsBetween(-(n - 1), 0)
-    x, y = col(a), col(b)
-    both = F.when(x.isNotNull() & y.isNotNull(), F.lit(1))
-    value = F.corr(x, y).over(frame)
-    return F.when((F.count(both).over(frame) >= n) & ~F.isnan(value), value)
+    both = col(a).isNotNull() & col(b).isNotNull()
+    x, y = F.when(both, col(a)), F.when(both, col(b))
+    varies = ((F.min(x).over(frame) < F.max(x).over(frame))
+              & (F.min(y).over(frame) < F.max(y).over(frame)))
+    spread = F.stddev_samp(x).over(frame) * F.stddev_samp(y).over(frame)
+    return F.when((F.count(x).over(frame) >= n) & varies,
+                  F.covar_samp(x, y).over(frame) / F.nullif(spread, F.lit(0.0)))
 
 
 def log_return(c: str = "close", w: WindowSpec | None = None) -> Column:

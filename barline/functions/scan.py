@@ -9,89 +9,83 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .columns import col
 from .frame import UNB
 
 
-def _decay_then_add(decay: str):
-    return lambda acc, e: acc * F.col(decay) + e
+def _number(beta: float | str) -> str:
+    return f"{beta!r}D" if isinstance(beta, (int, float)) else beta
 
 
-def linear_scan(df: DataFrame, specs: Mapping[str, tuple[Column | str, Column | float]],
+def linear_scan(df: DataFrame, specs: Mapping[str, tuple[str, float | str]],
                 keys: Sequence[str] = ("symbol",), block: int = 256) -> DataFrame:
     """Add one column per spec ``name: (u, beta)``, with y before the first row equal to 0.
 
-    ``beta`` may be a number or a column constant within a series. ``block`` must keep
-    ``beta ** -block`` finite: 256 serves beta >= 0.07, 1024 serves beta >= 0.51.
+    ``u`` is a SQL expression, ``beta`` a number or a column constant within a series. ``block``
+    must keep ``beta ** -block`` finite: 256 serves beta >= 0.07, 1024 serves beta >= 0.51.
     """
-    keys = list(keys)
-    k = F.col("_k")
-    work = df.withColumn("_b", F.floor(F.col("pos") / block).cast("int")) \
-             .withColumn("_k", (F.col("pos") % block).cast("double"))
-    names = list(specs)
-    src = {f"_u{i}": F.coalesce(col(specs[n][0]), F.lit(0.0)) for i, n in enumerate(names)}
-    bet = {f"_beta{i}": F.lit(specs[n][1]) if isinstance(specs[n][1], (int, float))
-           else specs[n][1] for i, n in enumerate(names)}
-    work = work.withColumns({**src, **bet})
-
-    inside = Window.partitionBy(*keys, "_b").orderBy("pos").rowsBetween(UNB, 0)
-    local = work.withColumns({
-        f"_s{i}": F.sum(F.col(f"_u{i}") * F.pow(F.col(f"_beta{i}"), -k)).over(inside)
-        * F.pow(F.col(f"_beta{i}"), k) for i in range(len(names))})
+    key = ", ".join(keys)
+    items = [(i, n, u, _number(b)) for i, (n, (u, b)) in enumerate(specs.items())]
+    work = df.selectExpr(
+        "*", f"CAST(floor(pos / {block}) AS INT) AS _b", f"CAST(pos % {block} AS DOUBLE) AS _k",
+        *[f"coalesce(CAST({u} AS DOUBLE), 0D) AS _u{i}" for i, _, u, _ in items])
+
+    inside = f"(PARTITION BY {key}, _b ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    local = work.selectExpr(*[c for c in work.columns if not c.startswith("_u")], *[
+        f"sum(_u{i} * pow({b}, -_k)) OVER {inside} * pow({b}, _k) AS _s{i}" for i, _, _, b in items])
 
     totals = work.groupBy(*keys, "_b").agg(*[
-        F.sum(F.col(f"_u{i}") * F.pow(F.col(f"_beta{i}"), F.lit(block - 1.0) - k)).alias(f"_e{i}")
-        for i in range(len(names))], *[
-        F.max(F.pow(F.col(f"_beta{i}"), F.lit(float(block)))).alias(f"_d{i}")
-        for i in range(len(names))])
-    earlier = Window.partitionBy(*keys).orderBy("_b").rowsBetween(UNB, -1)
-    carry = totals.select(*keys, "_b", *[
-        F.aggregate(F.collect_list(f"_e{i}").over(earlier), F.lit(0.0),
-                    _decay_then_add(f"_d{i}")).alias(f"_c{i}") for i in range(len(names))])
+        F.expr(f"sum(_u{i} * pow({b}, {block - 1}D - _k)) AS _e{i}") for i, _, _, b in items], *[
+        F.expr(f"max(pow({b}, {block}D)) AS _d{i}") for i, _, _, b in items])
+    earlier = f"(PARTITION BY {key} ORDER BY _b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    carry = totals.selectExpr(*keys, "_b", *[
+        f"aggregate(collect_list(_e{i}) OVER {earlier}, 0D, (acc, e) -> acc * _d{i} + e) AS _c{i}"
+        for i, _, _, _ in items])
 
     joined = local.join(carry, [*keys, "_b"], "left")
-    out = joined.withColumns({
-        n: F.col(f"_s{i}") + F.pow(F.col(f"_beta{i}"), k + 1) * F.coalesce(F.col(f"_c{i}"), F.lit(0.0))
-        for i, n in enumerate(names)})
-    return out.select(*df.columns, *names)
+    return joined.selectExpr(*df.columns, *[
+        f"_s{i} + pow({b}, _k + 1) * coalesce(_c{i}, 0D) AS {n}" for i, n, _, b in items])
 
 
 def ewm(df: DataFrame, specs: Mapping[str, tuple[str, float]], keys: Sequence[str] = ("symbol",),
         min_periods: int = 20, block: int = 1024) -> DataFrame:
     """Adjusted exponentially weighted mean and bias-corrected std.
 
-    ``specs`` maps an output prefix to (column, alpha); adds ``<prefix>_mean`` and ``<prefix>_std``.
-    NULL rows age the weights and add nothing, as in pandas with ``ignore_na=False``.
+    ``specs`` maps an output prefix to (column or expression, alpha); adds ``<prefix>_mean`` and
+    ``<prefix>_std``. NULL rows age the weights and add nothing, as in pandas with
+    ``ignore_na=False``. Sums that several outputs share are scanned once.
     """
-    sums: dict[str, tuple[Column, float]] = {}
-    for name, (c, alpha) in specs.items():
-        x, beta = F.col(c), 1.0 - alpha
-        present = F.when(x.isNotNull(), 1.0).otherwise(0.0)
-        sums[f"_{name}_0"] = (present, beta)
-        sums[f"_{name}_1"] = (x, beta)
-        sums[f"_{name}_2"] = (x * x, beta)
-        sums[f"_{name}_q"] = (present, beta * beta)
-    scanned = linear_scan(df, sums, keys, block)
-    w = Window.partitionBy(*keys).orderBy("pos").rowsBetween(UNB, 0)
-    out = {}
-    for name, (c, _) in specs.items():
-        s0, s1, s2, q = (F.col(f"_{name}_{p}") for p in ("0", "1", "2", "q"))
-        mean = s1 / s0
-        var = (s2 / s0 - mean * mean) * (s0 * s0) / F.nullif(s0 * s0 - q, F.lit(0.0))
-        ready = F.count(c).over(w) >= min_periods
-        out[f"{name}_mean"] = F.when(ready, mean)
-        out[f"{name}_std"] = F.when(ready, F.sqrt(F.greatest(var, F.lit(0.0))))
-    return scanned.withColumns(out).drop(*sums)
+    sums: dict[str, tuple[str, float]] = {}
+    names: dict[tuple[str, float], str] = {}
+
+    def scan(u: str, beta: float) -> str:
+        name = names.setdefault((u, beta), f"_w{len(names)}")
+        sums[name] = (u, beta)
+        return name
+
+    out = []
+    seen = f"(PARTITION BY {', '.join(keys)} ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    for name, (x, alpha) in specs.items():
+        beta = 1.0 - alpha
+        bare = x[4:-1] if x.startswith("abs(") else x
+        present = f"CASE WHEN {bare} IS NOT NULL THEN 1D END"
+        s0, s1, s2, q = (scan(present, beta), scan(x, beta), scan(f"{bare} * {bare}", beta),
+                         scan(present, beta * beta))
+        ready = f"count({bare}) OVER {seen} >= {min_periods}"
+        mean = f"{s1} / nullif({s0}, 0D)"
+        var = (f"({s2} / nullif({s0}, 0D) - ({mean}) * ({mean})) * ({s0} * {s0}) "
+               f"/ nullif({s0} * {s0} - {q}, 0D)")
+        out += [f"CASE WHEN {ready} THEN {mean} END AS {name}_mean",
+                f"CASE WHEN {ready} THEN sqrt(greatest({var}, 0D)) END AS {name}_std"]
+    return linear_scan(df, sums, keys, block).selectExpr(*df.columns, *out)
 
 
 def ewm_recursive(df: DataFrame, c: str, alpha: float, out: str,
                   keys: Sequence[str] = ("symbol",), block: int = 1024) -> DataFrame:
     """Unadjusted EWM mean: starts at the first value, then y = (1-alpha) y + alpha x."""
     seen = F.count(c).over(Window.partitionBy(*keys).orderBy("pos").rowsBetween(UNB, 0))
-    u = F.when(seen == 1, F.col(c)).otherwise(F.lit(alpha) * F.col(c))
-    scanned = linear_scan(df.withColumn("_seed", u).withColumn("_seen", seen),
-                          {out: ("_seed", 1.0 - alpha)}, keys, block)
-    return scanned.withColumn(out, F.when(F.col("_seen") >= 1, F.col(out))).drop("_seed", "_seen")
+    u = f"CASE WHEN _seen = 1 THEN {c} ELSE {alpha!r}D * {c} END"
+    scanned = linear_scan(df.withColumn("_seen", seen), {out: (u, 1.0 - alpha)}, keys, block)
+    return scanned.withColumn(out, F.when(F.col("_seen") >= 1, F.col(out))).drop("_seen")

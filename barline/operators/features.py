@@ -32,14 +32,13 @@ def momentum(df: DataFrame) -> DataFrame:
 def ewm_volatility(df: DataFrame) -> DataFrame:
     """Four-horizon volatility pyramid, its two ratios and the shock z-score."""
     specs = {n: ("r", a) for n, a in VOL_ALPHAS.items()}
-    specs["shock"] = ("_absr", SHOCK_ALPHA)
-    out = ewm(df.withColumn("_absr", F.abs("r")), specs, min_periods=MIN_PERIODS)
-    out = out.withColumns({n: F.col(f"{n}_std") for n in VOL_ALPHAS})
-    out = out.withColumns({
-        "vol_ratio_sl": safe_div("vol_short", "vol_long"),
-        "vol_ratio_ly": safe_div("vol_long", "vol_yearly"),
-        "shock_z": safe_div(F.col("_absr") - F.col("shock_mean"), "shock_std")})
-    return out.drop("_absr", *[f"{n}_{m}" for n in specs for m in ("mean", "std")])
+    specs["shock"] = ("abs(r)", SHOCK_ALPHA)
+    out = ewm(df, specs, min_periods=MIN_PERIODS)
+    return out.selectExpr(
+        *df.columns, *[f"{n}_std AS {n}" for n in VOL_ALPHAS],
+        "vol_short_std / nullif(vol_long_std, 0D) AS vol_ratio_sl",
+        "vol_long_std / nullif(vol_yearly_std, 0D) AS vol_ratio_ly",
+        "(abs(r) - shock_mean) / nullif(shock_std, 0D) AS shock_z")
 
 
 def drawdown(n: int = 252) -> Column:
