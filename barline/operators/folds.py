@@ -72,7 +72,8 @@ def cpcv_split(df: DataFrame, n_splits: int = 10, n_test: int = 2, embargo_pct:
 
     Uses the ``horizon`` column when present, else the fixed purge. Series shorter than
     ``n_splits`` cannot be split and yield no rows. With ``test_only`` each bar expands only into
-    the paths that test it, C(n-1, k-1) instead of C(n, k).
+    the paths that test it, C(n-1, k-1) instead of C(n, k). The expanded rows are spread by
+    (symbol, path), so one long series' paths run in parallel instead of behind one symbol key.
     """
     folds = fold_table(n_splits, n_test)
 
@@ -87,6 +88,7 @@ def cpcv_split(df: DataFrame, n_splits: int = 10, n_test: int = 2, embargo_pct:
     else:
         out = grouped.withColumn("_f", F.explode(literal(folds)))
     out = out.select(*grouped.columns, "_f.path_id", "_f.test_groups")
+    out = out.repartition("symbol", "path_id")
     if test_only:
         return out.withColumn("role", F.lit("test"))
     purged = purged_by_horizon(n_splits) if "horizon" in df.columns else purged_fixed(purge)
