@@ -305,7 +305,7 @@ query("vol_ratios", "bars_raw", "SELECT * FROM bars_raw", keys="symbol", ints="p
 query("shock_z", "bars_raw", "SELECT * FROM bars_raw", keys="symbol", ints="pos", floats="shock_z")(
     lambda spark, sf: feat.ewm_volatility(feat.with_return(td.bars(spark, sf))))
 query("drawdown_252", "bars_raw", "SELECT * FROM bars_raw", keys="symbol", ints="pos", floats="drawdown_252")(
-    lambda spark, sf: td.bars(spark, sf).withColumn("drawdown_252", feat.drawdown()))
+    lambda spark, sf: feat.drawdown(td.bars(spark, sf)))
 query("autocorr_63", "bars_raw", "SELECT * FROM bars_raw", keys="symbol", ints="pos", floats="autocorr_63")(
     lambda spark, sf: feat.with_return(td.bars(spark, sf)).withColumn("_l", F.lag("r").over(fr.series()))
     .withColumn("autocorr_63", fr.rolling_corr("r", "_l", 63)))
@@ -376,7 +376,7 @@ SELECT symbol, pos, CASE WHEN hi > lo THEN least(greatest((close - lo) / (hi - l
  SELECT symbol, pos, close, {roll('min', 'close', 252, 20)} AS lo, {roll('max', 'close', 252, 20)} AS hi FROM bars)""",
        keys="symbol", ints="pos", floats="normed")
 def rolling_minmax_norm(spark, sf):
-    return td.bars(spark, sf).withColumn("normed", feat.rolling_minmax("close"))
+    return feat.minmax_normalise(td.bars(spark, sf), {"normed": "close"})
 
 
 @query("rolling_vol", "bars_r", f"""

@@ -74,7 +74,7 @@ def raw(spark, sf):
 
 def models(spark, sf):
     """Rule labels, a volatility-state model, a volatility-tercile model and their fusion, per bar."""
-    df = raw(spark, sf).withColumns({"_vl": feat.rolling_minmax("vol_long")})
+    df = feat.minmax_normalise(raw(spark, sf), {"_vl": "vol_long"})
     gmm = F.when(F.col("_vl") < 1.0 / 3, 0).when(F.col("_vl") < 2.0 / 3, 1).otherwise(2)
     df = df.select("symbol", "pos", "ts", "close", "r", "p_0", "p_1", "p_2", "label", (1 - F.col("vol_n")).alias("p_low"),
                    F.col("vol_n").alias("p_high"), gmm.alias("gmm_label"))
@@ -471,7 +471,7 @@ cte("psi", "drift_cells drift_edges", """
 SELECT col AS "column", any_value(nr) AS n_ref, any_value(nc) AS n_cur, CASE WHEN any_value(len_e) < 3 THEN 0 ELSE sum((c - r) * ln(c / r)) END AS psi FROM (
  SELECT *, greatest(rn / nr, 1e-4) AS r, greatest(cn / nc, 1e-4) AS c FROM (
   SELECT *, sum(rn) OVER (PARTITION BY col) AS nr, sum(cn) OVER (PARTITION BY col) AS nc FROM (
-   SELECT d.col, len(any_value(e.edges)) AS len_e, len(list_filter(e.edges[2:-2], v -> d.x >= v)) AS bin, count(*) FILTER (WHERE side = 'ref') AS rn,
+   SELECT d.col, len(any_value(e.edges)) AS len_e, len(list_filter(e.edges[2:-2], lambda v: d.x >= v)) AS bin, count(*) FILTER (WHERE side = 'ref') AS rn,
     count(*) FILTER (WHERE side = 'cur') AS cn FROM drift_cells d JOIN drift_edges e ON d.col = e.col GROUP BY d.col, bin))) GROUP BY col""")
 
 

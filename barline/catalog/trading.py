@@ -345,7 +345,7 @@ def lookahead_check(spark, sf):
     """The lagged feature frame must pass; rows-only in the driver, asserted in tests."""
     def op(df):
         raw = feat.with_return(df.select("symbol", "pos", "ts", "close"))
-        out = raw.withColumns({"mom_20": fr.rolling(F.sum, "r", 20), "drawdown_252": feat.drawdown()})
+        out = feat.drawdown(raw.withColumn("mom_20", fr.rolling(F.sum, "r", 20)))
         return feat.lagged(out, ["mom_20", "drawdown_252"])
     return val.lookahead_check(td.bars(spark, sf), op, "mom_20", ["close"])
 

@@ -89,3 +89,29 @@ def ewm_recursive(df: DataFrame, c: str, alpha: float, out: str,
     u = f"CASE WHEN _seen = 1 THEN {c} ELSE {alpha!r}D * {c} END"
     scanned = linear_scan(df.withColumn("_seen", seen), {out: (u, 1.0 - alpha)}, keys, block)
     return scanned.withColumn(out, F.when(F.col("_seen") >= 1, F.col(out))).drop("_seen")
+
+
+def rolling_range(df: DataFrame, columns: Sequence[str], n: int, min_periods: int | None = None,
+                  keys: Sequence[str] = ("symbol",)) -> DataFrame:
+    """Adds ``<c>_lo`` and ``<c>_hi``, extremes over the last n rows, in constant work per row.
+
+    With blocks of n rows a window of n ending at t is the tail of one block and the head of the
+    next: a running extreme from the block's start at t meets one from the block's end, n-1 rows
+    back. Both are unbounded-preceding windows; a sliding frame would rescan n rows per row.
+    """
+    need = n if min_periods is None else min_periods
+    key = ", ".join(keys)
+    up_to = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
+    head = f"(PARTITION BY {key}, _b ORDER BY pos {up_to})"
+    tail = f"(PARTITION BY {key}, _b ORDER BY pos DESC {up_to})"
+    seq = f"(PARTITION BY {key} ORDER BY pos)"
+    kinds = (("lo", "min", "least"), ("hi", "max", "greatest"))
+    out = df.selectExpr("*", f"CAST(floor(pos / {n}) AS INT) AS _b")
+    out = out.selectExpr("*", *[f"{fn}({c}) OVER {head} AS _h_{k}_{c}" for c in columns for k, fn, _ in kinds],
+                         *[f"{fn}({c}) OVER {tail} AS _t_{k}_{c}" for c in columns for k, fn, _ in kinds],
+                         *[f"count({c}) OVER (PARTITION BY {key} ORDER BY pos {up_to}) AS _n_{c}" for c in columns])
+    out = out.selectExpr("*", *[f"lag(_t_{k}_{c}, {n - 1}) OVER {seq} AS _l_{k}_{c}" for c in columns for k, _, _ in kinds],
+                         *[f"_n_{c} - coalesce(lag(_n_{c}, {n}) OVER {seq}, 0) AS _m_{c}" for c in columns])
+    return out.selectExpr(*df.columns, *[
+        f"CASE WHEN _m_{c} >= {need} THEN {pick}(_h_{k}_{c}, _l_{k}_{c}) END AS {c}_{k}"
+        for c in columns for k, _, pick in kinds])

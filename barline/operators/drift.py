@@ -84,7 +84,7 @@ def mmd_sampled(reference: DataFrame, current: DataFrame, vector: str, id_column
         x, y = (np.array(pdf.loc[pdf["side"] == s, "v"].tolist(), dtype=float) for s in (0, 1))
         return pd.DataFrame({"n_ref": [len(x)], "n_cur": [len(y)], "mmd2": [_mmd2(x, y)]})
 
-    return sides[0].unionByName(sides[1]).groupBy(F.lit(1)).applyInPandas(evaluate, "n_ref long, n_cur long, mmd2 double")
+    return sides[0].unionByName(sides[1]).withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(evaluate, "n_ref long, n_cur long, mmd2 double")
 
 
 def mmd_fourier(reference: DataFrame, current: DataFrame, vector: str, dim: int, scale: float,

@@ -7,10 +7,10 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import clip, safe_div
+from ..functions.columns import safe_div
 from ..functions.frame import (UNB, align_ffill, complete_cases, ffill, fill_dead_columns,
                                log_return, rolling, rolling_corr, series, with_pos)
-from ..functions.scan import ewm, ewm_recursive
+from ..functions.scan import ewm, ewm_recursive, rolling_range
 from ..schema import (ANNUAL_BARS, AUX_SERIES, FEATURES_V1, FEATURES_V2, FEATURES_V2_ADD,
                       MIN_PERIODS, MOMENTUM_BARS, NORM_WINDOW, SHOCK_ALPHA, VOL_ALPHAS,
                       require_daily)
@@ -41,8 +41,10 @@ def ewm_volatility(df: DataFrame) -> DataFrame:
         "(abs(r) - shock_mean) / nullif(shock_std, 0D) AS shock_z")
 
 
-def drawdown(n: int = 252) -> Column:
-    return F.col("close") / rolling(F.max, "close", n, MIN_PERIODS) - 1
+def drawdown(df: DataFrame, n: int = 252) -> DataFrame:
+    """Distance of the close from its trailing n-bar maximum."""
+    out = rolling_range(df, ["close"], n, MIN_PERIODS)
+    return out.withColumn("drawdown_252", F.col("close") / F.nullif("close_hi", F.lit(0.0)) - 1).drop("close_lo", "close_hi")
 
 
 def trend_direction(short: int = 21, long: int = 63) -> Column:
@@ -51,9 +53,9 @@ def trend_direction(short: int = 21, long: int = 63) -> Column:
 
 def price_features(df: DataFrame) -> DataFrame:
     """The 14 price columns, not yet lagged. Input needs pos, close and r."""
-    out = ewm_volatility(momentum(df)).withColumn("_lag_r", F.lag("r").over(series()))
+    out = drawdown(ewm_volatility(momentum(df))).withColumn("_lag_r", F.lag("r").over(series()))
     return out.withColumns({
-        "drawdown_252": drawdown(), "autocorr_63": rolling_corr("r", "_lag_r", 63),
+        "autocorr_63": rolling_corr("r", "_lag_r", 63),
         "trend_dir": trend_direction()}).drop("_lag_r")
 
 
@@ -141,11 +143,13 @@ def mixture_inputs(bars: DataFrame, halflife: float = 20.0) -> DataFrame:
     return with_pos(out).select("symbol", "pos", "ts", "close", "r", "vol")
 
 
-def rolling_minmax(c: str, n: int = NORM_WINDOW) -> Column:
-    """Position of a value inside its trailing range, 0.5 when undefined."""
-    lo, hi = rolling(F.min, c, n, MIN_PERIODS), rolling(F.max, c, n, MIN_PERIODS)
-    scaled = (F.col(c) - lo) / F.nullif(hi - lo, F.lit(0.0))
-    return F.coalesce(clip(scaled, 0.0, 1.0), F.lit(0.5))
+def minmax_normalise(df: DataFrame, columns: dict[str, str], n: int = NORM_WINDOW) -> DataFrame:
+    """Adds ``output`` per ``{output: column}``: position inside the trailing range, 0.5 when undefined."""
+    src = list(dict.fromkeys(columns.values()))
+    ranged = rolling_range(df, src, n, MIN_PERIODS)
+    return ranged.selectExpr(*df.columns, *[
+        f"CASE WHEN {c}_hi > {c}_lo AND {c} IS NOT NULL THEN "
+        f"least(greatest(({c} - {c}_lo) / ({c}_hi - {c}_lo), 0D), 1D) ELSE 0.5D END AS {o}" for o, c in columns.items()])
 
 
 def rolling_vol(df: DataFrame, n: int = 21, min_periods: int = 5) -> DataFrame:

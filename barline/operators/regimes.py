@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .. import schema as S
 from ..functions.columns import ColumnOrName, argmax, clip, col, lookup, safe_div, softmax
 from ..functions.frame import runs, series
-from .features import rolling_minmax
+from .features import minmax_normalise
 
 P = ["p_0", "p_1", "p_2"]
 SEQUENCE = ("symbol string, pos int, ts date, p_0 double, p_1 double, p_2 double, "
@@ -27,7 +27,7 @@ def rule_scores(features: DataFrame) -> DataFrame:
     at the middle of the range.
     """
     present = [c for c in S.RULE_FEATURES if c in features.columns]
-    df = features.withColumns({f"_n_{c}": rolling_minmax(c) for c in present})
+    df = minmax_normalise(features, {f"_n_{c}": c for c in present})
 
     def term(regime: int, c: str, weight: float) -> str:
         x = f"_n_{c}" if c in present else "0.5D"
