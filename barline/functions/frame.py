@@ -40,10 +40,8 @@ def rolling_corr(a, b, n: int, w: WindowSpec | None = None) -> Column:
     frame = (w or series()).rowsBetween(-(n - 1), 0)
     both = col(a).isNotNull() & col(b).isNotNull()
     x, y = F.when(both, col(a)), F.when(both, col(b))
-    varies = ((F.min(x).over(frame) < F.max(x).over(frame))
-              & (F.min(y).over(frame) < F.max(y).over(frame)))
     spread = F.stddev_samp(x).over(frame) * F.stddev_samp(y).over(frame)
-    return F.when((F.count(x).over(frame) >= n) & varies,
+    return F.when(F.count(x).over(frame) >= n,
                   F.covar_samp(x, y).over(frame) / F.nullif(spread, F.lit(0.0)))
 
 

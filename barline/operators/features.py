@@ -26,7 +26,14 @@ def with_return(bars: DataFrame) -> DataFrame:
 
 
 def momentum(df: DataFrame) -> DataFrame:
-    return df.withColumns({f"mom_{h}": rolling(F.sum, "r", h) for h in MOMENTUM_BARS})
+    """Sums of the last h returns. They telescope to a difference of log closes, so no frame is
+    summed; a missing return anywhere in the window still gives NULL, by a running count."""
+    w = series()
+    out = df.withColumns({"_lc": F.ln(F.when(F.col("close") > 0, F.col("close"))),
+                          "_n": F.count("r").over(w.rowsBetween(UNB, 0))})
+    return out.withColumns({
+        f"mom_{h}": F.when(F.col("_n") - F.lag("_n", h).over(w) == h, F.col("_lc") - F.lag("_lc", h).over(w))
+        for h in MOMENTUM_BARS}).drop("_lc", "_n")
 
 
 def ewm_volatility(df: DataFrame) -> DataFrame:
