@@ -8,7 +8,7 @@ FLAGSHIP = "momentum_backtest"
 
 
 def _load() -> None:
-    from . import core, regime, trading  # noqa: F401
+    from . import core, modelled, regime, trading  # noqa: F401
 
 
 def queries() -> dict:

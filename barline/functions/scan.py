@@ -33,7 +33,7 @@ def linear_scan(df: DataFrame, specs: Mapping[str, tuple[str, float | str]],
         *[f"coalesce(CAST({u} AS DOUBLE), 0D) AS _u{i}" for i, _, u, _ in items])
 
     inside = f"(PARTITION BY {key}, _b ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
-    local = work.selectExpr(*[c for c in work.columns if not c.startswith("_u")], *[
+    local = work.selectExpr(*df.columns, "_b", "_k", *[
         f"sum(_u{i} * pow({b}, -_k)) OVER {inside} * pow({b}, _k) AS _s{i}" for i, _, _, b in items])
 
     totals = work.groupBy(*keys, "_b").agg(*[

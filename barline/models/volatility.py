@@ -38,9 +38,9 @@ def garch_volatility(df: DataFrame) -> DataFrame:
 
 def _best(train: DataFrame, grid: Column) -> DataFrame:
     """Likelihood of every grid point on every series, then the best point per series."""
-    stats = train.groupBy("symbol").agg(F.var_pop(F.col("r") * SCALE).alias("_uv"), F.count("r").alias("n_train"))
-    cells = train.join(stats, "symbol").select("symbol", "pos", "r", "_uv", "n_train", F.inline(grid))
-    cells = cells.withColumns({"omega": F.col("_uv") * (1 - F.col("alpha") - F.col("beta")), "sigma2_0": F.col("_uv")})
+    stats = train.groupBy("symbol").agg(F.var_pop(F.col("r") * SCALE).alias("_var"), F.count("r").alias("n_train"))
+    cells = train.join(stats, "symbol").select("symbol", "pos", "r", "_var", "n_train", F.inline(grid))
+    cells = cells.withColumns({"omega": F.col("_var") * (1 - F.col("alpha") - F.col("beta")), "sigma2_0": F.col("_var")})
     fitted = garch_variance(cells, ("symbol", "cell"))
     x2 = F.pow(F.col("r") * SCALE, 2)
     s2 = F.greatest(F.col("sigma2"), F.lit(1e-12))
