@@ -255,38 +255,39 @@ def report_robustness(spark, sf):
 
 # ---- streaming -----------------------------------------------------------------------------------
 
-def _land(df, parts=3, order="ts"):
-    """The table as a landing folder of ordered files."""
-    path = live.scratch(df.sparkSession) + "/landing"
-    df.repartitionByRange(parts, order).write.parquet(path)
-    return live.read_stream(df.sparkSession, df, path)
+DAYS, YEARS = ["2024-01-11", "2024-01-21"], ["1998-01-01", "2000-01-01"]
 
 
-@query("stream_daily_rv")
+@query("stream_daily_rv", "tick_day", "SELECT * FROM tick_day WHERE day < (SELECT CAST(max(ts) - INTERVAL 1 HOUR AS DATE) FROM ticks)",
+       keys="symbol day", ints="n", floats="rv rsv_pos rsv_neg")
 def stream_daily_rv(spark, sf):
     r = intraday_returns(td.ticks(spark, sf)).select("symbol", "ts", "seq", "r")
-    return live.run_available(live.daily_realised(_land(r)))
+    return live.replay(r, "ts", DAYS, live.daily_realised)
 
 
-@query("stream_bars")
+@query("stream_bars", "ticks", """
+SELECT symbol, date_trunc('hour', ts) AS ts, arg_min(close, (ts, seq)) AS open, max(close) AS high, min(close) AS low,
+ arg_max(close, (ts, seq)) AS close, count(*) AS volume FROM ticks GROUP BY 1, 2
+HAVING date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR FROM ticks)""",
+       keys="symbol ts", ints="volume", floats="open high low close")
 def stream_bars(spark, sf):
-    return live.run_available(live.live_bars(_land(td.ticks(spark, sf)), "1 hour"))
+    return live.replay(td.ticks(spark, sf), "ts", DAYS, live.live_bars)
 
 
 @query("stream_sessions")
 def stream_sessions(spark, sf):
-    return live.run_available(live.tick_sessions(_land(td.ticks(spark, sf))))
+    return live.replay(td.ticks(spark, sf), "ts", DAYS, live.tick_sessions)
 
 
 @query("stream_regime_state")
 def stream_regime_state(spark, sf):
-    return live.run_available(live.regime_states(_land(rg.step_inputs(feat.features_v1(td.bars(spark, sf))))))
+    return live.replay(rg.step_inputs(feat.features_v1(td.bars(spark, sf))), "ts", YEARS, live.regime_states)
 
 
 @query("stream_conformal")
 def stream_conformal(spark, sf):
     m = models(spark, sf).select("symbol", "pos", "ts", *[F.col(p).alias(n) for p, n in zip(FUSED, "abc")], F.col("label").alias("y"))
-    return live.run_available(live.conformal_states(_land(m)))
+    return live.replay(m, "ts", YEARS, live.conformal_states)
 
 
 @query("stream_changes", "rr", f"""
@@ -294,14 +295,15 @@ SELECT symbol, ts AS as_of, prev AS from_label, label AS to_label FROM (SELECT *
        keys="symbol as_of", ints="from_label to_label")
 def stream_changes(spark, sf):
     s = raw(spark, sf).select("symbol", F.col("ts").alias("as_of"), "label")
-    return live.run_available(live.label_changes(_land(s, order="as_of")))
+    return live.replay(s, "as_of", YEARS, live.label_changes)
 
 
 @query("stream_drift")
 def stream_drift(spark, sf):
-    """PSI of each landed slice of later line items against the earlier ones."""
+    """PSI of the landed later line items against the earlier ones, per micro-batch."""
     from .regime import PSI_COLS, drift_sides
     ref, cur = drift_sides(spark, sf)
-    return live.run_drift(_land(cur, 2, "l_shipdate"), ref, PSI_COLS).withColumnRenamed("column", "feature")
-
-
+    path = live.scratch(spark) + "/landing"
+    cur.write.parquet(path)
+    stream = live.read_stream(spark, cur, path, files_per_batch=1000)
+    return live.run_drift(stream, ref, PSI_COLS).withColumnRenamed("column", "feature")

@@ -24,9 +24,9 @@ def exact_quantiles(df: DataFrame, value: str, key: str, probs: Sequence[float])
     cuts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n"),
                                  F.array_distinct(F.percentile_approx("_x", grid, F.lit(10 * BRACKETS))).alias("_cuts"))
     # width_bucket over sorted cut points: bracket i holds cuts[i-1] <= x < cuts[i]
-    placed = rows.join(F.broadcast(cuts.select(key, "_cuts")), key).select(
-        key, "_x", F.expr("size(filter(_cuts, c -> c <= _x))").alias("_b"))
-    values = placed.groupBy(key, "_b", "_x").agg(F.count(F.lit(1)).alias("_c"))
+    distinct = rows.groupBy(key, "_x").agg(F.count(F.lit(1)).alias("_c"))
+    values = distinct.join(F.broadcast(cuts.select(key, "_cuts")), key).select(
+        key, "_x", "_c", F.expr("size(filter(_cuts, c -> c <= _x))").alias("_b"))
     sizes = values.groupBy(key, "_b").agg(F.sum("_c").alias("_size"))
     up = Window.partitionBy(key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.withColumn("_before", F.coalesce(F.sum("_size").over(up), F.lit(0)))
