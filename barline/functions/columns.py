@@ -69,14 +69,13 @@ def normal_cdf(x: ColumnOrName) -> Column:
     v = col(x)
     a = F.abs(v)
     density = F.exp(-a * a / 2) / F.lit(math.sqrt(2 * math.pi))
-    # phi(a) * (a + a^3/3 + a^5/15 + ...): positive terms, evaluated by Horner from the tail
-    series = F.lit(1.0)
-    for k in range(75, 0, -1):
-        series = F.lit(1.0) + series * a * a / F.lit(2.0 * k + 1.0)
+    # phi(a) * (a + a^3/3 + a^5/15 + ...): positive terms, folded from the tail; a fold keeps the
+    # expression shallow where 75 nested operators would not
+    down = lambda n: F.sequence(F.lit(n), F.lit(1), F.lit(-1))
+    series = F.aggregate(down(75), F.lit(1.0), lambda acc, k: F.lit(1.0) + acc * a * a / (k * 2.0 + 1.0))
     inner = F.lit(0.5) - density * a * series
-    frac = a
-    for k in range(30, 0, -1):
-        frac = a + F.lit(float(k)) / frac
+    far = F.greatest(a, F.lit(1.0))
+    frac = F.aggregate(down(30), far, lambda acc, k: far + k / acc)
     tail = F.when(a < 5, inner).otherwise(density / frac)
     return F.when(v > 0, 1.0 - tail).otherwise(tail)
 

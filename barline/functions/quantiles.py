@@ -23,10 +23,14 @@ def exact_quantiles(df: DataFrame, value: str, key: str, probs: Sequence[float])
     grid = F.array(*[F.lit(i / BRACKETS) for i in range(1, BRACKETS)])
     cuts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n"),
                                  F.array_distinct(F.percentile_approx("_x", grid, F.lit(10 * BRACKETS))).alias("_cuts"))
-    # width_bucket over sorted cut points: bracket i holds cuts[i-1] <= x < cuts[i]
+    # bracket i holds cuts[i-1] <= x < cuts[i]
+    # binary search over the sorted cut points: how many are <= x
+    steps = ", ".join(str(1 << i) for i in reversed(range(BRACKETS.bit_length())))
+    place = (f"aggregate(array({steps}), 0, (p, s) -> CASE WHEN p + s <= size(_cuts) "
+             "AND get(_cuts, p + s - 1) <= _x THEN p + s ELSE p END)")
     distinct = rows.groupBy(key, "_x").agg(F.count(F.lit(1)).alias("_c"))
     values = distinct.join(F.broadcast(cuts.select(key, "_cuts")), key).select(
-        key, "_x", "_c", F.expr("size(filter(_cuts, c -> c <= _x))").alias("_b"))
+        key, "_x", "_c", F.expr(place).alias("_b"))
     sizes = values.groupBy(key, "_b").agg(F.sum("_c").alias("_size"))
     up = Window.partitionBy(key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.withColumn("_before", F.coalesce(F.sum("_size").over(up), F.lit(0)))
