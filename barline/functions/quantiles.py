@@ -20,7 +20,7 @@ def exact_quantiles(df: DataFrame, value: str, key: str, probs: Sequence[float])
     The key table is broadcast: callers pass keys bounded at plan time, such as column names.
     """
     rows = df.where(F.col(value).isNotNull()).select(key, F.col(value).alias("_x"))
-    grid = F.array(*[F.lit(i / BRACKETS) for i in range(1, BRACKETS)])
+    grid = F.expr("array(" + ", ".join(f"{i / BRACKETS!r}D" for i in range(1, BRACKETS)) + ")")
     cuts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n"),
                                  F.array_distinct(F.percentile_approx("_x", grid, F.lit(10 * BRACKETS))).alias("_cuts"))
     # bracket i holds cuts[i-1] <= x < cuts[i]

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+# Symbols and texts of the alert format.
 REGIME_EMOJI = {"Bull": "🟢", "Neutral": "⚪", "Bear": "🔴"}
 RISK_EMOJI = {"high": "⚠️", "medium": "🔶", "low": ""}
 
