@@ -7,10 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import simhash
+from . import quality, simhash
 from .common import table
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures and host-level verdict of all documents."""
+    return quality.judge_documents(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash components of all documents."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).select(
@@ -18,8 +24,8 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_simhash,)}
+    return {f.__name__: f for f in (op4_quality, op5_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_quality": quality.SQL}

@@ -53,22 +53,26 @@ def wrapped(df: DataFrame, **derived) -> DataFrame:
                      *[c.alias(k) for k, c in derived.items()])
 
 
-def per_row(df: DataFrame, schema: str, make: Callable[[], Callable], rows: int = 256) -> DataFrame:
+def per_row(df: DataFrame, schema: str, make: Callable[[], Callable], rows: int = 256, keep: int = 0) -> DataFrame:
     """Apply a function of column lists to slices of at most ``rows`` rows of each Arrow batch.
 
     ``make`` runs once per task and returns ``fn(*columns) -> tuple of columns`` in the order of ``schema``. The slices
-    bound what a task holds beside the batch itself when texts are very long.
+    bound what a task holds beside the batch itself when texts are very long. The first ``keep`` columns are handed on
+    as they are, before those of ``schema``; ``fn`` then must return a value for each row.
     """
+    from pyspark.sql import types as T
+    from pyspark.sql.pandas.types import to_arrow_schema
+    made = T._parse_datatype_string(schema)
+    arrow = to_arrow_schema(made)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fn = make()
         for batch in batches:
             for at in range(0, batch.num_rows, rows):
                 part = batch.slice(at, rows)
-                out = fn(*[c.to_pylist() for c in part.columns])
-                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, types)], names=names)
+                out = fn(*[c.to_pylist() for c in part.columns[keep:]])
+                new = [pa.array(v, t) for v, t in zip(out, arrow.types)]
+                yield pa.RecordBatch.from_arrays([*part.columns[:keep], *new], names=[*batch.schema.names[:keep],
+                                                                                      *arrow.names])
 
-    fields = df.sparkSession.createDataFrame([], schema).schema
-    from pyspark.sql.pandas.types import to_arrow_schema
-    arrow = to_arrow_schema(fields)
-    names, types = arrow.names, arrow.types
-    return df.mapInArrow(run, fields)
+    return df.mapInArrow(run, T.StructType([*df.schema.fields[:keep], *made.fields]))
