@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality, simhash
+from . import quality, simhash, tokencounts, tokenfile
 from .common import table
 
 
@@ -23,8 +23,24 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", simhash.hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def tokenizer_file(name: str) -> str:
+    import public_tokenizers
+    return public_tokenizers.path(name)
+
+
+def op6_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents written as token ids and read back through the perfect hash index."""
+    docs = table(spark, sf_dir, "documents")
+    return tokenfile.digests(docs, tokenfile.write_set(docs, tokenizer_file("word_bpe_49k.json")))
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of all documents."""
+    return tokencounts.token_counts(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_quality, op5_simhash)}
+    return {f.__name__: f for f in (op4_quality, op5_simhash, op6_token_file, op8_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
