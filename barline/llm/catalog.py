@@ -7,10 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality, simhash, tokencounts, tokenfile
+from . import mixing, pieces, quality, simhash, tokencounts, tokenfile
 from .common import table
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents encoded and decoded by the rebuilt model, compared with the sentencepiece library."""
+    return pieces.digests(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measures and host-level verdict of all documents."""
     return quality.judge_documents(table(spark, sf_dir, "documents")).select(
@@ -39,8 +44,13 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencounts.token_counts(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents mixed to target weights: words taken per document."""
+    return mixing.mix_sizes(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_quality, op5_simhash, op6_token_file, op8_token_counts)}
+    return {f.__name__: f for f in (op3_sentencepiece, op4_quality, op5_simhash, op6_token_file, op8_token_counts, op9_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
