@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, pieces, quality, simhash, tokencounts, tokenfile
+from . import maxscore, mixing, pieces, quality, simhash, tokencounts, tokenfile
 from .common import table
 
 
@@ -39,6 +39,11 @@ def op6_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.digests(docs, tokenfile.write_set(docs, tokenizer_file("word_bpe_49k.json")))
 
 
+def op7_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Top 5 inner products of every fiftieth vector against all others."""
+    return maxscore.top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of all documents."""
     return tokencounts.token_counts(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
@@ -50,8 +55,8 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_sentencepiece, op4_quality, op5_simhash, op6_token_file, op8_token_counts, op9_mixing)}
+    return {f.__name__: f for f in (op3_sentencepiece, op4_quality, op5_simhash, op6_token_file, op7_maxscore, op8_token_counts, op9_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_quality": quality.SQL}
+    return {"op4_quality": quality.SQL, "op7_maxscore": maxscore.SQL}
