@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import maxscore, mixing, pieces, quality, simhash, tokencounts, tokenfile
+from . import maxscore, mixing, pieces, quality, simhash, tokencounts, tokenfile, warczip
 from .common import table
 
 
@@ -54,9 +54,14 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sizes(table(spark, sf_dir, "documents"))
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written as WARC records in ZIP packages and read back by range."""
+    return warczip.archived(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_sentencepiece, op4_quality, op5_simhash, op6_token_file, op7_maxscore, op8_token_counts, op9_mixing)}
+    return {f.__name__: f for f in (op3_sentencepiece, op4_quality, op5_simhash, op6_token_file, op7_maxscore, op8_token_counts, op9_mixing, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_quality": quality.SQL, "op7_maxscore": maxscore.SQL}
+    return {"op4_quality": quality.SQL, "op7_maxscore": maxscore.SQL, "op10_warc": warczip.SQL}
