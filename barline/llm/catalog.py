@@ -7,10 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import maxscore, mixing, pieces, quality, simhash, tokencounts, tokenfile, warczip
+from . import langid, maxscore, mixing, pieces, quality, simhash, tokencounts, tokenfile, warczip
 from .common import table
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of all documents, learned from those not held out."""
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents encoded and decoded by the rebuilt model, compared with the sentencepiece library."""
     return pieces.digests(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
@@ -60,7 +65,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_sentencepiece, op4_quality, op5_simhash, op6_token_file, op7_maxscore, op8_token_counts, op9_mixing, op10_warc)}
+    return {f.__name__: f for f in (op1_language_id, op3_sentencepiece, op4_quality, op5_simhash, op6_token_file, op7_maxscore, op8_token_counts, op9_mixing, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
