@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, maxscore, mixing, pieces, quality, simhash, tokencounts, tokenfile, warczip
+from . import htmltext, langid, maxscore, mixing, pieces, quality, simhash, tokencounts, tokenfile, warczip
 from .common import table
 
 
@@ -16,6 +16,11 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of all pages."""
+    return htmltext.extract(table(spark, sf_dir, "pages"))
+
+
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents encoded and decoded by the rebuilt model, compared with the sentencepiece library."""
     return pieces.digests(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
@@ -65,8 +70,10 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op3_sentencepiece, op4_quality, op5_simhash, op6_token_file, op7_maxscore, op8_token_counts, op9_mixing, op10_warc)}
+    return {f.__name__: f for f in (op1_language_id, op2_html_text, op3_sentencepiece, op4_quality, op5_simhash,
+                                    op6_token_file, op7_maxscore, op8_token_counts, op9_mixing, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_quality": quality.SQL, "op7_maxscore": maxscore.SQL, "op10_warc": warczip.SQL}
+    return {"op2_html_text": htmltext.SQL, "op4_quality": quality.SQL, "op7_maxscore": maxscore.SQL,
+            "op10_warc": warczip.SQL}
