@@ -65,20 +65,49 @@ def block_of(block_words: int) -> F.Column:
     return F.pmod(F.xxhash64(F.lit(SEED), "doc_id", "h"), count)
 
 
+def filled(d: DataFrame, by: list[str], order: str, size: str) -> DataFrame:
+    """Rows in ``order`` taken while they fit ``left``; then, past the first that doesn't, those that fit what is left,
+    ``FILLS`` times in all. Adds ``in0``.. per time, ``cut0``.. as (after, upto, most), and lowers ``left``.
+
+    Rows with equal places are taken together or not at all.
+    """
+    every, upto = Window.partitionBy(*by), Window.partitionBy(*by).orderBy(order)
+    d = d.withColumn("after", F.lit(None).cast("bigint"))
+    for k in range(FILLS):
+        fits = (F.col("after").isNull() | (F.col(order) > F.col("after"))) & (F.col(size) <= F.col("left"))
+        d = d.withColumn("sum", F.sum(F.when(fits, F.col(size))).over(upto)).withColumn(
+            f"in{k}", fits & (F.col("sum") <= F.col("left")))
+        taken = F.col(f"in{k}")
+        d = d.withColumn(f"cut{k}", F.struct("after", F.max(F.when(taken, F.col(order))).over(every).alias("upto"),
+                                             F.col("left").alias("most")))
+        d = d.withColumn("left", F.col("left") - F.coalesce(F.sum(F.when(taken, F.col(size))).over(every), F.lit(0)))
+        d = d.withColumn("after", F.coalesce(F.col(f"cut{k}.upto"), "after"))
+    return d.drop("sum", "after")
+
+
 def draw_table(blocks: DataFrame, seed: int) -> DataFrame:
-    """Blocks (source, block, words, source_size, target) to draws: source, block, lap, nth, take.
+    """Blocks (source, block, words, longest, source_size, target) to draws: source, block, lap, nth, take.
 
-    ``take`` is the number of words to draw from the block, null for all. ``nth`` counts a source's draws from 0.
+    Full laps draw all blocks. The last lap draws blocks in a permuted order while they fit, and one more in part:
+    ``take`` is the number of words to draw from it, null for whole blocks. ``nth`` counts a source's draws from 0.
     """
-    laps = F.explode(F.sequence(F.lit(0), F.floor(F.col("target") / F.greatest(F.col("source_size"), F.lit(1)))))
-    d = blocks.where("words > 0").withColumn("lap", laps).withColumn("order", F.xxhash64(F.lit(seed), "lap", "block"))
-    w = Window.partitionBy("source", "lap").orderBy("order", "block")
-    before = F.col("lap") * F.col("source_size") + F.coalesce(
-        F.sum("words").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    d = d.withColumn("before", before).where("before < target").withColumn("take", F.when(
-        F.col("before") + F.col("words") > F.col("target"), F.col("target") - F.col("before")))
+    d = blocks.where("words > 0").withColumn("laps", F.floor(
+        F.col("target") / F.greatest(F.col("source_size"), F.lit(1))))
+    cols = ["source", "block", F.col("lap").cast("bigint").alias("lap"), "order", F.col("take").cast("double").alias("take")]
+    whole = d.where("laps > 0").withColumn("lap", F.explode(F.sequence(F.lit(0), F.col("laps") - 1)))
+    whole = whole.withColumn("order", F.xxhash64(F.lit(seed), "lap", "block")).withColumn("take", F.lit(None)).select(*cols)
+    last = d.withColumn("lap", F.col("laps")).withColumn("order", F.xxhash64(F.lit(seed), "lap", "block")).withColumn(
+        "left", F.col("target") - F.col("laps") * F.col("source_size"))
+    last = filled(last, ["source"], "order", "words")
+    drawn_whole = F.col("in0")
+    for k in range(1, FILLS):
+        drawn_whole = drawn_whole | F.col(f"in{k}")
+    last = last.withColumn("whole", F.coalesce(drawn_whole, F.lit(False)))
+    rank = F.row_number().over(Window.partitionBy("source", "whole").orderBy("longest", "order", "block"))
+    last = last.withColumn("rank", rank).where("whole OR (rank = 1 AND left > 0)").withColumn(
+        "take", F.when(~F.col("whole"), F.col("left"))).select(*cols)
     nth = F.row_number().over(Window.partitionBy("source").orderBy("lap", "order", "block")) - 1
-    return d.select("source", "block", "lap", nth.alias("nth"), "take")
+    return whole.unionByName(last).select("source", "block", "lap", nth.alias("nth"), "take")
 
 
 def split_quotas(quotas: pd.DataFrame, node: int, total: int, left: int, seed: int) -> np.ndarray:
@@ -121,26 +150,12 @@ def turn(seed: int) -> F.Column:
 
 
 def cut_points(dealt: DataFrame, part: DataFrame, seed: int) -> DataFrame:
-    """What to take of the blocks drawn in part: (s, in_lap, cut), ``cut`` an array of (after, upto, most).
-
-    Documents are taken in permuted order while they fit; then, past the first that doesn't, those that fit what is
-    left, ``FILLS`` times in all. So the words taken come near, and never over, the draw's share.
-    """
+    """What to take of the blocks drawn in part: (s, in_lap, cut), ``cut`` an array of (after, upto, most)."""
     part = part.select(F.col("source").alias("s"), F.col("block").alias("b"), "lap", F.col("take").alias("left"))
     d = (dealt.join(part, dealt.source.eqNullSafe(part.s) & (dealt.block == part.b))
-         .select("s", "lap", "size", "left", turn(seed).alias("turn"), F.lit(None).cast("bigint").alias("after")))
-    every, upto, cuts = Window.partitionBy("s", "lap"), Window.partitionBy("s", "lap").orderBy("turn"), []
-    for k in range(FILLS):
-        fits = (F.col("after").isNull() | (F.col("turn") > F.col("after"))) & (F.col("size") <= F.col("left"))
-        d = d.withColumn("sum", F.sum(F.when(fits, F.col("size"))).over(upto)).withColumn(
-            "in", fits & (F.col("sum") <= F.col("left")))
-        d = d.withColumn(f"cut{k}", F.struct("after", F.max(F.when(F.col("in"), F.col("turn"))).over(every).alias("upto"),
-                                             F.col("left").alias("most")))
-        d = d.withColumn("left", F.col("left") - F.coalesce(F.sum(F.when(F.col("in"), F.col("size"))).over(every),
-                                                            F.lit(0)))
-        d = d.withColumn("after", F.coalesce(F.col(f"cut{k}.upto"), "after"))
-        cuts.append(f"cut{k}")
-    return d.groupBy("s", F.col("lap").alias("in_lap")).agg(F.first(F.array(*cuts)).alias("cut"))
+         .select("s", "lap", "size", "left", turn(seed).alias("turn")))
+    return filled(d, ["s", "lap"], "turn", "size").groupBy("s", F.col("lap").alias("in_lap")).agg(
+        F.first(F.array(*[f"cut{k}" for k in range(FILLS)])).alias("cut"))
 
 
 def plan(docs: DataFrame, weights: tuple, share: float, cap: float, block_words: int, shard_words: int,
@@ -153,7 +168,8 @@ def plan(docs: DataFrame, weights: tuple, share: float, cap: float, block_words:
     goal = written(targets(totals, weights, share, cap), "targets")
     dealt = with_block(docs, goal, block_words)
     size_of = goal.withColumnRenamed("source", "s")
-    blocks = dealt.groupBy("source", "block").agg(F.sum("size").alias("words"))
+    blocks = dealt.groupBy("source", "block").agg(F.sum("size").alias("words"),
+                                                   F.max("size").alias("longest"))
     draws = written(draw_table(blocks.join(size_of, blocks.source.eqNullSafe(size_of.s)).drop("s"), seed), "draws")
     cuts = cut_points(dealt, draws.where("take IS NOT NULL"), seed)
     quotas = draws.groupBy("source").agg(F.count(F.lit(1)).alias("quota"))
