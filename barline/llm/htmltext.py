@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 
 from .common import per_row
 
-TRAIN_PAGES, STEPS, RATE, L2, SEED = 800, 400, 0.3, 0.01, 11
+TRAIN_PAGES, STEPS, RATE, L2, SEED = 600, 600, 1.0, 0.001, 11
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)
     |<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>"']++|"[^"]*+"|'[^']*+')*+)(?:>|\Z)
     |<(?P<close2>/?)(?P<name2>[a-zA-Z][^\s/>]*+)(?P<attrs2>[^>]*+)(?:>|\Z)
