@@ -373,7 +373,7 @@ query("change_report", "report", "SELECT * FROM report", keys="prev_date curr_da
 
 _tick = """CASE c_mktsegment WHEN 'BUILDING' THEN ['A'] WHEN 'AUTOMOBILE' THEN ['N', 'R'] WHEN 'MACHINERY' THEN ['*'] WHEN 'HOUSEHOLD' THEN ['X', 'A'] ELSE NULL END"""
 cte("subs", "", f"""
-SELECT c_name || '@example.org' AS email, CASE WHEN c_acctbal > 5000 THEN 'https://hooks.example.org/' || c_custkey END AS webhook_url, {_tick} AS tickers,
+SELECT 'k' || c_custkey AS subscriber_id, CASE WHEN c_acctbal > 5000 AND c_nationkey % 5 = 0 THEN NULL ELSE c_name || '@example.org' END AS email, CASE WHEN c_acctbal > 5000 THEN 'https://hooks.example.org/' || c_custkey END AS webhook_url, {_tick} AS tickers,
  CASE WHEN c_nationkey < 12 THEN true WHEN c_nationkey < 20 THEN false END AS notify_consensus, CASE WHEN c_acctbal < 0 THEN false WHEN c_acctbal < 4000 THEN true END AS active FROM customer""")
 
 
@@ -382,13 +382,14 @@ def subscribers(spark, sf):
     tickers = (F.when(seg == "BUILDING", F.array(F.lit("A"))).when(seg == "AUTOMOBILE", F.array(F.lit("N"), F.lit("R")))
                .when(seg == "MACHINERY", F.array(F.lit("*"))).when(seg == "HOUSEHOLD", F.array(F.lit("X"), F.lit("A"))))
     return td.table(spark, sf, "customer").select(
-        F.concat("c_name", F.lit("@example.org")).alias("email"),
+        F.concat(F.lit("k"), F.col("c_custkey").cast("string")).alias("subscriber_id"),
+        F.when(~((F.col("c_acctbal") > 5000) & (F.col("c_nationkey") % 5 == 0)), F.concat("c_name", F.lit("@example.org"))).alias("email"),
         F.when(F.col("c_acctbal") > 5000, F.concat(F.lit("https://hooks.example.org/"), F.col("c_custkey").cast("string"))).alias("webhook_url"),
         tickers.alias("tickers"), F.when(F.col("c_nationkey") < 12, True).when(F.col("c_nationkey") < 20, False).alias("notify_consensus"),
         F.when(F.col("c_acctbal") < 0, False).when(F.col("c_acctbal") < 4000, True).alias("active"))
 
 
-query("active_subscribers", "subs", "SELECT * FROM subs WHERE coalesce(active, true)", keys="email webhook_url")(
+query("active_subscribers", "subs", "SELECT * FROM subs WHERE coalesce(active, true)", keys="subscriber_id email webhook_url")(
     lambda spark, sf: alerts.active_subscribers(subscribers(spark, sf)))
 # a change log in which every order is an add and finished orders of open accounts remove
 cte("sub_log", "", """
@@ -397,11 +398,11 @@ SELECT o_orderkey AS seq, CASE WHEN o_orderstatus = 'F' AND o_totalprice > 25000
  CASE WHEN o_totalprice < 150000 THEN 'https://hooks.example.org/' || o_orderkey END AS webhook_url,
  CASE WHEN o_totalprice > 100000 THEN o_orderstatus END AS ticker, o_totalprice > 50000 AS notify_consensus FROM orders""")
 query("upsert_subscribers", "sub_log", """
-SELECT email, arg_max(webhook_url, seq) FILTER (WHERE op = 'add' AND webhook_url IS NOT NULL) AS webhook_url,
+SELECT k AS subscriber_id, email, arg_max(webhook_url, seq) FILTER (WHERE op = 'add' AND webhook_url IS NOT NULL) AS webhook_url,
  coalesce(arg_max(ticker, seq) FILTER (WHERE op = 'add' AND ticker IS NOT NULL), '*') AS tickers,
  arg_min(notify_consensus, seq) FILTER (WHERE op = 'add') AS notify_consensus, arg_max(op, seq) = 'add' AS active
 FROM (SELECT *, coalesce('e:' || email, 's:' || seq) AS k FROM sub_log WHERE op = 'remove' OR email IS NOT NULL OR webhook_url IS NOT NULL)
-GROUP BY k, email HAVING count(*) FILTER (WHERE op = 'add') > 0""", keys="email webhook_url tickers notify_consensus active")(
+GROUP BY k, email HAVING count(*) FILTER (WHERE op = 'add') > 0""", keys="subscriber_id email webhook_url tickers notify_consensus active")(
     lambda spark, sf: alerts.fold_subscribers(td.table(spark, sf, "orders").select(
         F.col("o_orderkey").alias("seq"),
         F.when((F.col("o_orderstatus") == "F") & (F.col("o_totalprice") > 250000), "remove").otherwise("add").alias("op"),
@@ -429,34 +430,66 @@ def latest_moves(spark, sf):
 
 
 cte("subscr", "subs", """
-SELECT DISTINCT email, coalesce(notify_consensus, true) AS notify, CASE WHEN tickers IS NULL OR list_contains(tickers, '*') THEN '*' ELSE t END AS ticker
-FROM subs LEFT JOIN LATERAL (SELECT unnest(tickers) AS t) ON true WHERE coalesce(active, true)""")
-cte("matched", "subscr moved", """
-SELECT email, count(*) AS n_changes, string_agg(symbol, ',' ORDER BY symbol) AS symbols FROM subscr s JOIN moved m ON s.ticker = '*' OR s.ticker = m.symbol GROUP BY 1""")
-query("match_subscribers", "matched", "SELECT * FROM matched", keys="email symbols", ints="n_changes")(
+SELECT *, CASE WHEN tickers IS NULL OR list_contains(tickers, '*') THEN '*' ELSE array_to_string(list_sort(list_distinct(tickers)), ',') END AS digest_id
+FROM subs WHERE coalesce(active, true)""")
+_mark = "CASE {0} WHEN 'Bull' THEN '🟢' WHEN 'Neutral' THEN '⚪' ELSE '🔴' END || ' ' || {0}"
+cte("digest_lines", "subscr moved", f"""
+SELECT d.digest_id, m.symbol, '  • ' || m.symbol || ' (' || m.symbol || '): ' || {_mark.format('from_regime')} || ' → ' || {_mark.format('to_regime')} AS line
+FROM (SELECT DISTINCT digest_id FROM subscr) d JOIN moved m ON d.digest_id = '*' OR list_contains(string_split(d.digest_id, ','), m.symbol)""")
+cte("digests", "digest_lines", """
+SELECT digest_id, count(*) AS n_changes, array_to_string(list(symbol ORDER BY symbol)[1:3], ',') AS symbols, string_agg(line, chr(10) ORDER BY symbol) AS lines
+FROM digest_lines GROUP BY 1""")
+query("match_subscribers", "subscr digests", "SELECT s.subscriber_id, d.* FROM subscr s JOIN digests d ON s.digest_id = d.digest_id",
+      keys="subscriber_id digest_id symbols", ints="n_changes")(
     lambda spark, sf: alerts.match_subscribers(alerts.active_subscribers(subscribers(spark, sf)), latest_moves(spark, sf))
     .withColumn("symbols", F.array_join("symbols", ",")))
 
 
-def one_change(spark):
-    """The newest consensus change as the outbox takes it: at most one row."""
-    return spark.range(1).select(F.lit("Bull").alias("from_regime"), F.lit("strong").alias("from_level"),
-                                 F.lit("Bear").alias("to_regime"), F.lit("split").alias("to_level"))
+def newest_change(spark, sf):
+    """The newest change of the snapshots' consensus: at most one row."""
+    return cons.consensus_change(snapshot_consensus(spark, sf)).orderBy(F.desc("generated_at")).limit(1)
 
 
-def messages(spark, sf):
-    return alerts.outbox(alerts.active_subscribers(subscribers(spark, sf)), latest_moves(spark, sf), one_change(spark), "2001-11-01")
+_name = "CASE {} WHEN 0 THEN 'Bull' WHEN 1 THEN 'Neutral' WHEN 2 THEN 'Bear' END"
+cte("newest_change", "snap_cons", f"""
+SELECT chr(10) || 'Market Consensus: ' || a || ' (' || from_level || ') → ' || b || ' (' || to_level || ')' AS told FROM (
+ SELECT generated_at, {_name.format('label')} AS b, {_name.format('lag(label) OVER (ORDER BY generated_at)')} AS a, level AS to_level,
+  lag(level) OVER (ORDER BY generated_at) AS from_level FROM snap_cons)
+WHERE a IS NOT NULL AND (a <> b OR from_level <> to_level) ORDER BY generated_at DESC LIMIT 1""")
+cte("messages", "subscr digests newest_change", """
+SELECT subscriber_id, email, webhook_url, digest_id, with_consensus, coalesce(n_changes, 0) AS n_changes, 'Regime Alert: ' || coalesce(replace(symbols, ',', ', '), '') ||
+ CASE WHEN n_changes > 3 THEN ' +' || (n_changes - 3) || ' more' ELSE '' END || ' (2001-11-01)' AS subject, n_changes IS NOT NULL OR with_consensus AS hit FROM (
+ SELECT s.*, coalesce(s.notify_consensus, true) AND (SELECT count(*) FROM newest_change) > 0 AS with_consensus, d.n_changes, d.symbols
+ FROM subscr s LEFT JOIN digests d ON s.digest_id = d.digest_id)""")
 
 
-query("alert_messages", "subs matched", """
-SELECT s.email, coalesce(m.n_changes, 0) AS n_changes, 'Regime Alert: ' || coalesce(array_to_string(string_split(m.symbols, ',')[1:3], ', '), '') ||
- CASE WHEN m.n_changes > 3 THEN ' +' || (m.n_changes - 3) || ' more' ELSE '' END || ' (2001-11-01)' AS subject
-FROM subs s LEFT JOIN matched m ON s.email = m.email WHERE coalesce(s.active, true) AND (m.n_changes IS NOT NULL OR coalesce(s.notify_consensus, true))""",
-      keys="email subject", ints="n_changes")(messages)
-query("subscription_counts", "subs matched", """
-SELECT sum(CASE WHEN hit THEN 1 + (webhook_url IS NOT NULL)::INT ELSE 0 END) AS sent, count(*) FILTER (WHERE NOT hit) AS skipped FROM (
- SELECT s.*, m.n_changes IS NOT NULL OR coalesce(s.notify_consensus, true) AS hit FROM subs s LEFT JOIN matched m ON s.email = m.email WHERE coalesce(s.active, true))""",
-      ints="sent skipped")(lambda spark, sf: alerts.dispatch_counts(alerts.active_subscribers(subscribers(spark, sf)), messages(spark, sf)))
+def alert_parts(spark, sf):
+    subs, moves = alerts.active_subscribers(subscribers(spark, sf)), latest_moves(spark, sf).persist()
+    change = newest_change(spark, sf).persist()
+    return subs, moves, change, alerts.outbox(subs, moves, change, "2001-11-01")
+
+
+query("alert_messages", "messages", "SELECT * FROM messages WHERE hit", keys="subscriber_id digest_id with_consensus subject", ints="n_changes")(
+    lambda spark, sf: alert_parts(spark, sf)[3])
+
+
+@query("alert_bodies", "messages digests newest_change", """
+SELECT digest_id, with_consensus, 'Regime Change Alert — 2001-11-01' || chr(10) || repeat('=', 50) || CASE WHEN with_consensus THEN chr(10) || told ELSE '' END || chr(10) ||
+ coalesce(chr(10) || 'Regime Changes:' || chr(10) || lines, chr(10) || 'No individual asset regime changes.') || chr(10) || chr(10) || repeat('-', 50) || chr(10) ||
+ 'Regime Monitor | Unsubscribe: reply with UNSUBSCRIBE' AS body
+FROM (SELECT DISTINCT m.digest_id, m.with_consensus, d.lines FROM messages m LEFT JOIN digests d ON m.digest_id = d.digest_id WHERE hit) LEFT JOIN newest_change ON true""",
+       keys="digest_id with_consensus body")
+def alert_bodies(spark, sf):
+    subs, moves, change, messages = alert_parts(spark, sf)
+    return alerts.bodies(messages, subs, moves, change, "2001-11-01")
+
+
+@query("subscription_counts", "messages", """
+SELECT sum(CASE WHEN hit THEN (email IS NOT NULL)::INT + (webhook_url IS NOT NULL)::INT ELSE 0 END) AS sent, count(*) FILTER (WHERE NOT hit) AS skipped FROM messages""",
+       ints="sent skipped")
+def subscription_counts(spark, sf):
+    subs, _, _, messages = alert_parts(spark, sf)
+    return alerts.dispatch_counts(subs, messages)
 
 
 # ---- drift ---------------------------------------------------------------------------------------

@@ -22,6 +22,7 @@ AUX = T.StructType([
     T.StructField("value", T.DoubleType()),
 ])
 SUBSCRIBERS = T.StructType([
+    T.StructField("subscriber_id", T.StringType()),
     T.StructField("email", T.StringType()),
     T.StructField("webhook_url", T.StringType()),
     T.StructField("tickers", T.ArrayType(T.StringType())),
@@ -55,6 +56,14 @@ MIN_PERIODS = 20
 REGIME_NAMES = {0: "Bull", 1: "Neutral", 2: "Bear"}
 REGIME_ALLOC = {0: 1.0, 1: 0.0, 2: -0.5}
 REGIME_COLORS = {0: "#22c55e", 1: "#a3a3a3", 2: "#ef4444"}
+# Symbols and texts of the alert format.
+REGIME_EMOJI = {"Bull": "🟢", "Neutral": "⚪", "Bear": "🔴"}
+RISK_EMOJI = {"high": "⚠️", "medium": "🔶", "low": ""}
+ALERT_BULLET, ALERT_RISK_LEAD, ALERT_RISK_TEXT = "  • ", "  ", " transition risk: "
+ALERT_SUBJECT, ALERT_HEAD = "Regime Alert: ", "Regime Change Alert — {}"
+ALERT_CONSENSUS = "\nMarket Consensus: {} ({}) → {} ({})"
+ALERT_CHANGES, ALERT_NO_CHANGES = "\nRegime Changes:\n", "\nNo individual asset regime changes."
+ALERT_FOOT = "Regime Monitor | Unsubscribe: reply with UNSUBSCRIBE"
 SWITCHING_ALLOC = (1.0, -0.3)
 K3_ALLOC = (1.0, 0.0, -0.5)
 K4_ALLOC = (1.0, 0.5, -0.25, -0.5)
