@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions import frame as fr
+from ..functions.store import scratch, stored
 
 from ..models import classifier as clf
 from ..models import filters as flt
@@ -42,11 +43,11 @@ def hmm_forward_filter(spark, sf):
     return out.select("symbol", "pos", F.col("probs")[0].alias("p_calm"), F.col("probs")[1].alias("p_wild"))
 
 
-query("fit_regime_mixture")(lambda spark, sf: mix.regime_mixture(pairs(spark, sf), iterations=20))
+query("fit_regime_mixture")(lambda spark, sf: mix.regime_mixture(pairs(spark, sf)))
 query("fit_regime_mixture_train")(lambda spark, sf: mix.regime_mixture(
-    flt.train_share(pairs(spark, sf), 0.7), iterations=20, train_only=True))
-query("select_k")(lambda spark, sf: mix.select_k(pairs(spark, sf), iterations=8))
-query("state_path")(lambda spark, sf: mix.regime_mixture(pairs(spark, sf), iterations=10, path=True).select("symbol", "pos", "state"))
+    flt.train_share(pairs(spark, sf), 0.7), train_only=True))
+query("select_k")(lambda spark, sf: mix.select_k(pairs(spark, sf)))
+query("state_path")(lambda spark, sf: mix.regime_mixture(pairs(spark, sf), iterations=100, path=True).select("symbol", "pos", "state"))
 
 cte("garch", "bars_r", f"""
 SELECT t.symbol, t.pos, sum(pow(0.9, t.pos - i.pos) * CASE WHEN i.pos = 0 THEN 1.0 ELSE 0.02 + 0.08 * coalesce(i.x * i.x, 0) END) AS sigma2
@@ -69,7 +70,7 @@ SELECT symbol, pos, coalesce(least(greatest(0.14 / CASE WHEN vol_ewma * sqrt(252
 
 def _switching(spark, sf, share=0.7):
     df = feat.with_return(td.bars(spark, sf)).where("r IS NOT NULL")
-    return mix.switching_ar(flt.train_share(fr.with_pos(df.select("symbol", "ts", "r")), share), iterations=20)
+    return mix.switching_ar(flt.train_share(fr.with_pos(df.select("symbol", "ts", "r")), share))
 
 
 query("fit_switching_ar")(_switching)
@@ -105,7 +106,7 @@ def remaining_duration(spark, sf):
         "remaining", vol.remaining_duration(F.col("shape"), F.col("scale"), F.col("streak")))
 
 
-CLF = ["mom_20", "mom_63", "vol_ewma", "vol_ratio_sl", "shock_z", "drawdown_252", "trend_dir"]
+CLF = S.FEATURES_V1
 
 
 def training(spark, sf):
@@ -113,9 +114,9 @@ def training(spark, sf):
     return flt.train_share(w, 0.7)
 
 
-def _fitted(spark, sf, trees=5, depth=3):
-    rows = training(spark, sf).persist()
-    model = clf.BarrierClassifier(CLF, max_depth=depth, n_estimators=trees).fit(rows.where("is_train"))
+def _fitted(spark, sf):
+    rows = stored(training(spark, sf))
+    model = clf.BarrierClassifier(CLF).fit(rows.where("is_train"))
     return model, rows
 
 
@@ -137,18 +138,17 @@ def feature_importance(spark, sf):
 
 @query("tune_classifier")
 def tune_classifier(spark, sf):
-    """Two depths over three purged inner folds."""
-    rows = tb(spark, sf).withColumn("weight", F.lit(1.0)).persist()
-    split = folds.cpcv_split(rows, n_splits=3, n_test=1).persist()
-    best = clf.tune(split, CLF[:4], {"max_depth": [2, 3], "eta": [0.1], "n_estimators": [2]})
+    """Two depths over five purged inner folds, all features, uniqueness weights; few trees (see the README)."""
+    split = stored(folds.cpcv_split(stored(lab.sample_weights(tb(spark, sf))), n_splits=5, n_test=1))
+    best = clf.tune(split, CLF, {"max_depth": [3, 5], "eta": [0.05], "n_estimators": [3]})
     return spark.createDataFrame([(p["max_depth"], p["eta"], p["n_estimators"], loss) for p, loss in best],
                                  "max_depth int, eta double, n_estimators int, log_loss double")
 
 
 @query("fit_transition_detector")
 def fit_transition_detector(spark, sf):
-    rows = flt.train_share(lab.transition_target(raw(spark, sf)), 0.7).persist()
-    det = clf.TransitionDetector([*CLF, "p_0", "p_1", "p_2"], max_depth=3, n_estimators=5).fit(rows.where("is_train"))
+    rows = stored(flt.train_share(lab.transition_target(raw(spark, sf)), 0.7))
+    det = clf.TransitionDetector([*CLF, "p_0", "p_1", "p_2"]).fit(rows.where("is_train"))
     return det.predict(rows.where("NOT is_train")).select("symbol", "pos", "target", "p_change")
 
 
@@ -170,8 +170,8 @@ def ridge_blend(spark, sf):
 def fusion_position(spark, sf):
     """Mixture pooled with switching-AR states through a learned mapping, traded one bar later."""
     p = flt.train_share(pairs(spark, sf), 0.7)
-    m = mix.regime_mixture(p, iterations=15, train_only=True).drop("label")
-    sw = mix.switching_ar(p, iterations=15)
+    m = mix.regime_mixture(p, train_only=True).drop("label")
+    sw = mix.switching_ar(p)
     both = m.join(sw, ["symbol", "pos"]).join(p.select("symbol", "pos", "ts", "is_train"), ["symbol", "pos"])
     labels = raw(spark, sf).select("symbol", "ts", "label")
     mapping = rg.state_mapping(both.where("is_train").join(labels, ["symbol", "ts"]))
@@ -196,8 +196,7 @@ def conformal_position(spark, sf):
 def rule_strategy(spark, sf):
     """Rule positions per path with the state carried in from the path's train rows."""
     f = feat.features_v1(td.bars(spark, sf))
-    split = folds.cpcv_split(f, n_splits=4, n_test=1)
-    return rg.rule_strategy(split, ["vol_ewma", "mom_20", "shock_z", "drawdown_252", "trend_dir"])
+    return rg.rule_strategy(folds.cpcv_split(f), S.FEATURES_V1)
 
 
 @query("asset_state")
@@ -212,16 +211,16 @@ def asset_state(spark, sf):
 @query("write_asset_payload")
 def write_asset_payload(spark, sf):
     """Payloads through the JSON sink and back through its schema."""
-    path = live.scratch(spark) + "/payloads"
+    path = scratch(spark) + "/payloads"
     sinks.write_payloads(snap.asset_state(models(spark, sf)).select("symbol", "as_of", "current_close", "current_regime"), path)
-    return spark.read.schema("symbol string, as_of date, current_close double, current_regime struct<label:int,name:string>, safe string").json(path).select(
+    return sinks.read_payloads(spark, path, "symbol string, as_of date, current_close double, current_regime struct<label:int,name:string>, safe string").select(
         "symbol", "as_of", "current_close", F.col("current_regime.label").alias("label"), "safe")
 
 
 @query("read_snapshot", "bars", "SELECT symbol, max(ts) AS as_of, arg_max(close, ts) AS close FROM bars GROUP BY 1", keys="symbol as_of", floats="close")
 def read_snapshot(spark, sf):
     """Snapshot rows written by date, read back, newest date only per symbol."""
-    path = live.scratch(spark) + "/snapshots"
+    path = scratch(spark) + "/snapshots"
     last = td.bars(spark, sf).groupBy("symbol").agg(F.max("ts").alias("as_of"), F.max_by("close", "ts").alias("close"))
     sinks.append_snapshot(last.withColumn("generated_at", F.lit("2001-12-01")), path)
     return spark.read.parquet(path)
@@ -232,7 +231,7 @@ def read_snapshot(spark, sf):
 def write_cache(spark, sf):
     """Cache by symbol, then a pruned and pushed-down read of two symbols and two years."""
     from ..sources.readers import read_closes
-    path = live.scratch(spark) + "/cache"
+    path = scratch(spark) + "/cache"
     sinks.write_cache(td.bars(spark, sf).select("symbol", "ts", "close"), path)
     return read_closes(spark, path, ["A", "R"], "1997-01-01", "1999-01-01")
 
@@ -258,25 +257,29 @@ def report_robustness(spark, sf):
 DAYS, YEARS = ["2024-01-11", "2024-01-21"], ["1998-01-01", "2000-01-01"]
 
 
-@query("stream_daily_rv", "tick_day", "SELECT * FROM tick_day WHERE day < (SELECT CAST(max(ts) - INTERVAL 1 HOUR AS DATE) FROM ticks)",
+@query("stream_daily_rv", "tick_day", "SELECT * FROM tick_day",
        keys="symbol day", ints="n", floats="rv rsv_pos rsv_neg")
 def stream_daily_rv(spark, sf):
     r = intraday_returns(td.ticks(spark, sf)).select("symbol", "ts", "seq", "r")
-    return live.replay(r, "ts", DAYS, live.daily_realised)
+    return live.replay(r, "ts", DAYS, live.daily_realised, flush=True)
 
 
 @query("stream_bars", "ticks", """
 SELECT symbol, date_trunc('hour', ts) AS ts, arg_min(close, (ts, seq)) AS open, max(close) AS high, min(close) AS low,
- arg_max(close, (ts, seq)) AS close, count(*) AS volume FROM ticks GROUP BY 1, 2
-HAVING date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR FROM ticks)""",
+ arg_max(close, (ts, seq)) AS close, count(*) AS volume FROM ticks GROUP BY 1, 2""",
        keys="symbol ts", ints="volume", floats="open high low close")
 def stream_bars(spark, sf):
-    return live.replay(td.ticks(spark, sf), "ts", DAYS, live.live_bars)
+    return live.replay(td.ticks(spark, sf), "ts", DAYS, live.live_bars, flush=True)
 
 
-@query("stream_sessions")
+@query("stream_sessions", "ticks", """
+SELECT symbol, min(ts) AS started, max(ts) + INTERVAL 30 MINUTE AS ended, count(*) AS n, min(close) AS low, max(close) AS high FROM (
+ SELECT *, sum(fresh) OVER (PARTITION BY symbol ORDER BY ts ROWS UNBOUNDED PRECEDING) AS session FROM (
+  SELECT *, CASE WHEN ts >= lag(ts) OVER (PARTITION BY symbol ORDER BY ts) + INTERVAL 30 MINUTE THEN 1 ELSE 0 END AS fresh FROM ticks))
+GROUP BY symbol, session""", keys="symbol started ended", ints="n", floats="low high")
 def stream_sessions(spark, sf):
-    return live.replay(td.ticks(spark, sf), "ts", DAYS, live.tick_sessions)
+    return live.replay(td.ticks(spark, sf), "ts", DAYS, live.tick_sessions, flush=True).withColumnsRenamed(
+        {"start": "started", "end": "ended"})
 
 
 @query("stream_regime_state")
@@ -303,7 +306,7 @@ def stream_drift(spark, sf):
     """PSI of the landed later line items against the earlier ones, per micro-batch."""
     from .regime import PSI_COLS, drift_sides
     ref, cur = drift_sides(spark, sf)
-    path = live.scratch(spark) + "/landing"
+    path = scratch(spark) + "/landing"
     cur.write.parquet(path)
     stream = live.read_stream(spark, cur, path, files_per_batch=1000)
     return live.run_drift(stream, ref, PSI_COLS).withColumnRenamed("column", "feature")

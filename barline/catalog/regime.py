@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from .. import schema as S
 from ..functions import frame as fr
 from ..functions.columns import lookup
+from ..functions.store import stored
 from ..operators import alerts, consensus as cons, diagnostics as diag, drift
 from ..operators import features as feat
 from ..operators import labels as lab
@@ -73,12 +74,13 @@ def raw(spark, sf):
 
 
 def models(spark, sf):
-    """Rule labels, a volatility-state model, a volatility-tercile model and their fusion, per bar."""
+    """Rule labels, a volatility-state model, a volatility-tercile model and their fusion, per bar, stored once."""
     df = feat.minmax_normalise(raw(spark, sf), {"_vl": "vol_long"})
     gmm = F.when(F.col("_vl") < 1.0 / 3, 0).when(F.col("_vl") < 2.0 / 3, 1).otherwise(2)
     df = df.select("symbol", "pos", "ts", "close", "r", "p_0", "p_1", "p_2", "label", (1 - F.col("vol_n")).alias("p_low"),
                    F.col("vol_n").alias("p_high"), gmm.alias("gmm_label"))
-    return rg.fuse(df, rg.state_mapping(df)).withColumn("vol_label", rg.vol_state_class("p_low", "p_high"))
+    df = stored(df)
+    return stored(rg.fuse(df, rg.state_mapping(df)).withColumn("vol_label", rg.vol_state_class("p_low", "p_high")))
 
 
 BAR = dict(keys="symbol", ints="pos")
@@ -464,8 +466,8 @@ SELECT subscriber_id, email, webhook_url, digest_id, with_consensus, coalesce(n_
 
 
 def alert_parts(spark, sf):
-    subs, moves = alerts.active_subscribers(subscribers(spark, sf)), latest_moves(spark, sf).persist()
-    change = newest_change(spark, sf).persist()
+    subs, moves = alerts.active_subscribers(subscribers(spark, sf)), stored(latest_moves(spark, sf))
+    change = stored(newest_change(spark, sf))
     return subs, moves, change, alerts.outbox(subs, moves, change, "2001-11-01")
 
 
@@ -529,8 +531,8 @@ def vector_sides(spark, sf):
 
 @query("mmd_rbf")
 def mmd_rbf(spark, sf):
-    """Sampled kernel discrepancy of the embeddings by label half."""
-    return drift.mmd_sampled(*vector_sides(spark, sf), "embedding", "vec_id")
+    """Kernel discrepancy of the embeddings by label half, bandwidth by the median distance, over whole tables."""
+    return drift.mmd_rbf(*vector_sides(spark, sf), "embedding", "vec_id", dim=64)
 
 
 @query("mmd_fourier")
@@ -540,16 +542,21 @@ def mmd_fourier(spark, sf):
     return drift.mmd_fourier(a, b, "embedding", dim=64, scale=2.0)
 
 
-query("calibration_drift", "", """
+cte("calibration", "", """
 SELECT l_returnflag AS symbol, abs(avg((l_discount < 0.09)::INT) FILTER (WHERE NOT c) - 0.9) - abs(avg((l_discount < 0.09)::INT) FILTER (WHERE c) - 0.9) AS cal_drift
-FROM (SELECT *, l_shipdate < TIMESTAMP '1998-06-01' AS c FROM lineitem) GROUP BY 1""", keys="symbol", floats="cal_drift")(
-    lambda spark, sf: td.table(spark, sf, "lineitem").groupBy(F.col("l_returnflag").alias("symbol")).agg(
+FROM (SELECT *, l_shipdate < TIMESTAMP '1998-06-01' AS c FROM lineitem) GROUP BY 1""")
+
+
+@query("calibration_drift", "calibration", "SELECT * FROM calibration", keys="symbol", floats="cal_drift")
+def calibration(spark, sf):
+    """Coverage of a discount bound before and after the cut, against 90 %."""
+    return (td.table(spark, sf, "lineitem").groupBy(F.col("l_returnflag").alias("symbol")).agg(
         F.avg(F.when(F.col("l_shipdate") < F.lit("1998-06-01").cast("timestamp"), (F.col("l_discount") < 0.09).cast("int"))).alias("_ref"),
         F.avg(F.when(F.col("l_shipdate") >= F.lit("1998-06-01").cast("timestamp"), (F.col("l_discount") < 0.09).cast("int"))).alias("_cur"))
-    .select("symbol", drift.calibration_drift("_ref", "_cur", F.lit(0.9)).alias("cal_drift")))
+            .select("symbol", drift.calibration_drift("_ref", "_cur", F.lit(0.9)).alias("cal_drift")))
 
 
 @query("drift_check")
 def drift_check(spark, sf):
     """Worst PSI over line items and embedding discrepancy against the alarm thresholds."""
-    return drift.drift_check(_psi(spark, sf), mmd_rbf(spark, sf), drift.calibration_drift(F.lit(0.9), F.lit(0.82), F.lit(0.9)))
+    return drift.drift_check(_psi(spark, sf), mmd_rbf(spark, sf), calibration(spark, sf))

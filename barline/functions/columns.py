@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from statistics import NormalDist
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ColumnOrName = Column | str
@@ -42,13 +42,18 @@ def lookup(c: ColumnOrName, table: dict) -> Column:
     return F.create_map(*pairs)[col(c)]
 
 
-def softmax(scores: list[Column], temperature: float = 1.0) -> list[Column]:
-    """Max-subtracted softmax over scalar columns."""
-    z = [s * F.lit(temperature) for s in scores]
-    top = F.greatest(*z)
-    e = [F.exp(v - top) for v in z]
-    total = sum(e[1:], e[0])
-    return [v / total for v in e]
+def with_softmax(df: DataFrame, scores: list[Column], out: list[str], temperature: float = 1.0) -> DataFrame:
+    """Adds the max-subtracted softmax of scalar columns.
+
+    Scores, maximum and exponentials are columns of projections of their own: each is used more than once, so the
+    optimizer keeps them apart and generated code stays small.
+    """
+    z, e = [f"_z_{i}" for i in range(len(scores))], [f"_e_{i}" for i in range(len(scores))]
+    keep = [c for c in df.columns if c not in out]
+    df = df.withColumns({a: s * F.lit(temperature) for a, s in zip(z, scores)}).withColumn("_top", F.greatest(*z))
+    df = df.withColumns({b: F.exp(F.col(a) - F.col("_top")) for a, b in zip(z, e)})
+    df = df.withColumn("_total", sum((F.col(b) for b in e[1:]), F.col(e[0])))
+    return df.select(*keep, *[(F.col(b) / F.col("_total")).alias(n) for b, n in zip(e, out)])
 
 
 def argmax(values: list[Column]) -> Column:

@@ -7,6 +7,7 @@ table has one row per block, and nothing leaves the JVM.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, Window
@@ -19,14 +20,29 @@ def _number(beta: float | str) -> str:
     return f"{beta!r}D" if isinstance(beta, (int, float)) else beta
 
 
+#: Largest block, the power of e that stays well inside double range, and the least beta of a column.
+MAX_BLOCK, EXPONENT, LEAST_BETA = 1024, 600.0, 1e-4
+
+
+def block_length(betas: Sequence[float | str]) -> int:
+    """The longest block for which every ``beta ** -block`` is finite; columns count as ``LEAST_BETA``."""
+    least = min(LEAST_BETA if isinstance(b, str) else b for b in betas)
+    if not 0 < least:
+        raise ValueError("beta must be positive")
+    return MAX_BLOCK if least >= 1 else max(1, min(MAX_BLOCK, int(EXPONENT / -math.log(least))))
+
+
 def linear_scan(df: DataFrame, specs: Mapping[str, tuple[str, float | str]],
-                keys: Sequence[str] = ("symbol",), block: int = 256) -> DataFrame:
+                keys: Sequence[str] = ("symbol",), block: int = MAX_BLOCK) -> DataFrame:
     """Add one column per spec ``name: (u, beta)``, with y before the first row equal to 0.
 
-    ``u`` is a SQL expression, ``beta`` a number or a column constant within a series. ``block``
-    must keep ``beta ** -block`` finite: 256 serves beta >= 0.07, 1024 serves beta >= 0.51.
+    ``u`` is a SQL expression, ``beta`` a number or a column constant within a series. The block length
+    is ``block`` or what the smallest beta allows, whichever is less; a column below ``LEAST_BETA`` raises instead of overflowing.
     """
-    key = ", ".join(keys)
+    block, key = min(block, block_length([b for _, b in specs.values()])), ", ".join(keys)
+    checked = {b: f"CASE WHEN {b} >= {LEAST_BETA!r}D OR {b} IS NULL THEN {b} ELSE CAST(raise_error('beta too small') AS DOUBLE) END"
+               for _, b in specs.values() if isinstance(b, str)}
+    df = df.selectExpr(*[f"{checked[c]} AS {c}" if c in checked else c for c in df.columns]) if checked else df
     items = [(i, n, u, _number(b)) for i, (n, (u, b)) in enumerate(specs.items())]
     work = df.selectExpr(
         "*", f"CAST(floor(pos / {block}) AS INT) AS _b", f"CAST(pos % {block} AS DOUBLE) AS _k",
@@ -50,7 +66,7 @@ def linear_scan(df: DataFrame, specs: Mapping[str, tuple[str, float | str]],
 
 
 def ewm(df: DataFrame, specs: Mapping[str, tuple[str, float]], keys: Sequence[str] = ("symbol",),
-        min_periods: int = 20, block: int = 1024) -> DataFrame:
+        min_periods: int = 20, block: int = MAX_BLOCK) -> DataFrame:
     """Adjusted exponentially weighted mean and bias-corrected std.
 
     ``specs`` maps an output prefix to (column or expression, alpha); adds ``<prefix>_mean`` and
@@ -83,7 +99,7 @@ def ewm(df: DataFrame, specs: Mapping[str, tuple[str, float]], keys: Sequence[st
 
 
 def ewm_recursive(df: DataFrame, c: str, alpha: float, out: str,
-                  keys: Sequence[str] = ("symbol",), block: int = 1024) -> DataFrame:
+                  keys: Sequence[str] = ("symbol",), block: int = MAX_BLOCK) -> DataFrame:
     """Unadjusted EWM mean: starts at the first value, then y = (1-alpha) y + alpha x."""
     seen = F.count(c).over(Window.partitionBy(*keys).orderBy("pos").rowsBetween(UNB, 0))
     u = f"CASE WHEN _seen = 1 THEN {c} ELSE {alpha!r}D * {c} END"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
+from collections import deque
 from collections.abc import Sequence
 from itertools import product
 
@@ -16,6 +18,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import clip, col
 
 CLASSES = (-1, 0, 1)
+# The small tuning grid.
 SMALL_GRID = {"max_depth": [3, 5], "eta": [0.05], "n_estimators": [100, 200]}
 
 
@@ -179,26 +182,53 @@ def ridge_blend(wide: DataFrame, strategies: Sequence[str], keys: Sequence[str],
     return joined.select(*keys, "pos", "role", clip(blended, -1.0, 1.0).alias("position"))
 
 
+ALPHA, GAMMA, WINDOW, MIN_SCORES, RATE_EDGE = 0.10, 0.005, 500, 30, 1e-6
+
+
+def rank_value(ordered: list[float], share: float) -> float:
+    """Value at a share of the ranks of an ordered list, between neighbours by interpolation."""
+    at = share * (len(ordered) - 1)
+    low = int(at)
+    step = ordered[min(low + 1, len(ordered) - 1)] - ordered[low]
+    return ordered[low] + step * (at - low)
+
+
+def confined(p: np.ndarray, inside: np.ndarray) -> np.ndarray:
+    """Probabilities of the set's members, adding up to one; unchanged where the set has no mass."""
+    members = p * inside
+    return members / members.sum() if members.sum() > 0 else p.copy()
+
+
 class ConformalState:
-    """Sliding scores and the adaptive miscoverage rate of one series."""
+    """The newest scores of one series, in order of arrival and of size, and its miscoverage rate."""
+
+    def __init__(self, scores=(), rate: float = ALPHA):
+        self.arrived = deque(scores)
+        self.ordered = sorted(self.arrived)
+        self.rate = rate
+
+    @property
+    def scores(self) -> list[float]:
+        return list(self.arrived)
 
-    __slots__ = ("scores", "rate", "alpha", "gamma", "window")
+    def threshold(self) -> float:
+        return rank_value(self.ordered, 1 - self.rate) if len(self.ordered) >= MIN_SCORES else 1.0
 
-    def __init__(self, scores=None, rate=None, alpha=0.10, gamma=0.005, window=500):
-        self.scores = list(scores) if scores is not None else []
-        self.alpha, self.gamma, self.window = alpha, gamma, window
-        self.rate = alpha if rate is None else rate
+    def learn(self, score: float, covered: bool) -> None:
+        """Insert a score, evict the oldest beyond the window, and move the rate towards its target."""
+        self.arrived.append(score)
+        insort(self.ordered, score)
+        if len(self.arrived) > WINDOW:
+            del self.ordered[bisect_left(self.ordered, self.arrived.popleft())]
+        drift = GAMMA * (ALPHA if covered else ALPHA - 1)
+        self.rate = min(max(self.rate + drift, RATE_EDGE), 1 - RATE_EDGE)
 
     def step(self, p: np.ndarray, y: int | None) -> tuple[np.ndarray, np.ndarray]:
         """Prediction set and calibrated vector for p; learns from y when it is known."""
-        q = float(np.quantile(self.scores, 1 - self.rate)) if len(self.scores) >= 30 else 1.0
-        inside = (1 - p) <= q
+        inside = 1 - p <= self.threshold()
         if y is not None and 0 <= y < len(p):
-            self.scores = (self.scores + [float(1 - p[y])])[-self.window:]
-            missed = 0 if inside[y] else 1
-            self.rate = float(np.clip(self.rate + self.gamma * (self.alpha - missed), 1e-6, 1 - 1e-6))
-        mass = p[inside].sum()
-        return inside, (np.where(inside, p / mass, 0.0) if mass > 0 else p.copy())
+            self.learn(float(1 - p[y]), bool(inside[y]))
+        return inside, confined(p, inside)
 
 
 CONFORMAL = "symbol string, pos int, c_0 double, c_1 double, c_2 double, set_size int, covered boolean, rate double"

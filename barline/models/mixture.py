@@ -44,7 +44,7 @@ def _em(x: np.ndarray, k: int, iterations: int, tol: float = 1e-3):
     return means[order], covs[order], trans[np.ix_(order, order)], start[order], ll
 
 
-def regime_mixture(df: DataFrame, k: int = 3, iterations: int = 40, train_only: bool = False, path: bool = False) -> DataFrame:
+def regime_mixture(df: DataFrame, k: int = 3, iterations: int = 200, train_only: bool = False, path: bool = False) -> DataFrame:
     """Filtered p_0..p_{k-1} of a Gaussian chain on (r, vol), states by ascending vol variance.
 
     ``train_only`` fits on rows with is_train and filters all rows; otherwise the fit sees the
@@ -75,7 +75,7 @@ def regime_mixture(df: DataFrame, k: int = 3, iterations: int = 40, train_only:
     return df.select(*keep).groupBy("symbol").applyInPandas(fit, schema)
 
 
-def select_k(df: DataFrame, k_range: tuple[int, int] = (2, 5), iterations: int = 40) -> DataFrame:
+def select_k(df: DataFrame, k_range: tuple[int, int] = (2, 5), iterations: int = 200) -> DataFrame:
     """AIC and BIC per state count; every (series, K) is its own task."""
     ks = list(range(k_range[0], k_range[1] + 1))
     grid = df.select("symbol", "pos", "r", "vol", F.explode(F.array(*map(F.lit, ks))).alias("k"))
@@ -96,7 +96,7 @@ def select_k(df: DataFrame, k_range: tuple[int, int] = (2, 5), iterations: int =
     return out.withColumn("best_k", best)
 
 
-def switching_ar(df: DataFrame, iterations: int = 50) -> DataFrame:
+def switching_ar(df: DataFrame, iterations: int = 200) -> DataFrame:
     """Filtered p_low, p_high of a two-state AR(1) with switching mean and variance.
 
     Fits on is_train rows, filters every row with those parameters; low is the calmer state.

@@ -8,7 +8,7 @@ positions.
 from __future__ import annotations
 
 from itertools import combinations
-from math import ceil, comb
+from math import comb
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -103,7 +103,3 @@ def contiguous_blocks(df: DataFrame, keys: list[str], pos: str = "pos") -> DataF
     return (df.withColumn("_island", F.col(pos) - F.row_number().over(w))
             .groupBy(*keys, "_island").agg(F.min(pos).alias("block_start"), F.max(pos).alias("block_end"))
             .drop("_island"))
-
-
-def embargo_bars(n: int, pct: float) -> int:
-    return ceil(pct * n)

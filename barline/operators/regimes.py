@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schema as S
-from ..functions.columns import ColumnOrName, argmax, clip, col, lookup, safe_div, softmax
+from ..functions.columns import ColumnOrName, argmax, clip, col, lookup, safe_div, with_softmax
 from ..functions.frame import runs, series
 from .features import minmax_normalise
 
@@ -42,8 +42,7 @@ def rule_scores(features: DataFrame) -> DataFrame:
 
 
 def rule_probabilities(scores: DataFrame) -> DataFrame:
-    probs = softmax([F.col(f"s_{k}") for k in range(3)], S.SOFTMAX_TEMP)
-    return scores.withColumns(dict(zip(P, probs)))
+    return with_softmax(scores, [F.col(f"s_{k}") for k in range(3)], P, S.SOFTMAX_TEMP)
 
 
 def risk_confirm(label: ColumnOrName, shock: ColumnOrName, dd: ColumnOrName) -> Column:
@@ -273,7 +272,7 @@ def log_opinion_pool(df: DataFrame, first: Sequence[str], second: Sequence[str],
                      eps: float = 1e-9) -> DataFrame:
     """Normalised product of two class-probability vectors."""
     logs = [F.ln(F.col(a) + F.lit(eps)) + F.ln(F.col(b) + F.lit(eps)) for a, b in zip(first, second)]
-    return df.withColumns(dict(zip(out, softmax(logs))))
+    return with_softmax(df, logs, list(out))
 
 
 def state_mapping(df: DataFrame, label: str = "label", min_bars: int = 30) -> DataFrame:

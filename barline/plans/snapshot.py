@@ -102,7 +102,7 @@ def strategy_table(report: DataFrame) -> DataFrame:
 def robustness_table(evaluated: DataFrame) -> DataFrame:
     """Per-asset section: tick for positive Sharpe, cross for not, dash for failed."""
     ok = F.col("error").isNull() & F.col("sharpe_p50").isNotNull()
-    note = F.when(F.col("error").isNull(), "").otherwise(F.concat(F.lit("FAILED: "), F.substring("error", 1, 60)))
+    note = F.when(F.col("error").isNull(), "").otherwise(F.concat(F.lit("FAILED: "), "error"))
     return evaluated.select("symbol", "n_bars", "sharpe_p05", "sharpe_p50", "sharpe_p95", "max_dd_p50",
                             F.when(ok & (F.col("sharpe_p50") > 0), "✓").when(ok, "✗").otherwise("—").alias("positive"), note.alias("notes"))
 

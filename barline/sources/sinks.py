@@ -9,19 +9,15 @@ from ..functions.columns import safe_symbol
 
 
 def write_payloads(payloads: DataFrame, path: str) -> None:
-    """Compact JSON, one directory per file-safe symbol, so one asset is one pruned read."""
-    payloads.withColumn("safe", safe_symbol("symbol")).write.mode("overwrite").partitionBy("safe").json(path)
+    """Compact JSON, one directory per symbol, so one asset is one pruned read and a refresh replaces it alone."""
+    (payloads.withColumn("safe", safe_symbol("symbol")).write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic").partitionBy("symbol").json(path))
 
 
-def payload_json(payloads: DataFrame) -> DataFrame:
-    """(symbol, payload) with the payload as one JSON text."""
-    return payloads.select("symbol", F.to_json(F.struct(*payloads.columns)).alias("payload"))
-
-
-def read_payloads(spark: SparkSession, path: str, like: DataFrame, symbol: str | None = None) -> DataFrame:
+def read_payloads(spark: SparkSession, path: str, schema: str, symbol: str | None = None) -> DataFrame:
     """Payloads back with the writer's schema; one symbol reads one directory."""
-    df = spark.read.schema(like.schema).json(path)
-    return df if symbol is None else df.where(F.col("safe") == safe_symbol(F.lit(symbol)))
+    df = spark.read.schema(schema).json(path)
+    return df if symbol is None else df.where(F.col("symbol") == symbol)
 
 
 def write_cache(bars: DataFrame, path: str) -> None:

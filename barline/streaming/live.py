@@ -6,8 +6,6 @@ step, keyed by symbol, so parity with the batch table is testable on the same ro
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -15,6 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.store import scratch, stored
 from ..models.classifier import ConformalState
 from ..operators import drift
 from ..operators.regimes import RegimeState
@@ -25,12 +24,6 @@ CONFORMAL_OUT = "symbol string, pos int, c_0 double, c_1 double, c_2 double, set
 CHANGE_OUT = "symbol string, as_of date, from_label int, to_label int"
 
 
-def scratch(spark: SparkSession) -> str:
-    """A fresh folder below the cluster's shared checkpoint folder; local temp only when unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{root.rstrip('/')}/barline-{uuid.uuid4().hex}" if root else tempfile.mkdtemp(prefix="spark-")
-
-
 def run_available(stream: DataFrame, path: str | None = None) -> DataFrame:
     """Process everything available into a Parquet sink (exactly once) and read it back."""
     spark = stream.sparkSession
@@ -46,24 +39,34 @@ def read_stream(spark: SparkSession, like: DataFrame, path: str, glob: str | Non
     return (reader.option("pathGlobFilter", glob) if glob else reader).parquet(path)
 
 
-def replay(df: DataFrame, order: str, cuts: list[str], transform: Callable[[DataFrame], DataFrame]) -> DataFrame:
+FLUSH = "~end"
+
+
+def replay(df: DataFrame, order: str, cuts: list[str], transform: Callable[[DataFrame], DataFrame],
+           flush: bool = False) -> DataFrame:
     """Land a table in time-ordered slices and run the stream after each from one checkpoint.
 
     A slice is one micro-batch, so its files may be read in any order; slices never overtake each
-    other. Returns everything the sink received.
+    other. Returns everything the sink received. With ``flush`` two rows of a symbol of their own, a
+    year and two after the end, move the watermark past it: all windows close and results equal batch.
     """
     spark, base = df.sparkSession, scratch(df.sparkSession)
     kind = df.schema[order].dataType
     edges = [None, *cuts, None]
-    df = df.persist()
+    df = stored(df)
+    parts = []
     for lo, hi in zip(edges, edges[1:]):
-        part = df
-        part = part if lo is None else part.where(F.col(order) >= F.lit(lo).cast(kind))
-        part = part if hi is None else part.where(F.col(order) < F.lit(hi).cast(kind))
+        part = df if lo is None else df.where(F.col(order) >= F.lit(lo).cast(kind))
+        parts.append(part if hi is None else part.where(F.col(order) < F.lit(hi).cast(kind)))
+    if flush:
+        end = df.agg(F.max(order).alias(order))
+        parts += [end.select(*[(F.col(order) + F.expr(f"INTERVAL {y} YEAR")).cast(kind).alias(f.name) if f.name == order
+                               else F.lit(FLUSH if f.name == "symbol" else None).cast(f.dataType).alias(f.name)
+                               for f in df.schema.fields]) for y in (1, 2)]
+    for part in parts:
         part.write.mode("append").parquet(f"{base}/landing")
         out = run_available(transform(spark.readStream.schema(df.schema).parquet(f"{base}/landing")), base)
-    df.unpersist()
-    return out
+    return out.where(F.col("symbol") != FLUSH) if flush else out
 
 
 def daily_realised(returns: DataFrame, late: str = "1 hour") -> DataFrame:
@@ -99,36 +102,44 @@ def _ordered(batches: Iterator[pd.DataFrame], by: str) -> pd.DataFrame:
 def regime_states(inputs: DataFrame) -> DataFrame:
     """Stabilised regimes on a stream of step inputs (see ``regimes.step_inputs``)."""
     def update(key, batches, state):
-        s = RegimeState(*state.get) if state.exists else RegimeState()
+        last, *held = state.get if state.exists else (-1,)
+        s = RegimeState(*held)
         pdf = _ordered(batches, "pos")
+        pdf = pdf[pdf["pos"] > last]  # late or replayed bars are no new ones
+        if pdf.empty:
+            return
         rows = [s.step(sc, v, k, d) for sc, v, k, d in zip(
             pdf[["s_0", "s_1", "s_2"]].to_numpy(), pdf["vol_n"].to_numpy(), pdf["shock"].to_numpy(), pdf["dd"].to_numpy())]
-        state.update((int(s.current), int(s.age), int(s.raw), float(s.vol)))
+        state.update((int(pdf["pos"].iloc[-1]), int(s.current), int(s.age), int(s.raw), float(s.vol)))
         out = pdf[["symbol", "pos", "ts"]].copy()
         out[["p_0", "p_1", "p_2"]] = np.array([p for p, _ in rows])
         out["label"] = np.array([k for _, k in rows], dtype="int32")
         yield out
 
     return inputs.groupBy("symbol").applyInPandasWithState(
-        update, REGIME_OUT, "current int, age int, raw int, vol double", "append", NO_TIMEOUT)
+        update, REGIME_OUT, "last int, current int, age int, raw int, vol double", "append", NO_TIMEOUT)
 
 
 def conformal_states(probs: DataFrame) -> DataFrame:
     """Adaptive conformal sets on a stream of (symbol, pos, a, b, c, y); state holds at most 500 scores."""
     def update(key, batches, state):
-        s = ConformalState(*state.get) if state.exists else ConformalState()
+        last, *held = state.get if state.exists else (-1,)
+        s = ConformalState(*held)
         pdf, rows = _ordered(batches, "pos"), []
+        pdf = pdf[pdf["pos"] > last]
+        if pdf.empty:
+            return
         for p, y in zip(pdf[["a", "b", "c"]].to_numpy(dtype=float), pdf["y"]):
             inside, cal = s.step(p, None if pd.isna(y) else int(y))
             rows.append((*cal, int(inside.sum()), s.rate))
-        state.update((list(map(float, s.scores)), float(s.rate)))
+        state.update((int(pdf["pos"].iloc[-1]), list(map(float, s.scores)), float(s.rate)))
         out = pd.DataFrame(rows, columns=["c_0", "c_1", "c_2", "set_size", "rate"])
         out.insert(0, "symbol", pdf["symbol"].to_numpy())
         out.insert(1, "pos", pdf["pos"].to_numpy())
         yield out.astype({"set_size": "int32"})
 
     return probs.groupBy("symbol").applyInPandasWithState(
-        update, CONFORMAL_OUT, "scores array<double>, rate double", "append", NO_TIMEOUT)
+        update, CONFORMAL_OUT, "last int, scores array<double>, rate double", "append", NO_TIMEOUT)
 
 
 def label_changes(snapshots: DataFrame) -> DataFrame:
