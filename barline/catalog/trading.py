@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import schema as S
-from ..functions import frame as fr
+from ..functions.store import stored
 from ..operators import backtest as bt
 from ..operators import features as feat
 from ..operators import folds, stats
+from ..operators import regimes as rg
 from ..plans import validation as val
 from ..sources import testdata as td
 from .base import query
@@ -340,14 +341,17 @@ def forecast_rmse(spark, sf):
     return bt.forecast_rmse(feat.features_v1(td.bars(spark, sf)), "vol_ewma")
 
 
-@query("lookahead_check")
+@query("lookahead_check", "bars bars_f1", f"""
+SELECT b.symbol, o.output, 10 AS n_samples, 0 AS n_violations, true AS passed
+FROM (SELECT DISTINCT symbol FROM bars) b, (SELECT unnest({[*S.FEATURES_V1, "label", "p_0", "p_1", "p_2"]!r}) AS output) o""",
+       keys="symbol output passed", ints="n_samples n_violations")
 def lookahead_check(spark, sf):
-    """The lagged feature frame must pass; rows-only in the driver, asserted in tests."""
+    """Every shipped price feature and the stabilised rule regimes, probed with perturbed futures."""
     def op(df):
-        raw = feat.with_return(df.select("symbol", "pos", "ts", "close"))
-        out = feat.drawdown(raw.withColumn("mom_20", fr.rolling(F.sum, "r", 20)))
-        return feat.lagged(out, ["mom_20", "drawdown_252"])
-    return val.lookahead_check(td.bars(spark, sf), op, "mom_20", ["close"])
+        f = feat.features_v1(df)
+        seq = rg.rule_sequence(f).select("symbol", "pos", "p_0", "p_1", "p_2", "label")
+        return f.join(seq, ["symbol", "pos"])
+    return val.lookahead_check(stored(td.bars(spark, sf)), op, [*S.FEATURES_V1, "label", "p_0", "p_1", "p_2"], ["close"])
 
 
 @query("momentum_backtest", "bars_raw", f"""

@@ -92,35 +92,43 @@ def robustness_summary(evaluated: DataFrame, gate: float = 0.70) -> DataFrame:
         "passes_gate", F.coalesce((F.col("fraction_positive") >= gate) & (F.col("mean_sharpe") > 0), F.lit(False)))
 
 
-def lookahead_check(frame: DataFrame, operator: Callable[[DataFrame], DataFrame], output: str,
+def lookahead_check(frame: DataFrame, operator: Callable[[DataFrame], DataFrame], outputs: str | list[str],
                     inputs: list[str], n_samples: int = 10, tolerance: float = 1e-9) -> DataFrame:
-    """Does ``operator``'s output at bar t move when bars after t are perturbed?
+    """Do ``operator``'s outputs at bar t move when bars after t are perturbed? A row per symbol and output.
 
     ``n_samples`` probe bars per series come from the middle 80 %, by hash. Each probe is a copy of
     its series under its own symbol with later rows scaled by a hash-seeded factor in [0.5, 2], so
-    the operator runs once, over all probes in parallel.
+    the operator runs once, over all probes in parallel. Bars are matched by ``ts``: operators may
+    drop warm-up bars and number the rest anew. A bar the operator drops on both sides counts as unmoved.
     """
     from pyspark.sql import Window
+    outputs = [outputs] if isinstance(outputs, str) else outputs
     n = F.count(F.lit(1)).over(Window.partitionBy("symbol"))
     edge = F.greatest(F.floor(n * 0.1), F.lit(1))
     pick = F.row_number().over(Window.partitionBy("symbol").orderBy(F.xxhash64("symbol", "pos")))
     middle = frame.withColumns({"_edge": edge, "_n": n}).where(
         (F.col("pos") >= F.col("_edge")) & (F.col("pos") < F.col("_n") - F.col("_edge")))
-    probes = middle.select("symbol", F.col("pos").alias("probe"), pick.alias("_rn")).where(
+    probes = middle.select("symbol", F.col("pos").alias("probe"), F.col("ts").alias("probe_ts"), pick.alias("_rn")).where(
         F.col("_rn") <= n_samples).drop("_rn")
     factor = F.lit(0.5) + F.pmod(F.xxhash64("symbol", "probe", "pos"), F.lit(1_000_003)) / 1_000_003.0 * 1.5
     copies = frame.join(probes, "symbol").withColumns({
         c: F.when(F.col("pos") > F.col("probe"), F.col(c) * factor).otherwise(F.col(c)) for c in inputs})
-    copies = copies.withColumn("symbol", F.concat("symbol", F.lit("#"), F.col("probe").cast("string"))).drop("probe")
-    at = F.substring_index("symbol", "#", -1).cast("int")
-    moved = operator(copies).where(F.col("pos") == at).select(
-        F.regexp_replace("symbol", "#[0-9]+$", "").alias("symbol"), "pos", F.col(output).alias("_p"))
-    base = operator(frame).select("symbol", "pos", F.col(output).alias("_b"))
-    both = probes.withColumnRenamed("probe", "pos").join(base, ["symbol", "pos"], "left").join(
-        moved, ["symbol", "pos"], "left")
+    copies = copies.withColumn("symbol", F.concat("symbol", F.lit("#"), F.col("probe").cast("string"))).drop("probe", "probe_ts")
+
+    def melted(df: DataFrame, value: str) -> DataFrame:
+        cells = F.array(*[F.struct(F.lit(c).alias("output"), F.col(c).cast("double").alias(value)) for c in outputs])
+        return df.select("symbol", "probe", F.inline(cells))
+
+    moved = operator(copies).withColumns({"probe": F.substring_index("symbol", "#", -1).cast("int"),
+                                          "symbol": F.regexp_replace("symbol", "#[0-9]+$", "")})
+    moved = melted(moved.join(probes, ["symbol", "probe"]).where("ts = probe_ts"), "_p")
+    base = operator(frame).join(probes.withColumnRenamed("probe_ts", "ts"), ["symbol", "ts"])
+    every = probes.select("symbol", "probe", F.explode(F.array(*map(F.lit, outputs))).alias("output"))
+    keys = ["symbol", "probe", "output"]
+    both = every.join(melted(base, "_b"), keys, "left").join(moved, keys, "left")
     delta = F.abs(F.coalesce("_p", F.lit(0.0)) - F.coalesce("_b", F.lit(0.0)))
     flips = F.col("_p").isNull() != F.col("_b").isNull()
-    out = both.groupBy("symbol").agg(
-        F.count(F.lit(1)).alias("n_samples"), F.max(delta).alias("max_delta"),
+    out = both.groupBy("symbol", "output").agg(
+        F.count(F.lit(1)).alias("n_samples"), F.count("_b").alias("n_compared"), F.max(delta).alias("max_delta"),
         F.count_if(flips | (delta > tolerance + 1e-6 * F.abs(F.coalesce("_b", F.lit(0.0))))).alias("n_violations"))
     return out.withColumn("passed", F.col("n_violations") == 0)
