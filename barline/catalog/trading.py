@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from .. import schema as S
+from ..functions.columns import clip
 from ..functions.store import stored
+from ..models.classifier import ridge_blend
+from ..models.volatility import vol_target_position
 from ..operators import backtest as bt
 from ..operators import features as feat
 from ..operators import folds, stats
@@ -14,7 +19,7 @@ from ..plans import validation as val
 from ..sources import testdata as td
 from .base import query
 from .core import tb
-from .sql import W, cte, roll
+from .sql import CTES, W, cte, roll
 from ..operators import labels
 
 P = "PARTITION BY strategy, symbol, path_id, role"
@@ -23,7 +28,7 @@ cte("folds", "", """
 SELECT row_number() OVER (ORDER BY a.range, b.range) - 1 AS path_id, a.range AS g1, b.range AS g2
 FROM range(10) a JOIN range(10) b ON a.range < b.range""")
 cte("frame", "tb bars_f1", """
-SELECT t.symbol, t.pos, t.ts, t.close, t.r, t.horizon, f.mom_20, count(*) OVER (PARTITION BY t.symbol) AS n_bars,
+SELECT t.symbol, t.pos, t.ts, t.close, t.r, t.horizon, f.mom_20, f.vol_ewma, count(*) OVER (PARTITION BY t.symbol) AS n_bars,
  count(*) OVER (PARTITION BY t.symbol) // 10 AS group_size,
  least(t.pos // (count(*) OVER (PARTITION BY t.symbol) // 10), 9) AS group_id
 FROM tb t JOIN bars_f1 f ON t.symbol = f.symbol AND t.pos = f.pos""")
@@ -270,6 +275,71 @@ query("cpcv_validate_risk", "risk_metrics", "SELECT * FROM risk_metrics", keys="
       floats="total_return sharpe sortino max_drawdown calmar")(
     lambda spark, sf: bt.path_metrics(cells(spark, sf, risk=True).where("role = 'test'")))
 
+# strategies that see the folds: row-local ones, blends, and a ridge fitted on each path's train rows
+_vol = "CASE WHEN vol_ewma * sqrt(252) > 1e-9 THEN vol_ewma * sqrt(252) END"
+cte("p_base", "split", f"""
+SELECT *, 1.0::DOUBLE AS b0, CASE WHEN mom_20 > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS b1, coalesce(least(greatest(0.14 / {_vol}, 0), 1), 0)::DOUBLE AS b2
+FROM split WHERE role <> 'dropped'""")
+cte("p_ridge", "p_base", """
+SELECT *, (sy - s1 * w1 - s2 * w2) / n AS w0 FROM (
+ SELECT *, (a22 * y1 - a12 * y2) / (a11 * a22 - a12 * a12) AS w1, (a11 * y2 - a12 * y1) / (a11 * a22 - a12 * a12) AS w2 FROM (
+  SELECT symbol, path_id, count(*) AS n, sum(r) AS sy, sum(b1) AS s1, sum(b2) AS s2, sum(b1 * b1) - sum(b1) * sum(b1) / count(*) + 1 AS a11,
+   sum(b1 * b2) - sum(b1) * sum(b2) / count(*) AS a12, sum(b2 * b2) - sum(b2) * sum(b2) / count(*) + 1 AS a22,
+   sum(b1 * r) - sum(b1) * sum(r) / count(*) AS y1, sum(b2 * r) - sum(b2) * sum(r) / count(*) AS y2
+  FROM p_base WHERE role = 'train' AND r IS NOT NULL GROUP BY 1, 2))""")
+cte("p_cells", "p_base p_ridge risk", """
+SELECT symbol, path_id, role, pos, r, strategy, strategy_idx, CASE WHEN halted THEN 0 ELSE sign(p) * CASE WHEN var_limit IS NULL THEN abs(p) ELSE least(abs(p), var_limit) END END AS position FROM (
+ SELECT b.symbol, b.path_id, b.role, b.pos, b.r, k.var_limit, k.halted, x.strategy, x.strategy_idx, CASE x.strategy_idx WHEN 0 THEN b0 WHEN 1 THEN b1 WHEN 2 THEN b2
+  WHEN 3 THEN least(greatest((b0 + b1 + b2) / 3, -1), 1) ELSE least(greatest(100 * (w0 + w1 * b1 + w2 * b2), -1), 1) END AS p
+ FROM p_base b JOIN p_ridge g ON b.symbol = g.symbol AND b.path_id = g.path_id
+ JOIN risk k ON b.symbol = k.symbol AND b.path_id = k.path_id AND b.role = k.role AND b.pos = k.pos AND k.seed = 0
+ CROSS JOIN (VALUES ('buy_hold', 0), ('momentum_20d', 1), ('vol_target', 2), ('equal_blend', 3), ('ridge_blend', 4)) x(strategy, strategy_idx))""")
+cte("p_rets", "p_cells", f"""
+SELECT *, position * r - cost AS ret FROM (
+ SELECT *, 2.0 / 1e4 * abs(position - lag(position, 1, 0) OVER ({P} ORDER BY pos)) AS cost FROM p_cells)""")
+_chain = ["rets", "metrics", "dist", "perf", "pbo", "median_path", "dsr"]
+for _n in _chain[1:]:
+    _deps, _body = CTES[_n]
+    cte(f"p_{_n}", " ".join(f"p_{d}" if d in _chain else d for d in _deps.split()),
+        re.sub(rf"\b(FROM|JOIN) ({'|'.join(_chain)})\b", r"\1 p_\2", _body))
+
+
+def panel_strategies(fitted: bool = False) -> dict:
+    """Name to strategy: benchmarks, variance targeting, equal and ridge blends; with ``fitted`` the stabilised rule too."""
+    b1, b2 = F.when(F.col("mom_20") > 0, 1.0).otherwise(0.0), vol_target_position("vol_ewma")
+
+    def blend(view):
+        return val.row_strategy(clip((1.0 + b1 + b2) / 3, -1.0, 1.0))(view)
+
+    def ridge(view):
+        wide = view.select(*val.CELL, "r", b1.alias("b1"), b2.alias("b2"))
+        return ridge_blend(wide, ["b1", "b2"], ["symbol", "path_id"])
+
+    def rule(view):
+        return rg.rule_positions(view, S.FEATURES_V1)
+
+    out = {"buy_hold": val.row_strategy(F.lit(1.0)), "momentum_20d": val.row_strategy(b1), "vol_target": val.row_strategy(b2),
+           "equal_blend": blend, "ridge_blend": ridge}
+    return out | ({"rule": rule} if fitted else {})
+
+
+PANEL = dict(keys="strategy symbol", ints="n_paths", floats=DIST + " dsr_p_value dsr_sharpe pbo")
+
+
+@query("cpcv_panel", "p_dist p_dsr p_pbo", """
+SELECT d.*, s.dsr_p_value, s.dsr_sharpe, p.pbo FROM p_dist d JOIN p_dsr s ON d.strategy = s.strategy AND d.symbol = s.symbol JOIN p_pbo p ON d.symbol = p.symbol""", **PANEL)
+def cpcv_panel(spark, sf):
+    """Five strategies through 10 groups with horizons, limits and costs, in and out of sample."""
+    return val.validate_panel(frame(spark, sf, extra=("vol_ewma",)), panel_strategies())
+
+
+@query("cpcv_panel_rule", **PANEL)
+def cpcv_panel_rule(spark, sf):
+    """The same panel with the stabilised rule regimes, whose state starts in each path's train rows."""
+    extra = [c for c in S.FEATURES_V1 if c != "mom_20"]
+    return val.validate_panel(frame(spark, sf, extra=extra), panel_strategies(fitted=True))
+
+
 # a universe of series: one per supplier, five groups
 cte("s_labels0", "sbars_f1", """
 SELECT symbol, pos, r, close, mom_20, vol_ewma, max(pos) OVER (PARTITION BY symbol) AS last_pos, count(*) OVER (PARTITION BY symbol) AS n_bars,

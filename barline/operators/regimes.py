@@ -126,14 +126,19 @@ def rule_sequence(features: DataFrame) -> DataFrame:
 
 
 def rule_strategy(split: DataFrame, features: Sequence[str]) -> DataFrame:
-    """Rule positions on the test rows of each path, with state carried in from the path's train rows.
+    """Rule positions on the test rows of each path, with state carried in from the path's train rows."""
+    return rule_positions(split, features).where("role = 'test'")
+
+
+def rule_positions(split: DataFrame, features: Sequence[str]) -> DataFrame:
+    """Rule positions on the train and test rows of each path.
 
     Every (symbol, path) is its own series: train and test rows together, in time order.
     """
     rows = split.where("role IN ('train', 'test')").withColumn("_key", F.concat_ws("#", "symbol", "path_id"))
     key = rows.select(F.col("_key").alias("symbol"), F.col("symbol").alias("_sym"), "path_id", "role", "pos", "ts", *features)
     seq = rule_sequence(key.drop("_sym", "path_id", "role")).select("symbol", "pos", "position")
-    out = key.select("symbol", "_sym", "path_id", "role", "pos").join(seq, ["symbol", "pos"]).where("role = 'test'")
+    out = key.select("symbol", "_sym", "path_id", "role", "pos").join(seq, ["symbol", "pos"])
     return out.select(F.col("_sym").alias("symbol"), "path_id", "role", "pos", "position")
 
 

@@ -7,6 +7,7 @@ from collections.abc import Callable, Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.store import stored
 from ..operators import backtest as bt
 from ..operators.folds import cpcv_split
 from ..operators.stats import deflated_sharpe, overfitting_probability
@@ -59,9 +60,54 @@ def performance_matrix(cells: DataFrame) -> DataFrame:
 def validate_many(frame: DataFrame, strategies: Mapping[str, Column], n_trials: int = 50, **options) -> DataFrame:
     """All strategies on shared folds, with the overfitting probability of the population."""
     cells = backtest_cells(frame, strategies, in_sample=True, **options)
+    return report_of(cells, len(strategies), n_trials)
+
+
+Strategy = Callable[[DataFrame], DataFrame]
+"""Fold view (symbol, path_id, role train or test, pos, ts, r and features) to positions (symbol, path_id, role, pos, position).
+
+A strategy may fit on each path's train rows; it returns positions for both roles.
+"""
+
+CELL = ["symbol", "path_id", "role", "pos"]
+
+
+def row_strategy(position: Column) -> Strategy:
+    """A strategy without state: one expression per row."""
+    return lambda view: view.select(*CELL, position.cast("double").alias("position"))
+
+
+def panel_cells(frame: DataFrame, strategies: Mapping[str, Strategy], cost: Column | None = None, risk: bool = True,
+                **folds) -> DataFrame:
+    """Net returns per (strategy, symbol, path, role, pos) of strategies that see the folds, after limits and costs.
+
+    The fold view is written once; every strategy and the limits read that table.
+    """
+    view = cpcv_split(frame, **folds)
+    view = stored(bt.risk_limits(view) if risk else view.where("role IN ('train', 'test')"))
+    inputs = view.drop("var_limit", "halted", "test_groups")
+    parts = [fn(inputs).select(*CELL, "position", F.lit(n).alias("strategy"), F.lit(i).alias("strategy_idx"))
+             for i, (n, fn) in enumerate(strategies.items())]
+    rows = parts[0]
+    for p in parts[1:]:
+        rows = rows.unionByName(p)
+    extra = [c for c in ("r", "var_limit", "halted", "volume") if c in view.columns]
+    cells = rows.join(view.select(*CELL, *extra), CELL)
+    if risk:
+        cells = cells.withColumn("position", bt.limited_position())
+    return stored(bt.strategy_returns(cells, cost))
+
+
+def validate_panel(frame: DataFrame, strategies: Mapping[str, Strategy], n_trials: int = 50, **options) -> DataFrame:
+    """The report of ``validate_many`` for strategies that see the folds."""
+    return report_of(panel_cells(frame, strategies, **options), len(strategies), n_trials)
+
+
+def report_of(cells: DataFrame, n_strategies: int, n_trials: int) -> DataFrame:
+    """Path distribution, deflated Sharpe and overfitting probability of net returns."""
     metrics = bt.path_metrics(cells.where("role = 'test'"))
     report = with_deflated(bt.path_distribution(metrics), cells, metrics, n_trials)
-    if len(strategies) < 2:
+    if n_strategies < 2:
         return report.withColumn("pbo", F.lit(None).cast("double"))
     pbo = overfitting_probability(performance_matrix(cells)).select("symbol", "pbo")
     return report.join(pbo, "symbol", "left")
