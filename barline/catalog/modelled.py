@@ -158,7 +158,15 @@ SELECT symbol, path_id, pos, least(greatest(avg(position), -1), 1) AS position F
     lambda spark, sf: clf.equal_blend(cells(spark, sf).where("role = 'test'"), ["symbol", "path_id", "pos"]))
 
 
-@query("ridge_blend")
+@query("ridge_blend", "p_base", """
+SELECT b.symbol, b.path_id, b.role, b.pos, least(greatest(100 * (w0 + w1 * b0 + w2 * b1), -1), 1) AS position FROM p_base b JOIN (
+ SELECT *, (sy - s1 * w1 - s2 * w2) / n AS w0 FROM (
+  SELECT *, (a22 * y1 - a12 * y2) / (a11 * a22 - a12 * a12) AS w1, (a11 * y2 - a12 * y1) / (a11 * a22 - a12 * a12) AS w2 FROM (
+   SELECT symbol, path_id, count(*) AS n, sum(r) AS sy, sum(b0) AS s1, sum(b1) AS s2, sum(b0 * b0) - sum(b0) * sum(b0) / count(*) + 1 AS a11,
+    sum(b0 * b1) - sum(b0) * sum(b1) / count(*) AS a12, sum(b1 * b1) - sum(b1) * sum(b1) / count(*) + 1 AS a22,
+    sum(b0 * r) - sum(b0) * sum(r) / count(*) AS y1, sum(b1 * r) - sum(b1) * sum(r) / count(*) AS y2
+   FROM p_base WHERE role = 'train' AND r IS NOT NULL GROUP BY 1, 2))) g ON b.symbol = g.symbol AND b.path_id = g.path_id
+WHERE b.role = 'test'""", keys="symbol role", ints="path_id pos", floats="position")
 def ridge_blend(spark, sf):
     """Ridge of returns on the momentum and buy-and-hold positions per symbol and path."""
     split = folds.cpcv_split(frame(spark, sf)).where("role <> 'dropped'").withColumns({
