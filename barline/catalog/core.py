@@ -173,11 +173,11 @@ def complete_cases(spark, sf):
 
 @query("fill_dead_columns", "aligned", """
 SELECT symbol, pos, CASE WHEN count(gld) OVER (PARTITION BY symbol) = 0 THEN 0.0 ELSE gld END AS gld,
- CASE WHEN count(vix) OVER (PARTITION BY symbol) = 0 THEN 0.0 ELSE vix END AS vix FROM aligned""",
-       keys="symbol", ints="pos", floats="gld vix")
+ CASE WHEN count(vix) OVER (PARTITION BY symbol) = 0 THEN 0.0 ELSE vix END AS vix, 0.0 AS dead FROM aligned""",
+       keys="symbol", ints="pos", floats="gld vix dead")
 def fill_dead_columns(spark, sf):
     df = fr.align_ffill(td.bars(spark, sf), feat.aux_bundle(td.aux(spark, sf)), S.AUX_SERIES)
-    return fr.fill_dead_columns(df, ["gld", "vix"])
+    return fr.fill_dead_columns(df.withColumn("dead", F.lit(None).cast("double")), ["gld", "vix", "dead"])
 
 
 @query("concat_dedup", "bars", """

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .. import schema as S
-from ..sources.testdata import AUX_BY_PRIORITY, AUX_BY_STATUS
+from ..sources.testdata import AUX_BY_CUSTOMER, AUX_BY_PRIORITY, AUX_BY_STATUS, CUSTOMER_DIGIT
 
 CTES: dict[str, tuple[str, str]] = {}
 """name -> (space-separated dependencies, body)"""
@@ -126,7 +126,7 @@ SELECT {_case(c, n)} AS series_id, CAST(o_orderdate AS DATE) AS date,
   CAST(SUM(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) / COUNT(*) AS value
 FROM orders GROUP BY 1, 2 HAVING {_case(c, n)} IS NOT NULL"""
                                   for c, n in (("o_orderpriority", AUX_BY_PRIORITY),
-                                               ("o_orderstatus", AUX_BY_STATUS))))
+                                               ("o_orderstatus", AUX_BY_STATUS), (CUSTOMER_DIGIT, AUX_BY_CUSTOMER))))
 cte("aux_wide", "aux", "SELECT date, " + ", ".join(
     f"max(CASE WHEN series_id = '{s}' THEN value END) AS {s}" for s in S.AUX_SERIES) + " FROM aux GROUP BY date")
 cte("aligned", "bars_raw bars aux_wide", "SELECT f.*, " + ", ".join(

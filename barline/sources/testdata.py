@@ -17,6 +17,9 @@ SERIES_KEY = {"flag": "l_returnflag", "supplier": "l_suppkey"}
 AUX_BY_PRIORITY = {"1-URGENT": "vix", "2-HIGH": "vix3m", "3-MEDIUM": "vix9d",
                    "4-NOT SPECIFIED": "tlt", "5-LOW": "term_spread"}
 AUX_BY_STATUS = {"F": "vix6m", "O": "skew", "P": "vvix"}
+AUX_BY_CUSTOMER = {"0": "gld", "1": "credit_spread"}
+"""Last digit of the customer key; the other digits map to no series."""
+CUSTOMER_DIGIT = "right(CAST(o_custkey AS STRING), 1)"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,18 +47,18 @@ def bars(spark: SparkSession, sf_dir: str, by: str = "flag") -> DataFrame:
 
 
 def aux(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Auxiliary daily series from orders: five by priority, three by status."""
+    """Auxiliary daily series from orders: five by priority, three by status, two by customer."""
     o = table(spark, sf_dir, "orders")
 
     def level(key: str, names: dict[str, str]) -> DataFrame:
-        series_id = F.coalesce(*[F.when(F.col(key) == k, F.lit(v)) for k, v in names.items()])
+        series_id = F.coalesce(*[F.when(F.expr(key) == k, F.lit(v)) for k, v in names.items()])
         return (o.groupBy(series_id.alias("series_id"), F.col("o_orderdate").cast("date").alias("date"))
                 .agg((F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double")
                       / F.count(F.lit(1))).alias("value"))
                 .where("series_id IS NOT NULL"))
 
     return level("o_orderpriority", AUX_BY_PRIORITY).unionByName(
-        level("o_orderstatus", AUX_BY_STATUS))
+        level("o_orderstatus", AUX_BY_STATUS)).unionByName(level(CUSTOMER_DIGIT, AUX_BY_CUSTOMER))
 
 
 def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
