@@ -27,7 +27,7 @@ from .words import WordCache
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
-CHUNK = 128
+CHUNK, THREADS = 128, 2
 
 
 @dataclass
@@ -127,7 +127,8 @@ class Codec:
     """Encoder and decoder of one model file in one worker."""
 
     def __init__(self, path: str):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "true")
+        os.environ["TOKENIZERS_PARALLELISM"] = "true"
+        os.environ.setdefault("RAYON_NUM_THREADS", str(THREADS))  # more threads than a task's cores only contend
         from sentencepiece import SentencePieceProcessor
         with open(path, "rb") as f:
             self.model = parse(f.read())
