@@ -14,7 +14,7 @@ from ..operators import labels as lab
 from ..operators import regimes as rg
 from ..sources import testdata as td
 from .base import query
-from .sql import W, cte
+from .sql import CTES, W, cte
 
 P3 = "p_0 p_1 p_2"
 _present = S.FEATURES_V1
@@ -53,6 +53,7 @@ SELECT *, CASE WHEN raw_label <> 2 AND (abs(shock_z) > 3.5 OR abs(drawdown_252)
 
 _rule("rr", "bars_f1", S.FEATURES_V1)
 _rule("rr2", "f2", S.FEATURES_V2)
+_rule("srr", "sbars_f1", S.FEATURES_V1)
 cte("mapped", "rr", """
 SELECT symbol, """ + ", ".join(
     f"sum(CASE WHEN label = {k} THEN {p} ELSE 0 END) / sum({p}) AS m_{s}_{k}"
@@ -69,8 +70,8 @@ SELECT *, -(fusion_p0 * ln(fusion_p0 + 1e-12) + fusion_p1 * ln(fusion_p1 + 1e-12
    FROM rr JOIN mapped m ON rr.symbol = m.symbol)))""")
 
 
-def raw(spark, sf):
-    return rg.raw_regimes(feat.features_v1(td.bars(spark, sf)))
+def raw(spark, sf, by="flag"):
+    return rg.raw_regimes(feat.features_v1(td.bars(spark, sf, by)))
 
 
 def models(spark, sf):
@@ -339,15 +340,17 @@ SELECT c.symbol, c.generated_at AS curr_date, p.generated_at AS prev_date, p.lab
  {_nm.format('p.label')} AS from_regime, {_nm.format('c.label')} AS to_regime FROM snap_rank c JOIN snap_rank p ON c.symbol = p.symbol AND c.rk = 1 AND p.rk = 2""")
 
 
-def snapshots(spark, sf):
-    return raw(spark, sf).groupBy(F.trunc("ts", "month").alias("generated_at"), "symbol").agg(
+def snapshots(spark, sf, by="flag"):
+    return raw(spark, sf, by).groupBy(F.trunc("ts", "month").alias("generated_at"), "symbol").agg(
         F.max_by("label", "pos").alias("label"))
 
 
 query("rotate_snapshot", "snap_rank", "SELECT * FROM snap_rank WHERE rk = 2", keys="generated_at symbol", ints="label")(
     lambda spark, sf: cons.previous_snapshot(snapshots(spark, sf)))
-query("asset_changes", "compared", "SELECT * FROM compared WHERE from_label <> to_label", keys="symbol curr_date prev_date from_regime to_regime",
-      ints="from_label to_label")(lambda spark, sf: cons.asset_changes(snapshots(spark, sf)))
+for _n, _deps in (("snaps", "srr"), ("snap_rank", "s_snaps"), ("compared", "s_snap_rank")):  # a symbol per supplier
+    cte(f"s_{_n}", _deps, CTES[_n][1].replace("FROM rr", "FROM srr").replace("FROM snap", "FROM s_snap").replace("JOIN snap", "JOIN s_snap"))
+query("asset_changes", "s_compared", "SELECT * FROM s_compared WHERE from_label <> to_label", keys="symbol curr_date prev_date from_regime to_regime",
+      ints="from_label to_label")(lambda spark, sf: cons.asset_changes(stored(snapshots(spark, sf, "supplier"))))
 cte("cons_change", "consensus", """
 SELECT * FROM (SELECT generated_at, regime AS to_regime, level AS to_level, lag(regime) OVER (ORDER BY generated_at) AS from_regime,
  lag(level) OVER (ORDER BY generated_at) AS from_level, lag(generated_at) OVER (ORDER BY generated_at) AS prev_date FROM consensus)
