@@ -34,7 +34,13 @@ def pairs(spark, sf):
     return feat.mixture_inputs(td.bars(spark, sf))
 
 
-@query("hmm_forward_filter")
+@query("hmm_forward_filter", "bars_f1", f"""
+WITH RECURSIVE z AS (SELECT symbol, pos, row_number() OVER {W} AS rn, exp(-0.5 * power(z / 0.6, 2)) / 0.6 AS e0, exp(-0.5 * power(z / 1.6, 2)) / 1.6 AS e1
+ FROM (SELECT symbol, pos, r / nullif(vol_yearly, 0) AS z FROM bars_f1) WHERE z IS NOT NULL),
+f AS (SELECT symbol, pos, rn, e0 / (e0 + e1) AS p0, e1 / (e0 + e1) AS p1 FROM z WHERE rn = 1 UNION ALL
+ SELECT symbol, pos, rn, a / (a + b), b / (a + b) FROM (SELECT z.symbol, z.pos, z.rn, (f.p0 * 0.97 + f.p1 * 0.05) * z.e0 AS a, (f.p0 * 0.03 + f.p1 * 0.95) * z.e1 AS b
+  FROM f JOIN z ON z.symbol = f.symbol AND z.rn = f.rn + 1))
+SELECT symbol, pos, p0 AS p_calm, p1 AS p_wild FROM f""", keys="symbol", ints="pos", floats="p_calm p_wild")
 def hmm_forward_filter(spark, sf):
     """Two volatility states with fixed parameters over standardised returns."""
     df = feat.features_v1(td.bars(spark, sf)).select("symbol", "pos", (F.col("r") / F.nullif("vol_yearly", F.lit(0.0))).alias("z"))
@@ -216,7 +222,9 @@ def asset_state(spark, sf):
                       F.size("history").alias("n_history"), F.array_join(F.col("transition_matrix")[0], ",").alias("bull_row"))
 
 
-@query("write_asset_payload")
+@query("write_asset_payload", "models", """
+SELECT symbol, max(ts) AS as_of, arg_max(close, pos) AS current_close, arg_max(label, pos) AS label, translate(symbol, '=^/', '___') AS safe
+FROM models GROUP BY symbol""", keys="symbol as_of safe", ints="label", floats="current_close")
 def write_asset_payload(spark, sf):
     """Payloads through the JSON sink and back through its schema."""
     path = scratch(spark) + "/payloads"
