@@ -298,7 +298,7 @@ def stream_sessions(spark, sf):
         {"start": "started", "end": "ended"})
 
 
-@query("stream_regime_state")
+@query("stream_regime_state", "rseq", "SELECT * FROM rseq", keys="symbol ts", ints="pos label", floats="p_0 p_1 p_2")
 def stream_regime_state(spark, sf):
     return live.replay(rg.step_inputs(feat.features_v1(td.bars(spark, sf))), "ts", YEARS, live.regime_states)
 

@@ -96,13 +96,37 @@ query("argmax_label", "rr", "SELECT * FROM rr", keys="symbol", ints="pos raw_lab
 query("risk_confirm", "rr", "SELECT * FROM rr", keys="symbol", ints="pos raw_label label")(raw)
 
 
-@query("rule_regime_sequence")
+# the stabilised rule, bar by bar: state is the label, its age, the last raw label and the last volatility rank
+cte("rseq", "rr", f"""
+WITH RECURSIVE z AS (SELECT symbol, pos, ts, row_number() OVER {W} AS rn, s_0, s_1, s_2, n_vol_ewma AS v, abs(coalesce(shock_z, 0)) AS sh,
+ abs(coalesce(drawdown_252, 0)) AS dd FROM rr),
+f AS (SELECT DISTINCT symbol, -1::BIGINT AS pos, NULL::DATE AS ts, 0::BIGINT AS rn, NULL::INT AS cur, 0 AS age, NULL::INT AS raw, NULL::DOUBLE AS vol, 0::DOUBLE AS p_0, 0::DOUBLE AS p_1, 0::DOUBLE AS p_2 FROM z
+ UNION ALL
+ SELECT symbol, pos, ts, rn, CASE WHEN moved THEN wanted ELSE cur END, CASE WHEN moved THEN 1 ELSE age + 1 END, raw, v, p_0, p_1, p_2 FROM (
+  SELECT *, cur IS NULL OR (wanted <> cur AND (CASE wanted WHEN 0 THEN p_0 WHEN 1 THEN p_1 ELSE p_2 END) - (CASE cur WHEN 0 THEN p_0 WHEN 1 THEN p_1 ELSE p_2 END) > 0.04 AND age >= 1) AS moved FROM (
+   SELECT *, coalesce(last_raw, raw) AS wanted FROM (
+    SELECT *, CASE WHEN top <> 2 AND (sh > 3.5 OR dd > 0.15) THEN 2 WHEN top = 2 AND NOT (sh > 2.0 AND dd > 0.035) THEN CASE WHEN p_0 >= p_1 THEN 0 ELSE 1 END ELSE top END AS raw FROM (
+     SELECT *, CASE WHEN p_0 >= p_1 AND p_0 >= p_2 THEN 0 WHEN p_1 >= p_2 THEN 1 ELSE 2 END AS top FROM (
+      SELECT *, e_0 / (e_0 + e_1 + e_2) AS p_0, e_1 / (e_0 + e_1 + e_2) AS p_1, e_2 / (e_0 + e_1 + e_2) AS p_2 FROM (
+       SELECT *, exp((c_0 - greatest(c_0, c_1, c_2)) * 2.8) AS e_0, exp((c_1 - greatest(c_0, c_1, c_2)) * 2.8) AS e_1, exp((c_2 - greatest(c_0, c_1, c_2)) * 2.8) AS e_2 FROM (
+        SELECT * REPLACE (CASE WHEN cur = 1 AND age > 30 AND v > vol THEN least(c_1, greatest(c_0, c_2) - 0.01) ELSE c_1 END AS c_1) FROM (
+         SELECT z.*, f.cur, f.age, f.raw AS last_raw, f.vol, z.s_0 * CASE WHEN f.cur = 0 AND f.age > 60 THEN 0.8 ELSE 1 END AS c_0,
+          z.s_1 * CASE WHEN f.cur = 1 AND f.age > 60 THEN 0.8 ELSE 1 END AS c_1, z.s_2 * CASE WHEN f.cur = 2 AND f.age > 60 THEN 0.8 ELSE 1 END AS c_2
+         FROM f JOIN z ON z.symbol = f.symbol AND z.rn = f.rn + 1)))))))))
+SELECT symbol, pos, ts, cur AS label, p_0, p_1, p_2, CASE cur WHEN 0 THEN 1.0 WHEN 1 THEN 0.0 ELSE -0.5 END AS position,
+ CASE cur WHEN 0 THEN 'Bull' WHEN 1 THEN 'Neutral' ELSE 'Bear' END AS regime FROM f WHERE rn > 0""")
+SEQ = dict(keys="symbol ts regime", ints="pos label", floats="p_0 p_1 p_2 position")
+
+
+@query("rule_regime_sequence", "rseq", "SELECT * FROM rseq", **SEQ)
 def rule_regime_sequence(spark, sf):
     """Stabilised labels with over-extension penalty: a recursion, tested against a plain loop."""
     return rg.rule_sequence(feat.features_v1(td.bars(spark, sf)))
 
 
-@query("stabilise")
+@query("stabilise", "rseq rr", """
+SELECT q.symbol, count(*) AS n_bars, count(*) FILTER (WHERE q.label <> rr.label) AS n_held FROM rseq q JOIN rr ON q.symbol = rr.symbol AND q.pos = rr.pos GROUP BY 1""",
+       keys="symbol", ints="n_bars n_held")
 def stabilise(spark, sf):
     """Bars where the stabilised label differs from the memoryless one."""
     f = feat.features_v1(td.bars(spark, sf))
@@ -111,7 +135,11 @@ def stabilise(spark, sf):
         F.count(F.lit(1)).alias("n_bars"), F.count_if(F.col("label") != F.col("memoryless")).alias("n_held"))
 
 
-@query("overextension_adjust")
+@query("overextension_adjust", "rseq", f"""
+SELECT symbol, label, max(n) AS longest, count(*) AS n_runs FROM (
+ SELECT symbol, label, count(*) AS n FROM (
+  SELECT *, row_number() OVER {W} - row_number() OVER (PARTITION BY symbol, label ORDER BY pos) AS island FROM rseq) GROUP BY symbol, label, island) GROUP BY 1, 2""",
+       keys="symbol", ints="label longest n_runs")
 def overextension_adjust(spark, sf):
     """Longest streak per regime under the over-extension penalty."""
     r = fr.runs(rg.rule_sequence(feat.features_v1(td.bars(spark, sf))))
