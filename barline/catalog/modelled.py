@@ -193,12 +193,33 @@ def fusion_position(spark, sf):
     return flt.lagged_position(fused, FUSED, S.K3_ALLOC).where("NOT is_train").select("symbol", "pos", *FUSED, "position")
 
 
-@query("adaptive_conformal")
+# adaptive conformal sets, bar by bar: state is the list of the newest 500 scores and the miscoverage rate
+for _n, _learn in (("conf", "true"), ("conf70", "pos < floor(n_bars * 0.7)")):
+    cte(_n, "models", f"""
+WITH RECURSIVE z AS (SELECT *, {_learn} AS learns FROM (SELECT symbol, pos, ts, row_number() OVER {W} AS rn, count(*) OVER (PARTITION BY symbol) AS n_bars,
+ fusion_p0 AS a, fusion_p1 AS b, fusion_p2 AS c, label AS y FROM models)),
+f AS (SELECT DISTINCT symbol, -1::BIGINT AS pos, 0::BIGINT AS rn, []::DOUBLE[] AS scores, 0.1::DOUBLE AS rate, 0::DOUBLE AS c_0, 0::DOUBLE AS c_1, 0::DOUBLE AS c_2, 0 AS set_size, true AS covered FROM z
+ UNION ALL
+ SELECT symbol, pos, rn, CASE WHEN learns THEN list_append(scores, 1 - py)[-500:] ELSE scores END,
+  CASE WHEN learns THEN least(greatest(rate + 0.005 * (CASE WHEN covered THEN 0.1 ELSE -0.9 END), 1e-6), 1 - 1e-6) ELSE rate END,
+  CASE WHEN mass > 0 THEN a * in_a / mass ELSE a END, CASE WHEN mass > 0 THEN b * in_b / mass ELSE b END, CASE WHEN mass > 0 THEN c * in_c / mass ELSE c END,
+  in_a + in_b + in_c, covered FROM (
+  SELECT *, a * in_a + b * in_b + c * in_c AS mass, CASE y WHEN 0 THEN in_a WHEN 1 THEN in_b ELSE in_c END = 1 AS covered,
+   CASE y WHEN 0 THEN a WHEN 1 THEN b ELSE c END AS py FROM (
+   SELECT *, (1 - a <= q)::INT AS in_a, (1 - b <= q)::INT AS in_b, (1 - c <= q)::INT AS in_c FROM (
+    SELECT *, CASE WHEN len(scores) >= 30 THEN s[lo + 1] + (s[least(lo + 2, len(s))] - s[lo + 1]) * (place - lo) ELSE 1.0 END AS q FROM (
+     SELECT *, CAST(floor(place) AS BIGINT) AS lo FROM (
+      SELECT z.*, f.scores, f.rate, list_sort(f.scores) AS s, (1 - f.rate) * (len(f.scores) - 1) AS place
+      FROM f JOIN z ON z.symbol = f.symbol AND z.rn = f.rn + 1))))))
+SELECT * FROM f WHERE rn > 0""")
+
+
+@query("adaptive_conformal", "conf", "SELECT * FROM conf", keys="symbol covered", ints="pos set_size", floats="c_0 c_1 c_2 rate")
 def adaptive_conformal(spark, sf):
     return clf.adaptive_conformal(models(spark, sf), FUSED, "label")
 
 
-@query("conformal_position")
+@query("conformal_position", "conf70", "SELECT *, c_2 - c_0 AS position FROM conf70", keys="symbol", ints="pos set_size", floats="rate position")
 def conformal_position(spark, sf):
     """Sets learn on the leading 70 % and stay frozen after it."""
     m = flt.train_share(models(spark, sf), 0.7)
@@ -303,7 +324,7 @@ def stream_regime_state(spark, sf):
     return live.replay(rg.step_inputs(feat.features_v1(td.bars(spark, sf))), "ts", YEARS, live.regime_states)
 
 
-@query("stream_conformal")
+@query("stream_conformal", "conf", "SELECT * FROM conf", keys="symbol", ints="pos set_size", floats="c_0 c_1 c_2 rate")
 def stream_conformal(spark, sf):
     m = models(spark, sf).select("symbol", "pos", "ts", *[F.col(p).alias(n) for p, n in zip(FUSED, "abc")], F.col("label").alias("y"))
     return live.replay(m, "ts", YEARS, live.conformal_states)
