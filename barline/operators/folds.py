@@ -1,27 +1,24 @@
 """Combinatorial purged cross-validation as row expressions.
 
-The fold table has C(n, k) rows known when the plan is built, so it is a literal array and the
-expansion is a generator: no join. Groups are contiguous, so purge and embargo are arithmetic on
-positions.
+The fold table has C(n, k) rows known when the plan is built, so a handful is a literal array and the
+expansion a generator; a larger table is joined by path or by group, with the same rows as result.
+Groups are contiguous, so purge and embargo are arithmetic on positions.
 """
 
 from __future__ import annotations
 
 from itertools import combinations
-from math import comb
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-MAX_LITERAL_PATHS = 10_000
+LITERAL_PATHS = 1000
 
 
 def fold_table(n_splits: int = 10, n_test: int = 2) -> list[tuple[int, list[int]]]:
     """All test-group sets in lexicographic order; the index is the path id."""
     if n_splits < 2 or not 1 <= n_test < n_splits:
         raise ValueError("need n_splits >= 2 and 1 <= n_test < n_splits")
-    if comb(n_splits, n_test) > MAX_LITERAL_PATHS:
-        raise ValueError(f"more than {MAX_LITERAL_PATHS} paths")
     return [(i, list(g)) for i, g in enumerate(combinations(range(n_splits), n_test))]
 
 
@@ -66,6 +63,26 @@ def embargoed(n_splits: int, pct: float) -> Column:
     return F.exists("test_groups", after)
 
 
+def expanded(grouped: DataFrame, folds: list[tuple[int, list[int]]], n_splits: int, test_only: bool) -> DataFrame:
+    """Each bar with every path, or with the paths that test its group."""
+    if len(folds) > LITERAL_PATHS:
+        table = grouped.sparkSession.createDataFrame(folds, "path_id int, test_groups array<int>")
+        if test_only:
+            keyed, key = table.withColumn("group_id", F.explode("test_groups")), "group_id"
+        else:
+            grouped, keyed, key = grouped.withColumn("path_id", F.explode(F.sequence(F.lit(0), F.lit(len(folds) - 1)))), table, "path_id"
+        columns = [c for c in grouped.columns if c != "path_id"]
+        return grouped.join(keyed, key).select(*columns, "path_id", "test_groups")
+
+    def literal(rows) -> Column:
+        return F.array(*[F.struct(F.lit(i).alias("path_id"),
+                                  F.array(*map(F.lit, g)).alias("test_groups")) for i, g in rows])
+
+    mine = F.get(F.array(*[literal([f for f in folds if g in f[1]]) for g in range(n_splits)]), F.col("group_id"))
+    out = grouped.withColumn("_f", F.explode(mine if test_only else literal(folds)))
+    return out.select(*grouped.columns, "_f.path_id", "_f.test_groups")
+
+
 def cpcv_split(df: DataFrame, n_splits: int = 10, n_test: int = 2, embargo_pct: float = 0.01,
                purge: int = 10, test_only: bool = False) -> DataFrame:
     """One row per bar and path with role train, test or dropped.
@@ -75,19 +92,7 @@ def cpcv_split(df: DataFrame, n_splits: int = 10, n_test: int = 2, embargo_pct:
     the paths that test it, C(n-1, k-1) instead of C(n, k). The expanded rows are spread by
     (symbol, path), so one long series' paths run in parallel instead of behind one symbol key.
     """
-    folds = fold_table(n_splits, n_test)
-
-    def literal(rows) -> Column:
-        return F.array(*[F.struct(F.lit(i).alias("path_id"),
-                                  F.array(*map(F.lit, g)).alias("test_groups")) for i, g in rows])
-
-    grouped = with_groups(df, n_splits).where("group_size > 0")
-    if test_only:
-        mine = F.array(*[literal([f for f in folds if g in f[1]]) for g in range(n_splits)])
-        out = grouped.withColumn("_f", F.explode(F.get(mine, F.col("group_id"))))
-    else:
-        out = grouped.withColumn("_f", F.explode(literal(folds)))
-    out = out.select(*grouped.columns, "_f.path_id", "_f.test_groups")
+    out = expanded(with_groups(df, n_splits).where("group_size > 0"), fold_table(n_splits, n_test), n_splits, test_only)
     out = out.repartition("symbol", "path_id")
     if test_only:
         return out.withColumn("role", F.lit("test"))

@@ -75,3 +75,13 @@ def test_sample_weights_against_a_plain_loop(spark):
     w = np.array([np.mean([1 / cover[t] for t in range(i, t1[i] + 1)]) for i in range(n)])
     w = w * np.abs(ret) / np.abs(ret).mean() * np.exp(-(n - 1 - np.arange(n)) / (n - 1))
     np.testing.assert_allclose(got, w / w.mean(), rtol=1e-9)
+
+
+def test_large_fold_tables_are_joined_with_equal_rows(bars, monkeypatch):
+    from barline.operators import folds
+
+    def rows(**kw):
+        return sorted(map(tuple, folds.cpcv_split(bars, 6, 2, **kw).select("symbol", "pos", "path_id", "role", "test_groups").collect()))
+    small = rows(), rows(test_only=True)
+    monkeypatch.setattr(folds, "LITERAL_PATHS", 3)
+    assert (rows(), rows(test_only=True)) == small and len(folds.fold_table(24, 5)) == 42504
