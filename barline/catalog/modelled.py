@@ -254,6 +254,27 @@ def write_asset_payload(spark, sf):
         "symbol", "as_of", "current_close", F.col("current_regime.label").alias("label"), "safe")
 
 
+cte("last_bar", "models", f"""
+SELECT DATE '2001-12-01' AS generated_at, symbol, max(ts) AS as_of, arg_max(close, pos) AS close, arg_max(label, pos) AS label,
+ CASE arg_max(label, pos) WHEN 0 THEN 'Bull' WHEN 1 THEN 'Neutral' ELSE 'Bear' END AS regime FROM models GROUP BY symbol""")
+
+
+@query("snapshot_json", "last_bar", "SELECT * FROM last_bar", keys="generated_at symbol as_of regime", ints="label", floats="close")
+def snapshot_json(spark, sf):
+    """Payloads summarised, written as one JSON document per snapshot, read back and exploded."""
+    path = scratch(spark) + "/documents"
+    sinks.write_snapshot_json(snap.snapshot_summary(snap.asset_state(models(spark, sf)), F.lit("2001-12-01").cast("date")), path)
+    return sinks.read_snapshot_json(spark, path)
+
+
+@query("recent_history", "models", """
+SELECT symbol, ts AS date, close, label FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY pos DESC) AS rn FROM models) WHERE rn <= 252""",
+       keys="symbol date", ints="label", floats="close")
+def recent_history(spark, sf):
+    """The last 252 bars out of nested payloads."""
+    return snap.recent_history(snap.asset_state(models(spark, sf)))
+
+
 @query("read_snapshot", "bars", "SELECT symbol, max(ts) AS as_of, arg_max(close, ts) AS close FROM bars GROUP BY 1", keys="symbol as_of", floats="close")
 def read_snapshot(spark, sf):
     """Snapshot rows written by date, read back, newest date only per symbol."""

@@ -30,6 +30,22 @@ def append_snapshot(summary: DataFrame, path: str) -> None:
     summary.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("generated_at").parquet(path)
 
 
+ASSET = "symbol string, name string, as_of date, close double, label int, regime string, risk_level string"
+
+
+def write_snapshot_json(summary: DataFrame, path: str) -> None:
+    """One JSON document per snapshot: generated_at and the array of its assets (see ``snapshot.snapshot_summary``)."""
+    assets = F.sort_array(F.collect_list(F.struct(*[c for c in summary.columns if c != "generated_at"])))
+    (summary.groupBy("generated_at").agg(assets.alias("assets")).write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic").partitionBy("generated_at").json(path))
+
+
+def read_snapshot_json(spark: SparkSession, path: str) -> DataFrame:
+    """Snapshot documents as flat rows, one per asset; a snapshot without assets gives none."""
+    docs = spark.read.schema(f"assets array<struct<{ASSET.replace(' ', ':').replace(',:', ',')}>>, generated_at date").json(path)
+    return docs.select("generated_at", F.inline("assets"))
+
+
 def publish(summary: DataFrame, gate: DataFrame, path: str) -> bool:
     """Write the snapshot only when the coverage gate allows it."""
     allowed = bool(gate.select("publish").first()[0])
