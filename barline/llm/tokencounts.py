@@ -32,7 +32,7 @@ def frequent_words(docs: DataFrame, n: int = TABLE_WORDS) -> list[str]:
                 words = text.as_py()
                 if words:
                     seen.update(split_words(words))
-                if len(seen) > COUNTING:  # keep the summary small: rare words can't be among the heaviest
+                if len(seen) > COUNTING:  # bounds the summary; counts of words let go start anew
                     seen = Counter(dict(seen.most_common(COUNTING // 4)))
         top = [x for x in seen.most_common(TASK_WORDS) if len(x[0]) <= MAX_CHARS]
         yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in top], pa.string()),
