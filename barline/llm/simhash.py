@@ -168,17 +168,22 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return fps.join(of, "fp").select("doc_id", "fp", "component_id")
 
 
+def kept_rows(docs: DataFrame, of: DataFrame) -> DataFrame:
+    """The documents that ``stays`` names, one row each, with their columns."""
+    keep = of.select(F.col("stays.doc_id").alias("keep_id"), F.col("stays.h").alias("keep_h")).distinct()
+    rows = wrapped(docs, id=F.col("doc_id"), h=F.xxhash64("text"))
+    kept = rows.join(keep, rows.id.eqNullSafe(keep.keep_id) & (rows.h == keep.keep_h), "left_semi")
+    w = Window.partitionBy("id", "h").orderBy(F.xxhash64("row"))
+    return kept.withColumn("nth", F.row_number().over(w)).where("nth = 1").select("row.*")
+
+
 def keep_first(docs: DataFrame) -> DataFrame:
     """Documents with one row of each component, kept whole: the smallest doc_id, null last.
 
     Of rows that repeat that doc_id and text one stays. All columns and their order stay.
     """
     _, of = classes(docs)
-    keep = of.select(F.col("stays.doc_id").alias("keep_id"), F.col("stays.h").alias("keep_h")).distinct()
-    rows = wrapped(docs, id=F.col("doc_id"), h=F.xxhash64("text"))
-    kept = rows.join(keep, rows.id.eqNullSafe(keep.keep_id) & (rows.h == keep.keep_h), "left_semi")
-    w = Window.partitionBy("id", "h").orderBy(F.xxhash64("row"))
-    return kept.withColumn("nth", F.row_number().over(w)).where("nth = 1").select("row.*")
+    return kept_rows(docs, of)
 
 
 def hex_fingerprint(fp) -> F.Column:
