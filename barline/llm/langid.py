@@ -10,6 +10,11 @@ A document's distinct n-grams are looked up at once: the bitwise AND of an n-gra
 it. Per language the set bits are counted and corrected for false positives: with a share f of the slots set, an n-gram
 not in the language still shows up with probability f ** HASHES. The largest corrected count decides; the score is its
 share of the text's distinct n-grams.
+
+That share falls with the length of a text, because rare n-grams go on turning up. So documents are rejected by another
+measure: counts are added up over windows of at most ``WINDOW`` characters that cover the whole text, and the score is
+the share of the windows' distinct n-grams. It is the plain score for texts of one window, and doesn't depend on length
+beyond.
 """
 
 from __future__ import annotations
@@ -28,6 +33,7 @@ SIZES, SLOTS, HASHES = (2, 3, 4), 1 << 19, 3
 TRAIN_DOCS, MIN_SHARE, FLUSH = 5000, 0.02, 1 << 20
 #: Below this share of known n-grams a text is in no learned language.
 MIN_SCORE = 0.25
+WINDOW = 1 << 12
 UNKNOWN = "und"
 
 
@@ -80,19 +86,35 @@ class Filter:
         bits = np.unpackbits(self.masks.view(np.uint8), axis=1, bitorder="little")[:, :len(self.langs)]
         self.false = bits.mean(axis=0) ** HASHES if self.langs else np.zeros(0)
 
-    def predict(self, text: str | None) -> tuple[str, float]:
-        if not self.langs or not text:
-            return UNKNOWN, 0.0
+    def counts(self, text: str) -> tuple[np.ndarray, int]:
+        """Corrected count of each language among the text's distinct n-grams, and their number."""
         h = grams(text)
         if not len(h):
-            return UNKNOWN, 0.0
+            return np.zeros(len(self.langs)), 0
         hit = self.masks[slot(h, 0)]
         for i in range(1, HASHES):
             hit &= self.masks[slot(h, i)]
         count = np.unpackbits(hit.view(np.uint8), axis=1, bitorder="little").sum(axis=0)[:len(self.langs)]
-        true = (count - len(h) * self.false) / np.maximum(1 - self.false, 1e-9)
+        return (count - len(h) * self.false) / np.maximum(1 - self.false, 1e-9), len(h)
+
+    def _best(self, true: np.ndarray, n: int) -> tuple[str, float]:
+        if not n:
+            return UNKNOWN, 0.0
         best = int(np.argmax(true))
-        return self.langs[best], float(np.clip(true[best] / len(h), 0, 1))
+        return self.langs[best], float(np.clip(true[best] / n, 0, 1))
+
+    def predict(self, text: str | None) -> tuple[str, float]:
+        if not self.langs or not text:
+            return UNKNOWN, 0.0
+        return self._best(*self.counts(text))
+
+    def predict_windows(self, text: str | None) -> tuple[str, float]:
+        """Language and score by counts added up over windows of nearly equal size that cover the text."""
+        if not self.langs or not text:
+            return UNKNOWN, 0.0
+        size = -(-len(text) // -(-len(text) // WINDOW))
+        parts = [self.counts(text[at:at + size]) for at in range(0, len(text), size)]
+        return self._best(sum(true for true, _ in parts), sum(n for _, n in parts))
 
 
 def slot(h: np.ndarray, i: int) -> np.ndarray:
@@ -152,13 +174,14 @@ def train(docs: DataFrame, train_docs: int = TRAIN_DOCS, min_share: float = MIN_
     return Filter(langs, masks)
 
 
-def predicted(df: DataFrame, model: Filter, keep: int) -> DataFrame:
-    """The first ``keep`` columns, then ``lang_pred`` and ``score`` of the last column (a text)."""
+def predicted(df: DataFrame, model: Filter, keep: int, windows: bool = False) -> DataFrame:
+    """The first ``keep`` columns, then ``lang_pred`` and ``score`` of the last column (a text), by windows or whole."""
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def make():
         model = shared.value
-        return lambda texts: tuple(map(list, zip(*map(model.predict, texts)))) if texts else ([], [])
+        predict = model.predict_windows if windows else model.predict
+        return lambda texts: tuple(map(list, zip(*map(predict, texts)))) if texts else ([], [])
     return per_row(df, "lang_pred string, score double", make, keep=keep)
 
 
@@ -173,6 +196,6 @@ def identify(docs: DataFrame) -> DataFrame:
 
 
 def keep_known(docs: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
-    """The documents in a learned language, with their columns."""
-    rows = predicted(wrapped(docs, text=F.col("text")), train(docs), keep=1)
+    """The documents in a learned language, whatever their length, with their columns."""
+    rows = predicted(wrapped(docs, text=F.col("text")), train(docs), keep=1, windows=True)
     return rows.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_score)).select("row.*")
