@@ -231,7 +231,7 @@ def test_read_back_matches_plain(spark, budget, history):
     assert chat.formatted(frame(spark, rows).limit(0), MODEL).collect() == []
 
 
-@pytest.mark.parametrize("budget,history", [(120, 30), (60, 32)])
+@pytest.mark.parametrize("budget,history", [(120, 30), (90, 40)])
 def test_windows_keep_budget_system_turn_and_history(spark, budget, history):
     rows = chats()
     found = {}
@@ -261,7 +261,7 @@ def test_windows_keep_budget_system_turn_and_history(spark, budget, history):
             assert targets == [x for r, x in fresh if r == "assistant"]
             shown += fresh
     assert len(found[100]) > 2 * chat.SEGMENT or budget > 100  # more than one segment
-    assert {w.segment for w in found[100]} != {0} and repeats > 50
+    assert {w.segment for w in found[100]} != {0} and repeats > 20
 
 
 def test_escapes_are_exact():
