@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import schema as S
 from ..functions import columns as C
 from ..functions import frame as fr
+from ..functions.store import scratch
 from ..operators import features as feat
 from ..operators import folds, labels, realised
 from ..sources import readers as rd
@@ -44,6 +45,22 @@ def scan_macro_observations(spark, sf):
         "event_id", "value")
 
 
+@query("scan_macro_landed", "", """
+SELECT left(o_orderpriority, 1) || o_orderstatus AS series_id, CAST(o_orderdate AS DATE) AS date, CAST(sum(o_totalprice) AS DOUBLE) / count(*) AS value
+FROM orders GROUP BY 1, 2 HAVING count(*) % 5 <> 0""", keys="series_id date", floats="value")
+def scan_macro_landed(spark, sf):
+    """Macro files as they land, one document per series and year with "." for missing values, read back."""
+    o = td.table(spark, sf, "orders")
+    money = F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double") / F.count(F.lit(1))
+    days = o.groupBy(F.concat(F.left("o_orderpriority", F.lit(1)), "o_orderstatus").alias("series_id"),
+                     F.col("o_orderdate").cast("date").alias("date")).agg(
+        F.when(F.count(F.lit(1)) % 5 != 0, money.cast("string")).otherwise(".").alias("value"))
+    path = scratch(spark) + "/landed"
+    days.groupBy("series_id", F.year("date").alias("year")).agg(
+        F.collect_list(F.struct("date", "value")).alias("observations")).drop("year").write.json(path)
+    return rd.read_observations(spark, path)
+
+
 @query("scan_ohlcv_last_n", "bars", """
 SELECT symbol, ts, open, high, low, close, volume FROM (
  SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) AS rn FROM bars) WHERE rn <= 60""",

@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 from .. import schema as S
 from ..functions import frame as fr
 from ..functions.columns import lookup
-from ..functions.store import stored
+from ..functions.store import scratch, stored
 from ..operators import alerts, consensus as cons, diagnostics as diag, drift
 from ..operators import features as feat
 from ..operators import labels as lab
 from ..operators import regimes as rg
+from ..sources import publication
+from ..sources import readers as rd
 from ..sources import testdata as td
 from .base import query
 from .sql import CTES, W, cte
@@ -377,6 +379,25 @@ query("rotate_snapshot", "snap_rank", "SELECT * FROM snap_rank WHERE rk = 2", ke
     lambda spark, sf: cons.previous_snapshot(snapshots(spark, sf)))
 for _n, _deps in (("snaps", "srr"), ("snap_rank", "s_snaps"), ("compared", "s_snap_rank")):  # a symbol per supplier
     cte(f"s_{_n}", _deps, CTES[_n][1].replace("FROM rr", "FROM srr").replace("FROM snap", "FROM s_snap").replace("JOIN snap", "JOIN s_snap"))
+
+
+@query("publish_snapshot", "snap_rank", """
+SELECT CASE rk WHEN 1 THEN 'current' ELSE 'previous' END AS which, generated_at, symbol, label FROM snap_rank WHERE rk <= 2""",
+       keys="which generated_at symbol", ints="label")
+def publish_snapshot(spark, sf):
+    """The two newest snapshots published in turn; a third whose coverage is too low leaves them as they are."""
+    path = scratch(spark)
+    rows = stored(cons.latest_snapshots(snapshots(spark, sf)))
+    universe = rows.select("symbol").distinct()
+    for rank in (2, 1):
+        one = rows.where(F.col("snapshot_rank") == rank)
+        day = one.agg(F.max("generated_at").cast("string")).first()[0]
+        publication.publish(one.select("symbol", "label"), rd.coverage_gate(universe, one), path, day)
+    publication.publish(rows.select("symbol", "label").limit(0), rd.coverage_gate(universe, rows.limit(0)), path, "9999-12-31")
+    return (publication.published(spark, path, "symbol string, label int").withColumn("which", F.lit("current")).unionByName(
+        publication.published(spark, path, "symbol string, label int", "previous").withColumn("which", F.lit("previous"))))
+
+
 query("asset_changes", "s_compared", "SELECT * FROM s_compared WHERE from_label <> to_label", keys="symbol curr_date prev_date from_regime to_regime",
       ints="from_label to_label")(lambda spark, sf: cons.asset_changes(stored(snapshots(spark, sf, "supplier"))))
 cte("cons_change", "consensus", """

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions.columns import lookup
+from ..functions.ranged import lag_by_range
 
 
 def asset_vote(df: DataFrame, fused: str = "fusion_label", rule: str = "label",
@@ -80,10 +81,8 @@ def asset_changes(snapshots: DataFrame) -> DataFrame:
 
 def consensus_change(consensus: DataFrame) -> DataFrame:
     """Snapshots whose regime or level differs from the one before. One row per snapshot enters."""
-    w = Window.orderBy("generated_at")
-    out = consensus.select("generated_at", F.col("regime").alias("to_regime"), F.col("level").alias("to_level"),
-                           F.lag("regime").over(w).alias("from_regime"), F.lag("level").over(w).alias("from_level"),
-                           F.lag("generated_at").over(w).alias("prev_date"))
+    rows = consensus.select("generated_at", F.col("regime").alias("to_regime"), F.col("level").alias("to_level"))
+    out = lag_by_range(rows, [], ["generated_at"], {"from_regime": "to_regime", "from_level": "to_level", "prev_date": "generated_at"})
     differs = ~F.col("to_regime").eqNullSafe(F.col("from_regime")) | ~F.col("to_level").eqNullSafe(F.col("from_level"))
     return out.where(F.col("prev_date").isNotNull() & differs)
 

@@ -1,41 +1,23 @@
 """Realised measures on intraday ticks.
 
-A symbol's ticks are unbounded, so no window here is partitioned by symbol alone. Ticks are cut
-into time buckets; a lag runs inside (symbol, bucket) and its first row takes the previous
-bucket's last value from a table with one row per non-empty bucket.
+A symbol's ticks are unbounded, so no window here is partitioned by symbol: the previous tick comes from a lag over ranges
+of (symbol, ts, seq), and days are partial aggregates.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BUCKET_SECONDS = 3600
+from ..functions.ranged import lag_by_range
 
 
-def bucketed(ticks: DataFrame, seconds: int = BUCKET_SECONDS) -> DataFrame:
-    return ticks.withColumn("_b", F.floor(F.unix_seconds("ts") / seconds))
-
-
-def lag_across_buckets(df: DataFrame, c: str, out: str) -> DataFrame:
-    """Previous tick's value of ``c`` in (ts, seq) order, across bucket edges."""
-    last = df.groupBy("symbol", "_b").agg(F.max_by(c, F.struct("ts", "seq")).alias("_v"))
-    prev = last.select("symbol", "_b",
-                       F.lag("_v").over(Window.partitionBy("symbol").orderBy("_b")).alias("_prev"))
-    w = Window.partitionBy("symbol", "_b").orderBy("ts", "seq")
-    inside = df.withColumns({"_rn": F.row_number().over(w), "_lag": F.lag(c).over(w)})
-    return (inside.join(prev, ["symbol", "_b"], "left")
-            .withColumn(out, F.when(F.col("_rn") == 1, F.col("_prev")).otherwise(F.col("_lag")))
-            .drop("_rn", "_lag", "_prev"))
-
-
-def intraday_returns(ticks: DataFrame, seconds: int = BUCKET_SECONDS) -> DataFrame:
+def intraday_returns(ticks: DataFrame) -> DataFrame:
     """Log returns over the whole tick series: a day's first return reaches back to the day before."""
-    df = bucketed(ticks, seconds).withColumn("_lc", F.ln("close"))
-    df = lag_across_buckets(df, "_lc", "_lp").withColumn("r", F.col("_lc") - F.col("_lp"))
-    return df.where("r IS NOT NULL").drop("_lc", "_lp")
+    df = lag_by_range(ticks.withColumn("_lc", F.ln("close")), ["symbol"], ["ts", "seq"], {"_lp": "_lc"})
+    return df.withColumn("r", F.col("_lc") - F.col("_lp")).where("r IS NOT NULL").drop("_lc", "_lp")
 
 
 def daily_moments(returns: DataFrame) -> DataFrame:
@@ -72,8 +54,8 @@ def realised_skewness(returns: DataFrame) -> DataFrame:
 
 
 def bipower_variation(returns: DataFrame) -> DataFrame:
-    """Jump-robust variance: products of neighbouring absolute returns. Needs bucketed returns."""
-    pairs = lag_across_buckets(returns.withColumn("_a", F.abs("r")), "_a", "_p")
+    """Jump-robust variance: products of neighbouring absolute returns."""
+    pairs = lag_by_range(returns.withColumn("_a", F.abs("r")), ["symbol"], ["ts", "seq"], {"_p": "_a"})
     daily = pairs.groupBy("symbol", F.to_date("ts").alias("day")).agg(
         (F.lit(math.pi / 2) * F.coalesce(F.sum(F.col("_a") * F.col("_p")), F.lit(0.0))).alias("bv"))
     return on_calendar(daily, ["bv"])

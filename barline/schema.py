@@ -123,7 +123,7 @@ def require_daily(df: DataFrame) -> DataFrame:
 
     One row per symbol and DATE bounds every per-symbol window by the calendar (a century of
     trading is under 40k rows), however many raw rows the symbol had. Finer data goes through
-    ``operators.realised`` first, which is bucketed in time and has no per-symbol window on rows.
+    ``operators.realised`` first, which has no per-symbol window on rows.
     """
     require(df, "symbol", "ts", "close")
     if not isinstance(df.schema["ts"].dataType, T.DateType):

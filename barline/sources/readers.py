@@ -10,7 +10,6 @@ from pyspark.sql import types as T
 
 from ..functions.columns import ColumnOrName, col, finite_or_null
 from ..functions.frame import tail_rows
-from ..operators.realised import bucketed
 from ..schema import EMAIL_PATTERN, HISTORY_BARS, TICKER_PATTERN
 
 
@@ -53,8 +52,9 @@ def last_ticks(ticks: DataFrame, n: int) -> DataFrame:
     second ranking sees at most n rows per bucket.
     """
     newest = [F.desc("ts"), F.desc("seq")]
+    ticks = ticks.withColumn("_b", F.floor(F.unix_seconds("ts") / 3600))
     near = Window.partitionBy("symbol", "_b").orderBy(*newest)
-    kept = bucketed(ticks).withColumn("_rn", F.row_number().over(near)).where(F.col("_rn") <= n)
+    kept = ticks.withColumn("_rn", F.row_number().over(near)).where(F.col("_rn") <= n)
     # buckets that can still matter: fewer than n ticks lie in newer buckets of the symbol
     sizes = kept.groupBy("symbol", "_b").agg(F.count(F.lit(1)).alias("_n"))
     newer = F.sum("_n").over(Window.partitionBy("symbol").orderBy(F.desc("_b")).rowsBetween(

@@ -45,10 +45,3 @@ def read_snapshot_json(spark: SparkSession, path: str) -> DataFrame:
     docs = spark.read.schema(f"assets array<struct<{ASSET.replace(' ', ':').replace(',:', ',')}>>, generated_at date").json(path)
     return docs.select("generated_at", F.inline("assets"))
 
-
-def publish(summary: DataFrame, gate: DataFrame, path: str) -> bool:
-    """Write the snapshot only when the coverage gate allows it."""
-    allowed = bool(gate.select("publish").first()[0])
-    if allowed:
-        append_snapshot(summary, path)
-    return allowed
