@@ -1,86 +1,33 @@
-"""Hidden-state filters over one daily series at a time.
-
-Each grouped map receives a single symbol's series, bounded by the calendar; series run in
-parallel. The helpers below are the per-series step, nothing more.
-"""
+"""Hidden-state filters with fixed parameters, and what turns probabilities into positions."""
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.frame import bfill, ffill, series
-
-
-def forward(log_emit: np.ndarray, trans: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, float]:
-    """Filtered state probabilities per row and the log-likelihood."""
-    peak = log_emit.max(axis=1)
-    emit = np.exp(log_emit - peak[:, None])
-    out, total = np.empty_like(emit), 0.0
-    p = start
-    for t, e in enumerate(emit):
-        joint = (p if t == 0 else p @ trans) * e
-        norm = joint.sum()
-        if not norm > 0:
-            joint, norm = np.full_like(joint, 1.0 / len(joint)), 1e-300
-        p = joint / joint.sum()
-        out[t] = p
-        total += np.log(norm) + peak[t]
-    return out, total
-
-
-def backward_pairs(log_emit: np.ndarray, filt: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Smoothed state probabilities and expected transition counts, by backward smoothing."""
-    n, k = filt.shape
-    post, pairs = filt.copy(), np.zeros((k, k))
-    for t in range(n - 2, -1, -1):
-        ahead = filt[t] @ trans
-        flow = filt[t][:, None] * trans * (post[t + 1] / np.maximum(ahead, 1e-300))[None, :]
-        pairs += flow
-        post[t] = flow.sum(axis=1)
-        post[t] /= max(post[t].sum(), 1e-300)
-    return post, pairs
-
-
-def likeliest_path(log_emit: np.ndarray, trans: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """Most likely state sequence."""
-    lt = np.log(np.maximum(trans, 1e-300))
-    score = np.log(np.maximum(start, 1e-300)) + log_emit[0]
-    back = np.zeros(log_emit.shape, dtype=np.int32)
-    for t in range(1, len(log_emit)):
-        via = score[:, None] + lt
-        back[t] = via.argmax(axis=0)
-        score = via.max(axis=0) + log_emit[t]
-    path = np.empty(len(log_emit), dtype=np.int32)
-    path[-1] = score.argmax()
-    for t in range(len(path) - 1, 0, -1):
-        path[t - 1] = back[t, path[t]]
-    return path
-
-
-def gaussian_log_density(x: np.ndarray, means: np.ndarray, covs: np.ndarray) -> np.ndarray:
-    """(n, K) log densities of K full-covariance normals."""
-    out = np.empty((len(x), len(means)))
-    for k, (m, c) in enumerate(zip(means, covs)):
-        low = np.linalg.cholesky(c)
-        z = np.linalg.solve(low, (x - m).T)
-        out[:, k] = -0.5 * (z * z).sum(axis=0) - np.log(np.diag(low)).sum() - 0.5 * x.shape[1] * np.log(2 * np.pi)
-    return out
+from . import chains
 
 
 def hmm_forward_filter(emissions: DataFrame, trans: list[list[float]], start: list[float]) -> DataFrame:
     """Filtered probabilities from rows (symbol, pos, log_emit array) and fixed parameters."""
-    a, s = np.array(trans), np.array(start)
+    return _by_blocks(emissions, trans, start, chains.filtered).withColumnRenamed("value", "probs")
+
+
+def likeliest_path(emissions: DataFrame, trans: list[list[float]], start: list[float]) -> DataFrame:
+    """The state of each row on the most likely path of its series, for fixed parameters."""
+    return _by_blocks(emissions, trans, start, chains.decoded).withColumnRenamed("value", "state")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos")
-        p, _ = forward(np.array(pdf["log_emit"].tolist(), dtype=float), a, s)
-        return pd.DataFrame({"symbol": pdf["symbol"], "pos": pdf["pos"], "probs": list(p)})
 
-    return emissions.select("symbol", "pos", "log_emit").groupBy("symbol").applyInPandas(
-        run, "symbol string, pos int, probs array<double>")
+def _by_blocks(emissions: DataFrame, trans, start, fn) -> DataFrame:
+    k = len(start)
+    rows = emissions.select(F.col("symbol").alias("model"), F.col("symbol").alias("chain"), "pos", *[
+        F.col("log_emit")[i].alias(f"e{i}") for i in range(k)])
+    blocks = chains.blocks_of(rows, [f"e{i}" for i in range(k)])
+    given = blocks.select("model").distinct().select("model", *[
+        F.array(*[F.lit(float(v)) for v in values]).alias(c)
+        for c, values in (("trans", [v for row in trans for v in row]), ("start", start))])
+    return fn(blocks, given, chains.GIVEN).select(F.col("model").alias("symbol"), "pos", "value")
 
 
 def fill_probabilities(df: DataFrame, columns: list[str], default: float = 0.5) -> DataFrame:
