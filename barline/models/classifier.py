@@ -9,108 +9,96 @@ from itertools import product
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import clip, col
+from ..functions.store import stored
+from . import boosting as bo
 
 CLASSES = (-1, 0, 1)
+PROBABILITIES = ("q_down", "q_flat", "q_up")
 # The small tuning grid.
 SMALL_GRID = {"max_depth": [3, 5], "eta": [0.05], "n_estimators": [100, 200]}
 
 
-def assemble(df: DataFrame, features: Sequence[str]) -> DataFrame:
-    return VectorAssembler(inputCols=list(features), outputCol="_features", handleInvalid="keep").transform(df)
+def _one(model: str = "all") -> Column:
+    return F.lit(model).alias("model")
 
 
 class BarrierClassifier:
-    """One weighted binary boosted model per label in {-1, 0, 1}, probabilities normalised.
+    """A weighted boosted model of the three labels in {-1, 0, 1}, with class probabilities.
 
     A label absent from training keeps probability 0; a single label falls back to the prior.
     """
 
-    def __init__(self, features: Sequence[str], max_depth: int = 4, eta: float = 0.05, n_estimators: int = 20, seed: int = 42):
+    def __init__(self, features: Sequence[str], max_depth: int = bo.DEPTH, eta: float = bo.ETA, n_estimators: int = bo.ROUNDS,
+                 seed: int = bo.SEED):
         self.features, self.seed = list(features), seed
         self.max_depth, self.eta, self.n_estimators = max_depth, eta, n_estimators
-        self.models: dict = {}
-        self.prior: dict[int, float] = {}
+        self.edges: list[list[float]] = []
+        self.models: DataFrame | None = None
 
     def fit(self, df: DataFrame, label: str = "label", weight: str = "weight") -> "BarrierClassifier":
-        counts = {r[label]: r["n"] for r in df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}  # <= 3 rows
-        total = sum(counts.values())
-        self.prior = {k: counts.get(k, 0) / total for k in CLASSES}
-        if len(counts) < 2:
-            return self
-        rows = assemble(df, self.features).select("_features", label, F.col(weight).alias("_w")).persist()
-        for k in counts:
-            gbt = GBTClassifier(featuresCol="_features", labelCol="_y", weightCol="_w", maxDepth=self.max_depth,
-                                stepSize=self.eta, maxIter=self.n_estimators, seed=self.seed)
-            self.models[k] = gbt.fit(rows.withColumn("_y", (F.col(label) == k).cast("double")))
-        rows.unpersist()
+        self.edges = bo.bin_edges(df, self.features)
+        rows = bo.binned(df.select(*self.features, (F.col(label) + 1).cast("int").alias("y"), F.col(weight).cast("double").alias("w")),
+                         self.features, self.edges).where("y IS NOT NULL AND w > 0")
+        self.models = bo.fit_models(rows.select(_one(), "bins", "y", "w"), len(CLASSES), rounds=self.n_estimators,
+                                    depth=self.max_depth, eta=self.eta, seed=self.seed)
         return self
 
     def predict(self, df: DataFrame) -> DataFrame:
-        """Adds q_down, q_flat, q_up and position = q_up - q_down."""
-        names = dict(zip(CLASSES, ("q_down", "q_flat", "q_up")))
-        if not self.models:
-            out = df.withColumns({n: F.lit(self.prior[k]) for k, n in names.items()})
-        else:
-            out = assemble(df, self.features)
-            for k, n in names.items():
-                if k not in self.models:
-                    out = out.withColumn(n, F.lit(0.0))
-                    continue
-                m = self.models[k].copy()
-                m.setPredictionCol("_pred").setProbabilityCol("_prob").setRawPredictionCol("_rawp")
-                out = m.transform(out).withColumn(n, vector_to_array("_prob")[1]).drop("_pred", "_prob", "_rawp")
-            total = F.col("q_down") + F.col("q_flat") + F.col("q_up")
-            out = out.withColumns({n: F.col(n) / F.nullif(total, F.lit(0.0)) for n in names.values()}).drop("_features")
-        return out.withColumn("position", signed_position())
+        """Adds q_down, q_flat, q_up and position = q_up - q_down; no rows without training rows."""
+        rows = bo.binned(df, self.features, self.edges).withColumn("model", F.lit("all"))
+        q = F.col("_q")[0]
+        out = bo.predict(rows, self.models, len(CLASSES), (self.n_estimators,), "_q")
+        return out.select(*df.columns, *[q[i].alias(n) for i, n in enumerate(PROBABILITIES)]).withColumn("position", signed_position())
 
     def importance(self) -> list[tuple[str, float]]:
-        """Mean importance by feature name, largest first."""
-        if not self.models:
+        """Share of the gain by feature name, largest first."""
+        rows = self.models.select("gains").collect()  # one row
+        if not rows or not sum(rows[0].gains):
             return []
-        mean = sum(np.array(m.featureImportances.toArray()) for m in self.models.values()) / len(self.models)
-        return sorted(zip(self.features, map(float, mean)), key=lambda x: -x[1])
+        return sorted(((f, g / sum(rows[0].gains)) for f, g in zip(self.features, rows[0].gains)), key=lambda x: -x[1])
 
 
 def signed_position(up: str = "q_up", down: str = "q_down") -> Column:
     return F.col(up) - F.col(down)
 
 
-def log_loss(df: DataFrame, label: str = "label") -> DataFrame:
-    p = F.when(F.col(label) == -1, F.col("q_down")).when(F.col(label) == 0, F.col("q_flat")).otherwise(F.col("q_up"))
-    return df.agg(F.avg(-F.ln(F.greatest(p, F.lit(1e-15)))).alias("log_loss"))
-
-
-def tune(split: DataFrame, features: Sequence[str], grid: dict[str, list] = SMALL_GRID) -> list[tuple[dict, float]]:
-    """Mean held-out log-loss per grid point over purged inner folds (role train / test per path_id).
+def tune(split: DataFrame, features: Sequence[str], grid: dict[str, list] = SMALL_GRID, label: str = "label",
+         weight: str = "weight") -> DataFrame:
+    """(max_depth, eta, n_estimators, log_loss, folds): mean held-out loss per grid point over purged inner folds.
 
-    Each fit is a distributed Spark job; only one number per fit reaches the driver.
+    ``split`` has role train or test per path_id. All folds, depths and rates are fitted in one job; points that differ in
+    the number of trees are read off the same trees.
     """
-    keys = list(grid)
-    paths = [r[0] for r in split.select("path_id").distinct().orderBy("path_id").collect()]  # C(n, 1) inner folds
-    out = []
-    for values in product(*grid.values()):
-        params, losses = dict(zip(keys, values)), []
-        for p in paths:
-            rows = split.where(F.col("path_id") == p)
-            model = BarrierClassifier(features, **params).fit(rows.where("role = 'train'"))
-            losses.append(log_loss(model.predict(rows.where("role = 'test'"))).first()[0])
-        out.append((params, float(np.mean(losses))))
-    return sorted(out, key=lambda x: x[1])
+    stages = sorted(set(grid["n_estimators"]))
+    rows = split.where("role IN ('train', 'test')").select(
+        F.col("path_id").cast("string").alias("path"), "role", (F.col(label) + 1).cast("int").alias("y"),
+        F.col(weight).cast("double").alias("w"), *features).where("y IS NOT NULL")
+    rows = stored(bo.binned(rows, features, bo.bin_edges(split, features)).select("path", "role", "y", "w", "bins"))
+    points = F.inline(F.array(*[F.struct(F.lit(d).alias("depth"), F.lit(e).alias("eta")) for d, e in product(grid["max_depth"], grid["eta"])]))
+    models = stored(rows.select(F.col("path").alias("source")).distinct().select("source", points).withColumn(
+        "model", F.concat_ws("|", "source", F.col("depth").cast("string"), F.col("eta").cast("string"))))
+    train = rows.where("role = 'train' AND w > 0").select(F.col("path").alias("model"), "bins", "y", "w")
+    fits = bo.fit_models(train, len(CLASSES), models, rounds=stages[-1])
+    test = rows.where("role = 'test'").join(models, rows.path == models.source).select("model", "bins", "y", "depth", "eta", "path")
+    q = bo.predict(test, fits, len(CLASSES), stages).select("depth", "eta", "path", "y", F.posexplode("q").alias("stage", "q"))
+    loss = -F.ln(F.greatest(F.element_at("q", F.col("y") + 1), F.lit(1e-15)))
+    per = q.groupBy("depth", "eta", "path", "stage").agg(F.avg(loss).alias("loss"))
+    trees = F.element_at(F.array(*map(F.lit, stages)), F.col("stage") + 1)
+    return per.groupBy("depth", "eta", "stage").agg(F.avg("loss").alias("log_loss"), F.count(F.lit(1)).alias("folds")).select(
+        F.col("depth").alias("max_depth"), "eta", trees.alias("n_estimators"), "log_loss", "folds")
 
 
 class TransitionDetector:
     """Chance of a regime change within the horizon: boosted trees, rare class up-weighted."""
 
-    def __init__(self, features: Sequence[str], max_depth: int = 4, eta: float = 0.05, n_estimators: int = 20, seed: int = 42):
-        self.features, self.params = list(features), dict(maxDepth=max_depth, stepSize=eta, maxIter=n_estimators, seed=seed)
-        self.model, self.pos_weight = None, None
+    def __init__(self, features: Sequence[str], max_depth: int = bo.DEPTH, eta: float = bo.ETA, n_estimators: int = bo.ROUNDS,
+                 seed: int = bo.SEED):
+        self.features, self.params = list(features), dict(depth=max_depth, eta=eta, rounds=n_estimators, seed=seed)
+        self.models, self.edges, self.pos_weight = None, [], None
 
     def fit(self, df: DataFrame) -> "TransitionDetector":
         """``df`` has target and in_fit. Under 30 rows or one class, predictions stay at 0.5."""
@@ -119,16 +107,18 @@ class TransitionDetector:
         if n < 30 or pos in (0, n):
             return self
         self.pos_weight = float(np.clip((n - pos) / pos, 1.0, 50.0))
-        weighted = assemble(rows, self.features).select("_features", F.col("target").cast("double").alias("_y"),
-                                                        F.when(F.col("target") == 1, self.pos_weight).otherwise(1.0).alias("_w"))
-        self.model = GBTClassifier(featuresCol="_features", labelCol="_y", weightCol="_w", **self.params).fit(weighted)
+        self.edges = bo.bin_edges(rows, self.features)
+        weighted = bo.binned(rows.select(*self.features, F.col("target").cast("int").alias("y"), F.when(
+            F.col("target") == 1, self.pos_weight).otherwise(1.0).alias("w")), self.features, self.edges)
+        self.models = bo.fit_models(weighted.select(_one(), "bins", "y", "w"), 2, **self.params)
         return self
 
     def predict(self, df: DataFrame) -> DataFrame:
-        if self.model is None:
+        if self.models is None:
             return df.withColumn("p_change", F.lit(0.5))
-        out = self.model.transform(assemble(df, self.features))
-        return out.withColumn("p_change", vector_to_array("probability")[1]).drop("_features", "rawPrediction", "probability", "prediction")
+        rows = bo.binned(df, self.features, self.edges).withColumn("model", F.lit("all"))
+        out = bo.predict(rows, self.models, 2, (self.params["rounds"],), "_q")
+        return out.select(*df.columns, F.col("_q")[0][1].alias("p_change"))
 
 
 def equal_blend(positions: DataFrame, keys: Sequence[str]) -> DataFrame:
