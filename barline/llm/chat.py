@@ -66,18 +66,17 @@ def turns_of(text: str) -> list[tuple[str, str]]:
 
 
 def counted(turns: DataFrame, model: str) -> DataFrame:
-    """(conv_id, turn, role, body, n_tokens): escaped role and text of each turn, and the tokens of its block."""
+    """(conv_id, role, text) to (conv_id, role, body, n_tokens): escaped role and text, and the tokens of the block."""
     def make():
         t = tokenizer(model)
         t.encode_special_tokens = True
 
-        def fn(conv, turn, roles, texts):
+        def fn(conv, roles, texts):
             roles, bodies = [escaped_role(r or "") for r in roles], [escaped(x or "") for x in texts]
             made = t.encode_batch_fast([block(r, b) for r, b in zip(roles, bodies)], add_special_tokens=False)
-            return conv, turn, roles, bodies, [len(e.ids) for e in made]
+            return conv, roles, bodies, [len(e.ids) for e in made]
         return fn
-    return per_row(turns.select(F.col("conv_id").cast("bigint"), F.col("turn").cast("bigint"), "role", "text"),
-                   "conv_id bigint, turn bigint, role string, body string, n_tokens bigint", make)
+    return per_row(turns.select("conv_id", "role", "text"), "conv_id bigint, role string, body string, n_tokens bigint", make)
 
 
 def spans(sizes: list[int], system: int | None, before: list[int], first: bool, skip: int, budget: int, history: int):
@@ -120,8 +119,9 @@ def windows(turns: DataFrame, model: str, budget: int = BUDGET, history: int = H
     columns are not read.
     """
     size = budget * SEGMENT
-    rows = keyed_scan(counted(turns, model).withColumn("hash", F.xxhash64("body")), ["conv_id"], ["turn", "role", "hash"],
-                      ["n_tokens"], tag="turns").drop("hash", "turn")
+    raw = turns.select(F.col("conv_id").cast("bigint"), F.col("turn").cast("bigint"), "role", "text",
+                       F.xxhash64("text").alias("hash"))
+    rows = keyed_scan(raw, ["conv_id"], ["turn", "role", "hash"], ["n_tokens"], "turns", lambda df: counted(df, model))
     start, end = F.col("before_n_tokens"), F.col("before_n_tokens") + F.col("n_tokens")
     segment = F.floor(start / size).cast("bigint")
     own = rows.withColumn("segment", segment).withColumn("kind", F.lit("own"))

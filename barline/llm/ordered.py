@@ -7,6 +7,8 @@ ranges, and is added when the rows are read again.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,18 +40,21 @@ def _local(batches, keys: list[str], sums: list[str]):
             names=[*batch.schema.names, "_part", "_row", "_key", "_pos", *[f"_before_{s}" for s in sums]])
 
 
-def keyed_scan(df: DataFrame, keys: list[str], order: list[str], sums: list[str] = (), tag: str = "scan") -> DataFrame:
+def keyed_scan(df: DataFrame, keys: list[str], order: list[str], sums: list[str] = (), tag: str = "scan",
+               prepare: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """The rows with ``key_no`` (0, 1, ... over the keys in ascending order, null first), ``pos`` (0, 1, ... inside the key
     by ``order``) and ``before_<s>``, the sum of the BIGINT column ``s`` (without nulls) over the key's earlier rows.
 
     Rows that agree in key and order are told apart by where they were read, so a repeated row of any weight spreads
-    too. What reaches the driver, and is broadcast, is one row for each range of rows.
+    too. What reaches the driver, and is broadcast, is one row for each range of rows. ``prepare`` maps rows one to one,
+    in order and keeping the keys, once they are dealt: Spark reads a frame twice to deal it by range.
     """
     spark, sums = df.sparkSession, list(sums)
     # As many ranges as input splits, so a range's rows are bounded however the rows are dealt to keys.
     ranges = max(1, df.rdd.getNumPartitions())
     dealt = (df.withColumn("_read", F.monotonically_increasing_id()).repartitionByRange(ranges, *keys, *order, "_read")
              .sortWithinPartitions(*keys, *order, "_read").drop("_read"))
+    df = dealt = prepare(dealt) if prepare else dealt
     schema = T.StructType([*df.schema.fields, T.StructField("_part", T.IntegerType()), T.StructField("_row", T.LongType()),
                            *[T.StructField(c, T.LongType()) for c in ("_key", "_pos", *[f"_before_{s}" for s in sums])]])
     rows = written(dealt.mapInArrow(lambda bs: _local(bs, keys, sums), schema), tag)
