@@ -15,6 +15,7 @@ from ..operators import backtest as bt
 from ..operators import features as feat
 from ..operators import folds, stats
 from ..operators import regimes as rg
+from ..plans import strategies
 from ..plans import validation as val
 from ..sources import testdata as td
 from .base import query
@@ -340,6 +341,16 @@ def cpcv_panel_rule(spark, sf):
     return val.validate_panel(frame(spark, sf, extra=extra), panel_strategies(fitted=True))
 
 
+@query("cpcv_panel_fitted", **PANEL)
+def cpcv_panel_fitted(spark, sf):
+    """Eleven strategies on shared folds: benchmarks, blends, the rule, and five that fit on each path's train rows."""
+    extra = [c for c in S.FEATURES_V1 if c != "mom_20"]
+    labels = rg.raw_regimes(feat.features_v1(td.bars(spark, sf))).select(
+        "symbol", "ts", F.col("label").alias("rule_label"), "p_0", "p_1", "p_2")
+    rows = stored(frame(spark, sf, extra=extra).join(labels, ["symbol", "ts"]))
+    return val.validate_panel(rows, panel_strategies(fitted=True) | strategies.fitted_strategies())
+
+
 # a universe of series: one per supplier, five groups
 cte("s_labels0", "sbars_f1", """
 SELECT symbol, pos, r, close, mom_20, vol_ewma, max(pos) OVER (PARTITION BY symbol) AS last_pos, count(*) OVER (PARTITION BY symbol) AS n_bars,

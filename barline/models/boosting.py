@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from ..functions.store import stored
 
-BINS, TRAIN_ROWS, SEED = 64, 100_000, 42
+BINS, TRAIN_ROWS, PART_ROWS, SEED = 64, 100_000, 20_000, 42
 MISSING = BINS - 1
 # The published settings.
 ROUNDS, DEPTH, ETA, ROW_SHARE, COLUMN_SHARE, L2, L1, LEAST_CHILD = 200, 4, 0.05, 0.8, 0.8, 1.0, 0.1, 1.0
@@ -170,34 +170,29 @@ def fit_models(rows: DataFrame, classes: int, settings: DataFrame | None = None,
 def predict(rows: DataFrame, models: DataFrame, classes: int, stages: Sequence[int] = (ROUNDS,), out: str = "q") -> DataFrame:
     """Adds ``q``: for every stage the class probabilities after that many rounds, as an array of arrays.
 
-    ``rows`` has model and bins. A label that the training rows lack has probability 0.
+    ``rows`` has model and bins; rows of models that aren't there are left out. A label that the training rows lack has
+    probability 0.
     """
     kept = rows.columns
     schema = T.StructType([*rows.schema.fields, T.StructField(out, T.ArrayType(T.ArrayType(T.DoubleType())))])
 
-    def run(batches):
-        known: dict[str, tuple] = {}
-        for batch in batches:
-            model = np.array(batch.column(batch.schema.get_field_index("model")).to_pylist(), dtype=object)
-            raw = batch.column(batch.schema.get_field_index("bins")).to_pylist()
-            x = np.frombuffer(b"".join(raw), np.uint8).reshape(len(raw), -1)
-            q = np.zeros((len(raw), len(stages), classes))
-            for name in set(model):
-                at = np.flatnonzero(model == name)
-                if name not in known:
-                    known.clear()
-                    one = int(at[0])
-                    known[name] = (pickle.loads(batch.column(batch.schema.get_field_index("trees"))[one].as_py()),
-                                   np.array(batch.column(batch.schema.get_field_index("prior"))[one].as_py()))
-                trees, prior = known[name]
-                margin = np.zeros((len(at), classes if classes > 2 else 1))
-                for s, stage in enumerate(stages):
-                    for several in trees[stages[s - 1] if s else 0:stage]:
-                        for k, tree in enumerate(several):
-                            margin[:, k] += leaves(x[at], tree)
-                    p = (probabilities(margin) if trees else np.broadcast_to(prior, (len(at), classes))) * (prior > 0)
-                    q[at, s] = p / p.sum(axis=1, keepdims=True)
-            yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.get_field_index(c)) for c in kept],
-                                              pa.array(q.tolist(), pa.list_(pa.list_(pa.float64())))], names=[*kept, out])
-    # The trees travel once per task that needs them: one row per model, broadcast while it is small.
-    return rows.join(models.select("model", "prior", "trees"), "model").select(*kept, "prior", "trees").mapInArrow(run, schema)
+    def run(part: pa.Table, fitted: pa.Table) -> pa.Table:
+        raw = part["bins"].to_pylist() if fitted.num_rows else []
+        x = np.frombuffer(b"".join(raw), np.uint8).reshape(len(raw), -1)
+        q = np.zeros((len(raw), len(stages), classes))
+        if raw:
+            trees, prior = pickle.loads(fitted["trees"][0].as_py()), np.array(fitted["prior"][0].as_py())
+            margin = np.zeros((len(raw), classes if classes > 2 else 1))
+            for s, stage in enumerate(stages):
+                for several in trees[stages[s - 1] if s else 0:stage]:
+                    for k, tree in enumerate(several):
+                        margin[:, k] += leaves(x, tree)
+                p = (probabilities(margin) if trees else np.broadcast_to(prior, (len(raw), classes))) * (prior > 0)
+                q[:, s] = p / p.sum(axis=1, keepdims=True)
+        return part.slice(0, len(raw)).select(kept).append_column(out, pa.array(q.tolist(), pa.list_(pa.list_(pa.float64()))))
+    # A model's rows are cut into parts of bounded size, and its trees travel once to each part.
+    parts = rows.groupBy("model").agg(F.ceil(F.count(F.lit(1)) / PART_ROWS).cast("int").alias("_parts"))
+    cut = rows.join(parts, "model").withColumn("_part", F.pmod(F.xxhash64(F.struct(*kept)), "_parts").cast("int")).drop("_parts")
+    fitted = models.select("model", "prior", "trees").join(parts, "model").withColumn(
+        "_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
+    return cut.groupBy("model", "_part").cogroup(fitted.groupBy("model", "_part")).applyInArrow(run, schema)

@@ -9,12 +9,15 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import clip
 from ..functions.frame import runs
-from ..functions.scan import linear_scan
+from ..functions.scan import LEAST_BETA, linear_scan
+from ..functions.store import stored
 from ..schema import ANNUAL_BARS
 
 SCALE = 100.0
 ALPHAS = [0.02, 0.05, 0.08, 0.12, 0.16, 0.22, 0.30]
 BETAS = [0.50, 0.60, 0.70, 0.78, 0.85, 0.90, 0.94]
+#: Spacing of the first fine cells, the spacing below which a series may be done, and rounds at most.
+FIRST_STEPS, FINEST, REFINE_ROUNDS, STATIONARY = (0.02, 0.03), 0.002, 16, 0.9995
 SHAPES = [round(0.3 + 0.05 * i, 2) for i in range(75)]
 
 
@@ -36,34 +39,59 @@ def garch_volatility(df: DataFrame) -> DataFrame:
     return garch_variance(df).withColumn("sigma", F.sqrt(F.greatest("sigma2", F.lit(0.0))) / SCALE)
 
 
-def _best(train: DataFrame, grid: Column) -> DataFrame:
-    """Likelihood of every grid point on every series, then the best point per series."""
-    stats = train.groupBy("symbol").agg(F.var_pop(F.col("r") * SCALE).alias("_var"), F.count("r").alias("n_train"))
-    cells = train.join(stats, "symbol").select("symbol", "pos", "r", "_var", "n_train", F.inline(grid))
-    cells = cells.withColumns({"omega": F.col("_var") * (1 - F.col("alpha") - F.col("beta")), "sigma2_0": F.col("_var")})
-    fitted = garch_variance(cells, ("symbol", "cell"))
+def _best(rows: DataFrame, keys: list[str], cells: Column) -> DataFrame:
+    """The likeliest of each series' cells (alpha, beta), with omega, last_sigma2 and ll."""
+    at = rows.select(*keys, "pos", "r", "_var", "n_train", F.posexplode(cells).alias("cell", "_c")).select(
+        *keys, "pos", "r", "n_train", "cell", "_c.alpha", "_c.beta", F.col("_var").alias("sigma2_0"),
+        (F.col("_var") * (1 - F.col("_c.alpha") - F.col("_c.beta"))).alias("omega"))
+    fitted = garch_variance(at, (*keys, "cell"))
     x2 = F.pow(F.col("r") * SCALE, 2)
     s2 = F.greatest(F.col("sigma2"), F.lit(1e-12))
-    point = fitted.groupBy("symbol", "cell", "n_train").agg(
+    point = fitted.groupBy(*keys, "cell", "n_train").agg(
         F.sum(-0.5 * (F.ln(F.lit(2 * math.pi) * s2) + x2 / s2)).alias("ll"), F.max("omega").alias("omega"),
         F.max("alpha").alias("alpha"), F.max("beta").alias("beta"), F.max_by("sigma2", "pos").alias("last_sigma2"))
-    return point.groupBy("symbol", "n_train").agg(F.max_by(F.struct("omega", "alpha", "beta", "last_sigma2", "ll"), "ll").alias("_b")).select(
-        "symbol", "n_train", "_b.*")
+    return point.groupBy(*keys, "n_train").agg(F.max_by(F.struct("omega", "alpha", "beta", "last_sigma2", "ll"), F.struct(
+        "ll", -F.col("cell"))).alias("_b")).select(*keys, "n_train", "_b.*")
 
 
-def fit_garch(train: DataFrame, min_rows: int = 50) -> DataFrame:
-    """omega, alpha, beta per series by likelihood over a stationary grid with variance targeting.
+def fit_garch(train: DataFrame, keys: tuple[str, ...] = ("symbol",), min_rows: int = 50, rounds: int = REFINE_ROUNDS,
+              tolerance: float = 1e-3) -> DataFrame:
+    """omega, alpha, beta, last_sigma2 and ll per series by maximum likelihood with variance targeting.
 
-    The grid is a generator, so (series, point) pairs spread over the cluster. Series under
-    ``min_rows`` returns are left out; callers fall back to rolling volatility.
+    A coarse table of stationary cells finds the region; rounds of five by five cells around the best point then follow it
+    with halving steps, keeping a step while the best cell lies on the rim. A series is done when a round inside its rim gains
+    less than ``tolerance``. Cells are generators, so (series, cell) pairs spread over the cluster, and all series share
+    a round's job. Series under ``min_rows`` returns are left out; callers fall back to rolling volatility.
     """
-    rows = train.where("r IS NOT NULL").select("symbol", "pos", "r")
-    n = F.count(F.lit(1)).over(Window.partitionBy("symbol"))
-    rank = F.row_number().over(Window.partitionBy("symbol").orderBy("pos")) - 1
-    rows = rows.select("symbol", rank.alias("pos"), "r", n.alias("_n")).where(F.col("_n") >= min_rows).drop("_n")
-    pairs = [(a, b) for a in ALPHAS for b in BETAS if a + b < 0.999]
-    grid = F.array(*[F.struct(F.lit(i).alias("cell"), F.lit(a).alias("alpha"), F.lit(b).alias("beta")) for i, (a, b) in enumerate(pairs)])
-    return _best(rows, grid)
+    keys = list(keys)
+    own = Window.partitionBy(*keys)
+    rank = F.row_number().over(own.orderBy("pos")) - 1
+    rows = train.where("r IS NOT NULL").select(*keys, rank.alias("pos"), "r", F.count(F.lit(1)).over(own).alias("n_train"),
+                                               F.var_pop(F.col("r") * SCALE).over(own).alias("_var"))
+    rows = stored(rows.where((F.col("n_train") >= min_rows) & (F.col("_var") > 0)))
+    pairs = [(a, b) for a in ALPHAS for b in BETAS if a + b < STATIONARY]
+    grid = F.array(*[F.struct(F.lit(a).alias("alpha"), F.lit(b).alias("beta")) for a, b in pairs])
+    step = dict(zip(("da", "db"), map(F.lit, FIRST_STEPS)))
+    active, ended = stored(_best(rows, keys, grid).withColumns(step)), []
+    for _ in range(rounds):
+        around = F.array(*[F.struct((F.col("alpha") + i * F.col("da")).alias("alpha"), (F.col("beta") + j * F.col("db")).alias("beta"))
+                           for i in range(-2, 3) for j in range(-2, 3)])
+        inside = F.filter(around, lambda c: (c["alpha"] > 0) & (c["beta"] >= LEAST_BETA) & (c["alpha"] + c["beta"] < STATIONARY))
+        before = active.select(*keys, inside.alias("_cells"), F.col("alpha").alias("_a"), F.col("beta").alias("_b"),
+                               F.col("ll").alias("_ll"), "da", "db")
+        found = _best(rows.join(before.select(*keys, "_cells"), keys), keys, F.col("_cells")).join(before.drop("_cells"), keys)
+        rim = (F.abs(F.col("alpha") - F.col("_a")) > 1.5 * F.col("da")) | (F.abs(F.col("beta") - F.col("_b")) > 1.5 * F.col("db"))
+        half = F.when(rim, 1.0).otherwise(0.5)
+        new = stored(found.select(*keys, "n_train", "omega", "alpha", "beta", "last_sigma2", "ll", (F.col("da") * half).alias("da"),
+                                  (F.col("db") * half).alias("db"), (~rim & (F.col("ll") - F.col("_ll") < tolerance) & (
+                                      F.col("da") < FINEST)).alias("done")))
+        ended.append(new.where("done").drop("done"))
+        active = new.where("NOT done").drop("done")
+        if active.isEmpty():
+            break
+    for e in ended:
+        active = active.unionByName(e)
+    return active.drop("da", "db")
 
 
 def vol_target_position(sigma: str = "sigma", target: float = 0.14, lo: float = 0.0, hi: float = 1.0) -> Column:
@@ -72,6 +100,27 @@ def vol_target_position(sigma: str = "sigma", target: float = 0.14, lo: float =
     return F.coalesce(clip(F.lit(target) / F.when(annual > 1e-9, annual), lo, hi), F.lit(0.0))
 
 
+def garch_sigma(rows: DataFrame, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
+    """Rows (keys, pos, r, is_train) with sigma: the conditional volatility from a fit on the training rows.
+
+    The recursion starts at the training rows' last variance. Series without a fit take the standard deviation of 21 returns
+    (5 at least), the next one before the first, the last one after gaps.
+    """
+    keys = list(keys)
+    w = Window.partitionBy(*keys).orderBy("pos")
+    fit = fit_garch(rows.where("is_train"), tuple(keys)).select(*keys, "omega", "alpha", "beta", F.col("last_sigma2").alias("sigma2_0"))
+    clean = rows.where("r IS NOT NULL").withColumns({"_at": F.col("pos"), "pos": F.row_number().over(w) - 1})
+    known = garch_volatility(clean.join(fit, keys)).select(*keys, F.col("_at").alias("pos"), "sigma")
+    recent = w.rowsBetween(-20, 0)
+    rolled = F.when(F.count("r").over(recent) >= 5, F.stddev_samp("r").over(recent))
+    out = rows.withColumn("_rolled", rolled).join(known, [*keys, "pos"], "left").withColumn(
+        "_any", F.count("sigma").over(Window.partitionBy(*keys)) > 0)
+    value = F.when(F.col("_any"), F.col("sigma")).otherwise(F.col("_rolled"))
+    filled = F.coalesce(F.last(value, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)),
+                        F.first(value, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)))
+    return out.withColumn("sigma", filled).drop("_rolled", "_any")
+
+
 def fit_durations(labels: DataFrame, label: str = "label", min_runs: int = 3) -> DataFrame:
     """Weibull (shape, scale) of run lengths per state: profile likelihood over a shape grid.
 
