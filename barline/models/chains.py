@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 
 from ..functions.store import stored
 
-#: Rows of a block.
-BLOCK = 1024
+#: Rows of a block, and blocks of a model that one task takes through all rounds.
+BLOCK, LOCAL_BLOCKS = 1024, 64
 GAUSSIAN, SWITCHING, GIVEN = "gaussian", "switching", "given"
 LEAST, RIDGE, COUNT = 1e-30, 1e-4, 1e-6
 STATE = "theta array<double>, origin array<double>, plain array<double>, phase int, ref double, rounds int"
@@ -298,8 +298,49 @@ def fitted(blocks: DataFrame, initial: DataFrame, kind: str, iterations: int = 2
     """Maximum-likelihood parameters per model, from blocks and (model, theta): the columns of ``FITTED``.
 
     A model's chains are the pieces of one series, a row per block, and update it in one group. ``pooled``: models have any
-    number of series as their chains, whose sums are added up by partial aggregates before the update.
+    number of series as their chains, whose sums are added up by partial aggregates before the update. Models of at most
+    ``LOCAL_BLOCKS`` blocks (65,536 rows) go through all their rounds in one task each, by the same steps; only longer and
+    pooled ones need a job for each round.
     """
+    if not pooled:
+        sizes = blocks.groupBy("model").count()
+        small = sizes.where(F.col("count") <= LOCAL_BLOCKS).select("model")
+        done = stored(blocks.join(initial, "model").join(small, "model", "left_semi").groupBy("model").applyInArrow(
+            lambda t: _all_rounds(t, kind, iterations, tolerance), FITTED))
+        large = sizes.where(F.col("count") > LOCAL_BLOCKS).select("model")
+        if large.isEmpty():
+            return done
+        rest = _by_rounds(blocks.join(large, "model", "left_semi"), initial.join(large, "model", "left_semi"), kind, iterations,
+                          tolerance, False)
+        return done.unionByName(rest)
+    return _by_rounds(blocks, initial, kind, iterations, tolerance, True)
+
+
+def _all_rounds(t: pa.Table, kind: str, iterations: int, tolerance: float) -> pa.Table:
+    """All rounds of one model from its blocks."""
+    rows = sorted(t.to_pylist(), key=lambda r: (r["chain"], r["block"]))
+    state = {"model": rows[0]["model"], "theta": rows[0]["theta"], "origin": None, "plain": None, "phase": 0, "ref": None,
+             "rounds": 0, "done": False}
+    data = [(r["chain"], r["first"], np.array(r["x"]).reshape(-1, 2)) for r in rows]
+    while not state["done"]:
+        k = states_of(state["theta"], kind)
+        with np.errstate(all="ignore"):
+            p = unpack(kind, state["theta"])
+            chains: dict[str, list] = {}
+            for chain, first, x in data:
+                chains.setdefault(chain, []).append(expected(x, kind, p, first))
+            try:
+                ll, sums, pairs, start = [sum(part) for part in zip(*[weighed(b, p["start"]) for b in chains.values()])]
+            except ValueError:
+                ll, sums, pairs, start = math.nan, np.zeros((k, 6)), np.zeros((k, k)), np.zeros(k)
+        state = _next_state(kind, state, float(ll), sums, pairs, start, tolerance, iterations)
+    return pa.Table.from_batches([_arrow([{c: state[c] for c in ("model", "theta", "log_likelihood", "rounds", "done")}], pa.schema(
+        [("model", pa.string()), ("theta", pa.list_(pa.float64())), ("log_likelihood", pa.float64()), ("rounds", pa.int32()),
+         ("done", pa.bool_())]))])
+
+
+def _by_rounds(blocks: DataFrame, initial: DataFrame, kind: str, iterations: int, tolerance: float, pooled: bool) -> DataFrame:
+    """A job for each round, over all models that haven't converged."""
     names = [c.split()[0] for c in STATE.split(", ")]
     none = F.lit(None).cast("array<double>")
     active = initial.select("model", "theta", none.alias("origin"), none.alias("plain"), F.lit(0).alias("phase"),

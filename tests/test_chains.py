@@ -133,7 +133,10 @@ def test_filter_and_path_of_given_densities_over_many_blocks(spark, monkeypatch)
         assert path[path.symbol == s].state.tolist() == states
 
 
-def test_mixture_reaches_the_plain_likelihood_and_recovers_states(spark, monkeypatch):
+@pytest.mark.parametrize("local", [64, 0])
+def test_mixture_reaches_the_plain_likelihood_and_recovers_states(spark, monkeypatch, local):
+    """All rounds in a task, and a job for each round."""
+    monkeypatch.setattr(ch, "LOCAL_BLOCKS", local)
     rng = np.random.default_rng(8)
     parts = {f"S{i}": simulated(rng, 900 + 50 * i) for i in range(3)}
     df = series(spark, {s: x for s, (x, _) in parts.items()}).select(F.col("symbol").alias("model"), F.col("symbol").alias("chain"), "pos", "r", "vol")
@@ -148,6 +151,8 @@ def test_mixture_reaches_the_plain_likelihood_and_recovers_states(spark, monkeyp
         assert r.done and r.log_likelihood == pytest.approx(ll, abs=1e-6)
         covs = ch.unpack(ch.GAUSSIAN, r.theta)["covs"][:, 1, 1]
         assert (np.diff(covs) > 0).all()
+    if not local:
+        return
     got = mix.regime_mixture(series(spark, {s: x for s, (x, _) in parts.items()}), path=True).toPandas().sort_values(["symbol", "pos"])
     for s, (x, states) in parts.items():
         mine = got[got.symbol == s]
