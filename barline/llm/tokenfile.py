@@ -133,11 +133,9 @@ def write_shards(docs: DataFrame, path: str, model: str, end_id: int) -> tuple[D
             for batch in batches:
                 for at in range(0, batch.num_rows, 256):
                     ids, texts = [c.to_pylist() for c in batch.slice(at, 256).columns]
-                    words = [split_words(t or "") for t in texts]
-                    cache.ensure(w for ws in words for w in ws)
                     rows = []
-                    for key, ws in zip(ids, words):
-                        data = b"".join(map(cache.__getitem__, ws)) + end
+                    for key, text in zip(ids, texts):
+                        data = b"".join(cache.take(split_words(text or ""))) + end
                         f.write(data)
                         nth, last = (nth + 1 if key == last else 0), key
                         rows.append((key, nth, shard, offset, len(data) // width))

@@ -61,6 +61,8 @@ class WordEncoder:
         if self.plain:
             self.cut = regex.compile(cuts[0]["pattern"]["Regex"]).findall
             marks = "".join({t["content"][0] for t in j["added_tokens"]})
+            # Words of letters are cut without a look at added tokens, so none may start with a letter or digit.
+            self.plain = not any(c.isalnum() or c in ".," for c in marks)
             self.simple = regex.compile(f"[!-~\u00a1-\u012f\u0131-\u017e--[{regex.escape(marks)}]]+", regex.V1).fullmatch
             byte_level = dict(zip(BYTES, map(chr, BYTES)))
             byte_level |= {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - set(BYTES)))}
@@ -118,18 +120,26 @@ class WordCache(dict):
         self.encode, self.max_words, self.max_chars, self.chars = encode, max_words, max_chars, 0
         self.older: dict = {}
 
+    def take(self, words: list) -> list:
+        """The values of words, encoding what is missing; known words cost one lookup."""
+        try:
+            return list(map(self.__getitem__, words))
+        except KeyError:
+            self.ensure(words)
+            return list(map(self.__getitem__, words))
+
     def ensure(self, words: Iterable[str]) -> None:
         words = set(words)
-        missing = words.difference(self)
+        missing = [w for w in words if w not in self]  # set operations would walk the whole cache
         if not missing:
             return
         if len(self) + len(missing) > self.max_words or self.chars > self.max_chars:
             self.older = dict(self)
             self.clear()
-            self.chars, missing = 0, words
-        known = missing.intersection(self.older)
-        self.update((w, self.older[w]) for w in known)
-        unknown = list(missing - known)
+            self.chars, missing = 0, list(words)
+        older = self.older
+        unknown = [w for w in missing if w not in older]
+        self.update((w, older[w]) for w in missing if w in older)
         self.update(zip(unknown, self.encode(unknown)))
         self.chars += sum(map(len, missing))
 

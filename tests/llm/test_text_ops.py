@@ -113,6 +113,16 @@ def test_words_match_library_over_letters():
     assert got == [e.ids for e in library.encode_batch(ws, add_special_tokens=False)]
 
 
+def test_added_tokens_of_letters_leave_words_to_the_library(tmp_path):
+    from tokenizers import Tokenizer
+    t = Tokenizer.from_file(WORD_BPE)
+    t.add_tokens(["water"])
+    t.save(str(tmp_path / "t.json"))
+    ws = ["water", "waterfall", "underwater", "people"]
+    got = [np.frombuffer(b, "<u4").tolist() for b in words.WordEncoder(str(tmp_path / "t.json"))(ws)]
+    assert got == [t.encode(w, add_special_tokens=False).ids for w in ws]
+
+
 def test_word_cache_forgets():
     cache = words.WordCache(lambda ws: [w.upper() for w in ws], max_words=10)
     for i in range(50):
@@ -128,9 +138,12 @@ TEXTS = ["", " ", "  a", "a  b   c ", "\n", "\n\n x\ny", "a\n b", "日本語😀
 def test_pieces_match_sentencepiece(docs, rows, no_docs):
     c = pieces.codec(PIECES)
     texts = TEXTS + [r[1] or "" for r in rows]
-    ids, agree = c.encode(texts)
+    ids, agree, decoded = c.encode(texts)
     assert [x.tolist() for x in ids] == c.other.encode(texts) and all(agree)
-    assert c.decode(ids) == texts
+    assert c.decode(ids) == texts == decoded
+    marked = ["a▁b", "▁▁ x", "▁"]  # the marker itself decodes to a space, by units as by whole texts
+    ids, agree, decoded = c.encode(marked)
+    assert all(agree) and decoded == c.decode(ids) == [t.replace("▁", " ") for t in marked]
     assert [e.ids for e in c.whole.encode_batch(texts[:40], add_special_tokens=False)] == c.other.encode(texts[:40])
     got = pieces.digests(docs, PIECES).collect()
     assert len(got) == len(rows) and all(r.parity and r.round_trip for r in got)
@@ -170,5 +183,5 @@ def test_unigram_models_are_rebuilt(tmp_path, squeeze):
     assert m.kind == pieces.UNIGRAM and m.byte_fallback and m.squeeze == bool(squeeze) and len(m.pieces) == len(vocab)
     c = pieces.Codec(str(path))
     texts = ["ab abc", "abcabc c", "x ab", "é a", "", "a  b" if not squeeze else "a b"]
-    ids, agree = c.encode(texts)
-    assert [x.tolist() for x in ids] == c.other.encode(texts) and all(agree)
+    ids, agree, decoded = c.encode(texts)
+    assert [x.tolist() for x in ids] == c.other.encode(texts) and all(agree) and decoded == c.decode(ids)
