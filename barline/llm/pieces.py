@@ -6,7 +6,8 @@ fallback, normaliser and metaspace marker. Where no piece has the marker after a
 line feed, a text's ids are those of its units (a run of markers and what follows, or a line feed) in order; then
 units are encoded once per worker in batches on the library's threads and kept in a bounded cache. Each unit that
 enters the cache is compared with the sentencepiece library, as is each whole text where units don't apply, so parity is
-verified for all that is encoded. Decoding goes through the library's decoder.
+verified for all that is encoded. Its ids then go back through the library's decoder, and the texts of units are joined
+just as their ids are. Models that break at no unit are encoded and decoded as whole texts.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from .words import WordCache
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
-CHUNK, THREADS = 128, 2
+CHUNK, THREADS, MAX_ODD = 128, 2, 1 << 18
 
 
 @dataclass
@@ -117,12 +118,6 @@ def rebuild(m: Model, normalise: bool = True):
     return t
 
 
-def _parts(ids: list[int], feed: int) -> list[list[int]]:
-    """The ids after each line feed."""
-    cuts = [i for i, x in enumerate(ids) if x == feed] + [len(ids)]
-    return [ids[a + 1:b] for a, b in zip(cuts, cuts[1:])]
-
-
 class Codec:
     """Encoder and decoder of one model file in one worker."""
 
@@ -130,6 +125,7 @@ class Codec:
         os.environ["TOKENIZERS_PARALLELISM"] = "true"
         os.environ.setdefault("RAYON_NUM_THREADS", str(THREADS))  # more threads than a task's cores only contend
         from sentencepiece import SentencePieceProcessor
+        from tokenizers import decoders
         with open(path, "rb") as f:
             self.model = parse(f.read())
         m = self.model
@@ -141,37 +137,61 @@ class Codec:
                         and len(self.unit.encode("\n", add_special_tokens=False).ids) == 1)
         self.cut = re.compile(f"\n|{MARK}*[^{MARK}\n]+|{MARK}+").findall
         self.cache = WordCache(self._encode_units)
+        # Units are decoded without the last step, which takes the dummy space off the start of a whole text.
+        self.unit.decoder = decoders.Sequence([decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse()])
+        self.changed: dict[str, str] = {}  # units that don't decode to what they are
         self.differing: set[str] = set()
 
     def _encode_units(self, units: list[str]) -> list[bytes]:
         """Ids of distinct units. Line feeds join units to longer texts for both libraries and part their ids again."""
+        if len(self.changed) > MAX_ODD:  # those that the cache has forgotten
+            self.changed = {u: t for u, t in self.changed.items() if u in self.cache or u in self.cache.older}
         proper = [u for u in units if u != "\n"]
         joined = ["\n".join(proper[i:i + CHUNK]) for i in range(0, len(proper), CHUNK)]
         feed = self.unit.encode("\n", add_special_tokens=False).ids
         ours = self.unit.encode_batch_fast(["\n" + j for j in joined], add_special_tokens=False)
         other = self.other.encode(["\n" + j.replace(MARK, " ") for j in joined], num_threads=1)
-        known = {"\n": feed}
-        rest = iter(proper)
-        for a, b in zip(ours, other):
-            for x, y in zip(_parts(a.ids, feed[0]), _parts(b, feed[0])):
-                u = next(rest)
-                known[u] = x
-                if x != y:
-                    self.differing.add(u)
-        return [array.array("I", known[u]).tobytes() for u in units]
-
-    def encode(self, texts: list[str]) -> tuple[list[array.array], list[bool]]:
-        """Ids of each text, and whether both libraries agree on it."""
+        known: list[list[int]] = []
+        for a, b, at in zip(ours, other, range(0, len(proper), CHUNK)):
+            ids = a.ids
+            cuts = [i for i, x in enumerate(ids) if x == feed[0]] + [len(ids)]
+            known += [ids[i + 1:j] for i, j in zip(cuts, cuts[1:])]
+            if ids != b:  # find the units that differ
+                theirs = [i for i, x in enumerate(b) if x == feed[0]] + [len(b)]
+                parts = [b[i + 1:j] for i, j in zip(theirs, theirs[1:])]
+                chunk = proper[at:at + CHUNK]
+                same = len(parts) == len(chunk)
+                self.differing.update(u for n, u in enumerate(chunk) if not same or parts[n] != known[at + n])
+        said = self.unit.decode_batch(known, skip_special_tokens=False)
+        self.changed.update((u, t) for u, t in zip(proper, said) if u.replace(MARK, " ") != t)
+        packed = dict(zip(proper, map(self._packed, known))) | {"\n": self._packed(feed)}
+        return [packed[u] for u in units]
+
+    @staticmethod
+    def _packed(ids: list[int]) -> bytes:
+        return array.array("I", ids).tobytes()
+
+    def encode(self, texts: list[str]) -> tuple[list[array.array], list[bool], list[str]]:
+        """Ids of each text, whether both libraries agree on it, and the ids decoded again."""
         if not self.by_unit:
             ids = [e.ids for e in self.whole.encode_batch(texts, add_special_tokens=False)]
-            return [array.array("I", x) for x in ids], [a == b for a, b in zip(ids, self.other.encode(texts))]
+            agree = [a == b for a, b in zip(ids, self.other.encode(texts))]
+            return [array.array("I", x) for x in ids], agree, self.whole.decode_batch(ids, skip_special_tokens=False)
         units = [self.cut(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        self.cache.ensure(u for us in units for u in us)
+        self.cache.ensure(u for us in units for u in us)  # a slice at a time: the libraries take batches
         out = [array.array("I", b"".join(map(self.cache.__getitem__, us))) for us in units]
         agree = [not self.differing or self.differing.isdisjoint(us) for us in units]
-        return out, agree
+        return out, agree, [self._joined(us) for us in units]
+
+    def _joined(self, units: list[str]) -> str:
+        if self.changed and not self.changed.keys().isdisjoint(units):
+            text = "".join([self.changed.get(u) or u.replace(MARK, " ") for u in units])
+        else:
+            text = "".join(units).replace(MARK, " ")
+        return text[1:] if text.startswith(" ") else text
 
     def decode(self, ids: list[array.array]) -> list[str]:
+        """Any ids as texts."""
         return self.whole.decode_batch([x.tolist() for x in ids], skip_special_tokens=False)
 
 
@@ -190,8 +210,8 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
         c = codec(path)
 
         def fn(doc_ids, texts):
-            ids, agree = c.encode([t or "" for t in texts])
-            return doc_ids, [x.tolist() for x in ids], list(map(len, ids)), agree, c.decode(ids)
+            ids, agree, decoded = c.encode([t or "" for t in texts])
+            return doc_ids, [x.tolist() for x in ids], list(map(len, ids)), agree, decoded
         return fn
     return per_row(docs.select("doc_id", "text"), "doc_id bigint, ids array<int>, n_tokens bigint, parity boolean, "
                    "decoded string", make, rows=64)
@@ -204,9 +224,9 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
 
         def fn(doc_ids, texts):
             texts = [t or "" for t in texts]
-            ids, agree = c.encode(texts)
+            ids, agree, decoded = c.encode(texts)
             return (doc_ids, list(map(len, ids)), [zlib.crc32(x.tobytes()) for x in ids], agree,
-                    [a == b for a, b in zip(c.decode(ids), texts)])
+                    [a == b for a, b in zip(decoded, texts)])
         return fn
     return per_row(docs.select("doc_id", "text"), "doc_id bigint, n_tokens bigint, ids_crc32 bigint, parity boolean, "
                    "round_trip boolean", make)
