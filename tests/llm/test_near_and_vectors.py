@@ -95,16 +95,15 @@ def test_fingerprint_of_short_texts():
 
 
 def plain_top(rows, every, k, scale=256):
-    vectors = {}
+    vectors = set()
     for i, v in rows:
         if i is None or v is None or any(x is None or not math.isfinite(x) for x in v):
             continue
-        q = tuple(math.floor(scale * x) for x in v)
-        vectors[i] = min(vectors.get(i, q), q)
+        vectors.add((i, tuple(math.floor(scale * x) for x in v)))
     out = []
-    for i, q in vectors.items():
+    for i, q in vectors:
         if i % every == 0:
-            scored = sorted((-sum(a * b for a, b in zip(q, v)), j) for j, v in vectors.items() if j != i)[:k]
+            scored = sorted((-sum(a * b for a, b in zip(q, v)), j) for j, v in vectors if j != i)[:k]
             out += [(i, r, j, -s) for r, (s, j) in enumerate(scored, 1)]
     return sorted(out)
 
@@ -125,6 +124,18 @@ def test_top_k_matches_brute_force(spark):
     check(spark, rows)
 
 
+def test_repeated_ids_and_many_shards_and_blocks(spark, monkeypatch):
+    """Rows that share an id but not the vector are all candidates; thresholds pass between shards and from the seeds."""
+    for name, value in (("SHARD_VECTORS", 64), ("BLOCK_QUERIES", 5), ("CHUNK", 16), ("SEEDS", 12), ("TASKS", 8)):
+        monkeypatch.setattr(maxscore, name, value)
+    rng = np.random.default_rng(6)
+    rows = [(i % 300, (rng.normal(size=8) * (rng.random(8) < .7)).tolist()) for i in range(420)]
+    rows += [rows[0], rows[0], (0, rows[5][1]), (14, rows[28][1])]
+    check(spark, rows)
+    check(spark, [(7, [1.0, 2.0]), (7, [3.0, -1.0]), (8, [1.0])])
+    check(spark, rows[:6], every=1000)
+
+
 def test_top_k_over_many_chunks_and_large_values(spark):
     rng = np.random.default_rng(4)
     centre = rng.normal(size=(6, 12))
