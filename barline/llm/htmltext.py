@@ -25,10 +25,14 @@ TAG = re.compile(r"""<!--.*?(?:-->|\Z)
     |<[!?/][^>]*+(?:>|\Z)""", re.S | re.X)
 NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 NAME_WORD = re.compile("[A-Z]?[a-z]+|[A-Z]+")
-RAW = set("script style title textarea noscript iframe xmp noembed noframes template svg math select".split())
+#: Raw text up to the closing tag or, as browsers have it, the page's end.
+RAW = set("script style title textarea xmp".split())
+#: Left out up to the closing tag; without one, or closed in their own tag, they are ordinary elements.
+ASIDE = set("noscript iframe noembed noframes template svg select".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = set("""a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark output q rp rt ruby s
-    samp small span strike strong sub sup time tt u var wbr br""".split())
+    samp small span strike strong sub sup time tt u var wbr br math semantics mrow mi mn mo ms mtext mfrac msqrt mroot msup
+    msub msubsup munder mover munderover mstyle mpadded mspace""".split())
 #: A start tag of the key closes an open element of the value, if no element of the last set lies between.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
           "th": {"td", "th"}, "option": {"option"}}
@@ -90,11 +94,13 @@ def blocks(page: str) -> list[Block]:
                 if name == "p":
                     flush()
             continue
-        if name in RAW:
+        own = (m["attrs"] or m["attrs2"] or "").endswith("/")
+        if name in RAW or name in ASIDE and not own:
             end = re.compile(f"</{re.escape(name)}(?=[\\s/>])", re.I).search(page, at)
             close = page.find(">", end.end()) if end else -1
-            at = close + 1 if close >= 0 else len(page)
-            continue
+            if name in RAW or close >= 0:
+                at = close + 1 if close >= 0 else len(page)
+                continue
         if name == "br":
             parts.append((" ", False))
             continue
@@ -107,7 +113,7 @@ def blocks(page: str) -> list[Block]:
                 if stack[i][0] in SCOPE:
                     break
         attrs = m["attrs"] or m["attrs2"] or ""
-        if name not in VOID and not (attrs.endswith("/") and name in INLINE):
+        if name not in VOID and not (attrs.endswith("/") and (name in INLINE or name in ASIDE)):
             stack.append((name, _words_of(attrs) if attrs else ()))
             links += name == "a"
     flush()
@@ -314,8 +320,9 @@ def trained() -> Field:
     pages = []
     for page, labels in labelled_pages():
         found = blocks(page)
-        if len(found) == len(labels):
-            pages.append((features(found), labels))
+        if len(found) != len(labels):
+            raise ValueError("a training page parses into other blocks than it was written with")
+        pages.append((features(found), labels))
     return train(pages)
 
 

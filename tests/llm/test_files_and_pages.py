@@ -215,3 +215,22 @@ def test_files_are_whole_or_absent(tmp_path):
     tokenfile.put(f"file://{tmp_path}/a/b.bin", b"data")
     store, _ = fs.FileSystem.from_uri(f"file://{tmp_path}")
     assert (tmp_path / "a/b.bin").read_bytes() == b"data" and len(list((tmp_path / "a").iterdir())) == 1
+
+
+def test_raw_and_odd_elements_keep_the_article(spark):
+    """Self-closed and unclosed elements inside an article lose nothing of it; scripts and drawings go."""
+    def page(inside):
+        first = "The first paragraph of this article says a few things about the matter, and it says them at some length."
+        last = "The last paragraph closes the article with a plain sentence, as articles of this kind so often do."
+        return f"<html><head><title>t</title></head><body><article><p>{first}</p>{inside}<p>{last}</p></article></body></html>", first, last
+    middle = "A sentence stands in the middle of the article and should be kept whole, whatever stands beside it."
+    kept = ["<svg width='3' />", "<math/>", "<select/>", "<noscript/>", "<template/>", "<iframe src='x'/>", "<script>if (a < b) x()</script>",
+            "<svg><text>drawn</text></svg>", "<style>p { color: red }</style>", "<noscript>turn it on</noscript>", "<select><option>one</select>"]
+    rows = [(i, page(f"{k}<p>{middle}</p>")) for i, k in enumerate(kept)]
+    rows += [(100 + i, page(f"<{t}><p>{middle}</p>")) for i, t in enumerate(("svg", "select", "noscript", "template", "iframe"))]
+    df = spark.createDataFrame([(i, "u", p[0]) for i, p in rows], "page_id bigint, url string, html string")
+    got = {r.page_id: r.text for r in htmltext.extract(df).collect()}
+    for i, (_, first, last) in rows:
+        assert got[i].split("\n") == [first, middle, last], (i, got[i])
+    formula = page("<p>The area is <math><mrow><mi>a</mi><mo>*</mo><mi>b</mi></mrow></math> for sides a and b of the field.</p>")[0]
+    assert "The area is a*b for sides a and b of the field." in [b.text for b in htmltext.blocks(formula)]
