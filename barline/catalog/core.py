@@ -56,8 +56,8 @@ def scan_macro_landed(spark, sf):
                      F.col("o_orderdate").cast("date").alias("date")).agg(
         F.when(F.count(F.lit(1)) % 5 != 0, money.cast("string")).otherwise(".").alias("value"))
     path = scratch(spark) + "/landed"
-    days.groupBy("series_id", F.year("date").alias("year")).agg(
-        F.collect_list(F.struct("date", "value")).alias("observations")).drop("year").write.json(path)
+    docs = days.groupBy("series_id", F.year("date").alias("year")).agg(F.collect_list(F.struct("date", "value")).alias("observations"))
+    docs.withColumn("landed", F.concat_ws("-", "series_id", "year")).drop("year").write.partitionBy("landed").json(path)
     return rd.read_observations(spark, path)
 
 

@@ -12,6 +12,7 @@ from ..models import classifier as clf
 from ..models import filters as flt
 from ..models import mixture as mix
 from ..models import volatility as vol
+from ..operators import drift
 from ..operators import features as feat
 from ..operators import folds
 from ..operators import labels as lab
@@ -49,6 +50,23 @@ def hmm_forward_filter(spark, sf):
     return out.select("symbol", "pos", F.col("probs")[0].alias("p_calm"), F.col("probs")[1].alias("p_wild"))
 
 
+@query("likeliest_path", "bars_f1", f"""
+WITH RECURSIVE z AS (SELECT symbol, pos, row_number() OVER {W} AS rn, -0.5 * power(z / 0.6, 2) - ln(0.6) AS e0, -0.5 * power(z / 1.6, 2) - ln(1.6) AS e1
+ FROM (SELECT symbol, pos, r / nullif(vol_yearly, 0) AS z FROM bars_f1) WHERE z IS NOT NULL),
+f AS (SELECT symbol, rn, ln(0.5) + e0 AS s0, ln(0.5) + e1 AS s1, [0] AS p0, [1] AS p1 FROM z WHERE rn = 1 UNION ALL
+ SELECT z.symbol, z.rn, greatest(f.s0 + ln(0.97), f.s1 + ln(0.05)) + z.e0, greatest(f.s0 + ln(0.03), f.s1 + ln(0.95)) + z.e1,
+  list_append(CASE WHEN f.s0 + ln(0.97) >= f.s1 + ln(0.05) THEN f.p0 ELSE f.p1 END, 0),
+  list_append(CASE WHEN f.s0 + ln(0.03) >= f.s1 + ln(0.95) THEN f.p0 ELSE f.p1 END, 1)
+ FROM f JOIN z ON z.symbol = f.symbol AND z.rn = f.rn + 1),
+best AS (SELECT symbol, arg_max(CASE WHEN s0 >= s1 THEN p0 ELSE p1 END, rn) AS p FROM f GROUP BY symbol)
+SELECT z.symbol, z.pos, best.p[z.rn] AS state FROM z JOIN best ON z.symbol = best.symbol""", keys="symbol", ints="pos state")
+def likeliest_path(spark, sf):
+    """The most likely states of the filter above, with the same fixed parameters."""
+    df = feat.features_v1(td.bars(spark, sf)).select("symbol", "pos", (F.col("r") / F.nullif("vol_yearly", F.lit(0.0))).alias("z"))
+    density = F.array(*[-0.5 * F.pow(F.col("z") / s, 2) - F.ln(F.lit(s)) for s in (0.6, 1.6)])
+    return flt.likeliest_path(df.where("z IS NOT NULL").withColumn("log_emit", density), [[0.97, 0.03], [0.05, 0.95]], [0.5, 0.5])
+
+
 query("fit_regime_mixture")(lambda spark, sf: mix.regime_mixture(pairs(spark, sf)))
 query("fit_regime_mixture_train")(lambda spark, sf: mix.regime_mixture(
     flt.train_share(pairs(spark, sf), 0.7), train_only=True))
@@ -357,12 +375,13 @@ def stream_changes(spark, sf):
     return live.replay(s, "as_of", YEARS, live.label_changes)
 
 
-@query("stream_drift")
+@query("stream_drift", "psi", 'SELECT "column" AS feature, n_ref, n_cur, psi FROM psi', keys="feature", ints="n_ref n_cur", floats="psi")
 def stream_drift(spark, sf):
-    """PSI of the landed later line items against the earlier ones, per micro-batch."""
+    """Landed later line items against the stored edges of the earlier ones: counts per micro-batch, added up."""
     from .regime import PSI_COLS, drift_sides
     ref, cur = drift_sides(spark, sf)
+    edges = stored(drift.reference_edges(ref, PSI_COLS))
     path = scratch(spark) + "/landing"
-    cur.write.parquet(path)
-    stream = live.read_stream(spark, cur, path, files_per_batch=1000)
-    return live.run_drift(stream, ref, PSI_COLS).withColumnRenamed("column", "feature")
+    cur.repartition(4).write.parquet(path)
+    stream = live.read_stream(spark, cur, path, files_per_batch=1)
+    return live.run_drift(stream, edges, PSI_COLS).withColumnRenamed("column", "feature")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import ColumnOrName, col, finite_or_null
 from ..functions.quantiles import exact_quantiles
+from ..functions.store import stored
 
 PSI_THRESHOLD, MMD_THRESHOLD, CALIBRATION_THRESHOLD = 0.25, 0.10, 0.05
 FLOOR = 1e-4
@@ -21,33 +22,54 @@ def _long(df: DataFrame, columns: Sequence[str], side: str) -> DataFrame:
     return df.select(F.lit(side).alias("side"), F.inline(cells)).where("x IS NOT NULL")
 
 
-def psi(reference: DataFrame, current: DataFrame, columns: Sequence[str], bins: int = 10) -> DataFrame:
-    """Population stability index per column over the reference's quantile bins.
+def reference_edges(reference: DataFrame, columns: Sequence[str], bins: int = 10) -> DataFrame:
+    """(column, n_edges, inner_edges, bins, counts): the reference's quantile edges and its own counts per bin.
 
-    Edges are exact quantiles with duplicates removed and open outer ends. Under ``bins`` rows on
-    a side the result is NULL; a near-constant reference gives 0. The edge table has one row per
-    column, so it is broadcast.
+    Edges are exact quantiles with duplicates removed and open outer ends. One row per column: a table to be stored once for
+    each version of the reference, which later batches read in its place.
     """
-    ref, cur = _long(reference, columns, "ref"), _long(current, columns, "cur")
+    ref = _long(reference, columns, "ref")
     edges = exact_quantiles(ref, "x", "column", [i / bins for i in range(bins + 1)]).groupBy("column").agg(
         F.array_sort(F.collect_set("quantile")).alias("edges"))
     edges = edges.select("column", F.size("edges").alias("n_edges"),
                          F.slice("edges", F.lit(2), F.greatest(F.size("edges") - 2, F.lit(0))).alias("inner_edges"))
-    placed = ref.unionByName(cur).join(F.broadcast(edges), "column").select(
-        "side", "column", "n_edges", F.expr("size(filter(inner_edges, e -> x >= e))").alias("bin"))
-    counts = placed.groupBy("column", "n_edges", "bin").agg(
-        F.count_if(F.col("side") == "ref").alias("r"), F.count_if(F.col("side") == "cur").alias("c"))
+    counts = bin_counts(reference, columns, edges).groupBy("column").agg(
+        F.map_from_entries(F.collect_list(F.struct("bin", "n"))).alias("counts"))
+    return edges.join(F.broadcast(counts), "column").withColumn("bins", F.lit(bins))  # a row per column
+
+
+def bin_counts(df: DataFrame, columns: Sequence[str], edges: DataFrame) -> DataFrame:
+    """(column, bin, n) of a table or batch, by the reference's edges: counts that add up over batches."""
+    placed = _long(df, columns, "cur").join(F.broadcast(edges.select("column", "inner_edges")), "column").select(
+        "column", F.expr("size(filter(inner_edges, e -> x >= e))").alias("bin"))
+    return placed.groupBy("column", "bin").agg(F.count(F.lit(1)).alias("n"))
+
+
+def psi_of(edges: DataFrame, current: DataFrame) -> DataFrame:
+    """The index per column from stored edges and any number of (column, bin, n) counts.
+
+    Under ``bins`` rows on a side it is NULL; a near-constant reference gives 0.
+    """
+    ref = edges.select("column", F.explode("counts").alias("bin", "r"))
+    cur = current.groupBy("column", "bin").agg(F.sum("n").alias("c"))
+    counts = ref.join(cur, ["column", "bin"], "full").select("column", F.coalesce("r", F.lit(0)).alias("r"), F.coalesce("c", F.lit(0)).alias("c"))
     totals = counts.groupBy("column").agg(F.sum("r").alias("n_ref"), F.sum("c").alias("n_cur"))
     # empty bins on both sides contribute nothing: equal floors cancel
-    joined = counts.join(F.broadcast(totals), "column")
+    joined = counts.join(F.broadcast(totals), "column").join(F.broadcast(edges.select("column", "n_edges", "bins")), "column")
     r = F.greatest(F.col("r") / F.greatest(F.col("n_ref"), F.lit(1)), F.lit(FLOOR))
     c = F.greatest(F.col("c") / F.greatest(F.col("n_cur"), F.lit(1)), F.lit(FLOOR))
-    out = joined.groupBy("column", "n_edges", "n_ref", "n_cur").agg(F.sum((c - r) * F.ln(c / r)).alias("_psi"))
-    few = (F.col("n_ref") < bins) | (F.col("n_cur") < bins)
+    out = joined.groupBy("column", "n_edges", "bins", "n_ref", "n_cur").agg(F.sum((c - r) * F.ln(c / r)).alias("_psi"))
+    few = (F.col("n_ref") < F.col("bins")) | (F.col("n_cur") < F.col("bins"))
     return out.select("column", "n_ref", "n_cur",
                       F.when(few, None).when(F.col("n_edges") < 3, 0.0).otherwise(F.col("_psi")).alias("psi"))
 
 
+def psi(reference: DataFrame, current: DataFrame, columns: Sequence[str], bins: int = 10) -> DataFrame:
+    """Population stability index per column over the reference's quantile bins; see ``reference_edges`` and ``psi_of``."""
+    edges = stored(reference_edges(reference, columns, bins))
+    return psi_of(edges, bin_counts(current, columns, edges))
+
+
 def median_distance(df: DataFrame, vector: str, id_column: str, buckets: int = 4096) -> float:
     """Median squared distance over as many pairs as there are rows: each row and the next one of its hash bucket.
 

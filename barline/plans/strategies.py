@@ -32,9 +32,21 @@ def _training(view: DataFrame, *columns: str) -> DataFrame:
     return view.select(*PATH, "pos", *columns, (F.col("role") == "train").alias("is_train"))
 
 
+def once(probabilities: Probabilities) -> Probabilities:
+    """The same for several strategies: fitted and written once for each view."""
+    known: dict[int, tuple[DataFrame, DataFrame]] = {}
+
+    def run(view: DataFrame) -> DataFrame:
+        if id(view) not in known:
+            known.clear()
+            known[id(view)] = view, stored(probabilities(view))
+        return known[id(view)][1]
+    return run
+
+
 def switching_probabilities(view: DataFrame) -> DataFrame:
     """p_low, p_high of a two-state switching autoregression of returns."""
-    return mix.switching_ar(_training(view, "r"), keys=PATH).select(*PATH, "pos", "p_low", "p_high")
+    return mix.switching_ar(_training(view, "r"), keys=PATH, tolerance=1e-3).select(*PATH, "pos", "p_low", "p_high")
 
 
 def mixture_probabilities(k: int, vol_column: str = "vol_ewma") -> Probabilities:
@@ -58,10 +70,10 @@ def allocated(probabilities: Probabilities, columns: Sequence[str], weights: Seq
     return run
 
 
-def fusion_probabilities(label: str = "rule_label") -> Probabilities:
+def fusion_probabilities(label: str = "rule_label", switching: Probabilities = switching_probabilities) -> Probabilities:
     """A three-state chain pooled with the switching states, lifted to classes by the train rows' rule labels."""
     def fit(view: DataFrame) -> DataFrame:
-        both = mixture_probabilities(3)(view).join(switching_probabilities(view), [*PATH, "pos"])
+        both = mixture_probabilities(3)(view).join(switching(view), [*PATH, "pos"])
         rows = stored(both.join(view.select(*PATH, "pos", "role", label), [*PATH, "pos"]).withColumns(
             {"_symbol": F.col("symbol"), "symbol": F.concat_ws("#", "symbol", F.col("path_id").cast("string"))}))
         mapping = rg.state_mapping(rows.where("role = 'train'").withColumn("label", F.col(label)))
@@ -104,8 +116,9 @@ def transition_gated(features: Sequence[str], label: str = "rule_label", rule: S
 
 def fitted_strategies(features: Sequence[str] = S.FEATURES_V1) -> dict[str, Strategy]:
     """The fitted members of the panel by name; the view needs the rule's features, ``rule_label`` and its p_0..p_2."""
-    return {"switching_ar": allocated(switching_probabilities, ["p_low", "p_high"], S.SWITCHING_ALLOC, 1),
+    switching = once(switching_probabilities)
+    return {"switching_ar": allocated(switching, ["p_low", "p_high"], S.SWITCHING_ALLOC, 1),
             "duration_hmm": allocated(mixture_probabilities(4), [f"p_{i}" for i in range(4)], S.K4_ALLOC, 0),
             "garch_target": garch_target(),
-            "fusion": allocated(fusion_probabilities(), ["fusion_p0", "fusion_p1", "fusion_p2"], S.K3_ALLOC, 1),
+            "fusion": allocated(fusion_probabilities(switching=switching), ["fusion_p0", "fusion_p1", "fusion_p2"], S.K3_ALLOC, 1),
             "transition_gated": transition_gated([*features, "p_0", "p_1", "p_2"])}

@@ -166,22 +166,23 @@ def label_changes(snapshots: DataFrame) -> DataFrame:
         update, CHANGE_OUT, "last int, label int", "append", NO_TIMEOUT)
 
 
-def drift_batches(reference: DataFrame, columns: list[str], path: str) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch handler: PSI of each micro-batch against a static reference table.
+def drift_batches(edges: DataFrame, columns: list[str], path: str) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch handler: each micro-batch's counts per column and bin of the stored reference edges.
 
-    Writes to a folder named by the batch id in overwrite mode, so a retried batch replaces itself.
+    Writes to a folder named by the batch id in overwrite mode, so a retried batch replaces itself. Counts add up over
+    batches, so the index at any time is that of all rows so far; the reference isn't read again.
     """
     def handle(batch: DataFrame, batch_id: int) -> None:
-        drift.psi(reference, batch, columns).withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(
-            f"{path}/batch={batch_id}")
+        drift.bin_counts(batch, columns, edges).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     return handle
 
 
-def run_drift(stream: DataFrame, reference: DataFrame, columns: list[str], path: str | None = None) -> DataFrame:
+def run_drift(stream: DataFrame, edges: DataFrame, columns: list[str], path: str | None = None) -> DataFrame:
+    """The stability index of everything that the stream brought, against edges from ``drift.reference_edges``."""
     spark = stream.sparkSession
     base = path or scratch(spark)
-    q = (stream.writeStream.foreachBatch(drift_batches(reference, columns, f"{base}/psi"))
+    q = (stream.writeStream.foreachBatch(drift_batches(edges, columns, f"{base}/counts"))
          .option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.read.parquet(f"{base}/psi").drop("batch")
+    return drift.psi_of(edges, spark.read.parquet(f"{base}/counts").drop("batch"))
