@@ -196,6 +196,11 @@ def identify(docs: DataFrame) -> DataFrame:
 
 
 def keep_known(docs: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
-    """The documents in a learned language, whatever their length, with their columns."""
+    """The documents in a learned language, whatever their length, with their columns.
+
+    Null texts, texts without a letter and, where no document is labelled, all go. Scores at the limit stay, ties between
+    languages keep the document, repeated rows and null ids are judged row by row, and no column's name matters beyond
+    doc_id, text and lang. An empty table gives no rows.
+    """
     rows = predicted(wrapped(docs, text=F.col("text")), train(docs), keep=1, windows=True)
     return rows.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_score)).select("row.*")

@@ -222,7 +222,10 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, cap: fl
         block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS, seed: int = SEED) -> DataFrame:
     """The mix itself: documents with their columns, once for each time they are taken, shard by shard.
 
-    Rows of a shard lie in one partition, shuffled by a hash of the document and the lap.
+    Rows of a shard lie in one partition, shuffled by a hash of the document and the lap. Null and empty texts have no
+    size and are never taken; the null source is a source, last in order. A very long document is taken whole or not at
+    all in a lap. Rows that repeat are drawn one by one, equal places in the shuffle keep any order, null ids are dealt by
+    their words. Columns keep their names and order; an empty table gives no rows.
     """
     small = written(sized(docs.select("doc_id", F.xxhash64("text").alias("h"), "source", "text"), keep=3), "sizes")
     goal, draws = plan(small, weights, share, cap, block_words, shard_words, seed)

@@ -113,7 +113,12 @@ def judge_documents(docs: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The documents kept, with their columns. Texts are measured twice rather than shuffled."""
+    """The documents kept, with their columns. Texts are measured twice rather than shuffled.
+
+    Null and empty texts have no words and go; documents of the null source are judged as one host's. Very long texts are
+    measured whole, repeated rows and null ids row by row, rates at a limit pass. Names of other columns don't matter. An
+    empty table gives no rows.
+    """
     rates = host_rates(measured(docs.select(F.col("source").alias("host"), "text"), keep=1))
     rows = measured(wrapped(docs, host=F.col("source"), text=F.col("text")), keep=2)
     return judged(rows, rates).where("kept").select("row.*")

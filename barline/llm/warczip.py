@@ -155,7 +155,11 @@ class Package:
 
 
 def write_packages(pages: DataFrame, path: str | None = None, min_bytes: int = MIN_BYTES) -> DataFrame:
-    """Write pages (page_id, url, html) as packages, one per partition; returns a row per package: path, records, bytes."""
+    """Write pages (page_id, url, html) as packages, one per partition; returns a row per package: path, records, bytes.
+
+    A package gets its name when it is whole. A task that fails may leave a file ending in ``.part``, or a package that no
+    row names when it ran twice; readers open the packages of the rows alone, so neither is read.
+    """
     path = path or fresh_path(pages.sparkSession, "warc")
     html = F.coalesce("html", F.lit(""))
     p = pages.select("page_id", "url", html.alias("html"), F.sha1(html.cast("binary")).alias("digest"))
