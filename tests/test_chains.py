@@ -138,7 +138,7 @@ def test_mixture_reaches_the_plain_likelihood_and_recovers_states(spark, monkeyp
     """All rounds in a task, and a job for each round."""
     monkeypatch.setattr(ch, "LOCAL_BLOCKS", local)
     rng = np.random.default_rng(8)
-    parts = {f"S{i}": simulated(rng, 900 + 50 * i) for i in range(3)}
+    parts = {f"S{i}": simulated(rng, (900 if local else 400) + 50 * i) for i in range(3 if local else 2)}
     df = series(spark, {s: x for s, (x, _) in parts.items()}).select(F.col("symbol").alias("model"), F.col("symbol").alias("chain"), "pos", "r", "vol")
     blocks_of = ch.blocks_of
     monkeypatch.setattr(ch, "blocks_of", lambda rows, x, size=128: blocks_of(rows, x, size))
@@ -184,7 +184,7 @@ def test_plain_rounds_and_accelerated_rounds_end_alike(spark):
 def test_shared_models_and_gaps(spark):
     """Pooled series, and training rows with a hole: the sums of the chains decide."""
     rng = np.random.default_rng(10)
-    parts = {f"S{i}": simulated(rng, 300)[0] for i in range(4)}
+    parts = {f"S{i}": simulated(rng, 150)[0] for i in range(4)}
     df = series(spark, parts)
     rows = df.select(F.lit("all").alias("model"), F.col("symbol").alias("chain"), "pos", "r", "vol")
     fit = mix.fit_mixture(rows, rows.select("model").distinct().withColumn("k", F.lit(2)), 400, 1e-9, pooled=True).first()

@@ -36,7 +36,7 @@ def plain_likelihood(r, alpha, beta):
 def test_refined_garch_is_the_best_of_a_fine_grid_and_recovers_parameters(spark):
     rng = np.random.default_rng(21)
     known = {"A": (0.08, 0.88), "B": (0.15, 0.70)}
-    parts = {s: simulated_garch(rng, 8000, 0.04, *p) for s, p in known.items()}
+    parts = {s: simulated_garch(rng, 5000, 0.04, *p) for s, p in known.items()}
     df = spark.createDataFrame(pd.concat([pd.DataFrame({"symbol": s, "pos": np.arange(len(r)), "r": r}) for s, r in parts.items()]))
     short = spark.createDataFrame([("C", 0, 0.1), ("C", 1, 0.2)], "symbol string, pos bigint, r double")
     fit = {f.symbol: f for f in vol.fit_garch(df.unionByName(short)).collect()}
@@ -60,7 +60,7 @@ def view_of(spark, n=900, seed=3):
         r = rng.normal(0, vols)
         f = pd.DataFrame({"symbol": s, "pos": np.arange(n), "r": r, "wild": np.array(vols) > 0.01})
         f["vol_ewma"] = pd.Series(r).abs().ewm(alpha=0.1).mean()
-        for path, (a, b) in enumerate([(0, 300), (500, 800)]):
+        for path, (a, b) in enumerate([(0, n // 3), (n // 2, n // 2 + n // 3)]):
             role = np.where((f.pos >= a) & (f.pos < b), "test", np.where((f.pos >= b) & (f.pos < b + 15), "dropped", "train"))
             rows.append(f.assign(path_id=path, role=role))
     out = spark.createDataFrame(pd.concat(rows)).withColumn("rule_label", F.when(F.col("wild"), 2).otherwise(0))
@@ -79,7 +79,7 @@ def test_states_of_the_test_rows_come_from_the_train_rows(spark):
 
 
 def test_every_fitted_strategy_gives_one_position_per_row(spark):
-    view = view_of(spark, 600).persist()
+    view = view_of(spark, 450).persist()
     want = {tuple(r) for r in view.select("symbol", "path_id", "role", "pos").collect()}
     found = {"switching": st.allocated(st.switching_probabilities, ["p_low", "p_high"], (1.0, -0.3), 1),
              "hmm": st.allocated(st.mixture_probabilities(3), ["p_0", "p_1", "p_2"], (1.0, 0.0, -0.5), 0),
