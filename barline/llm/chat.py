@@ -15,6 +15,7 @@ history as fit its share; what is repeated is masked, so each assistant text is
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
 
 import pyarrow as pa
@@ -27,6 +28,8 @@ from .words import tokenizer
 
 START, END = "<|im_start|>", "<|im_end|>"
 BUDGET, HISTORY, SEGMENT = 1024, 256, 64
+#: Conversations whose segments of one number meet in a group.
+TOGETHER = 32
 WINDOWS = ("conv_id bigint, key_no bigint, segment bigint, window int, text string, loss array<struct<start:int,end:int>>, "
            "repeated int, n_tokens bigint")
 DIGESTS = ("conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, "
@@ -137,9 +140,10 @@ def windows(turns: DataFrame, model: str, budget: int = BUDGET, history: int = H
                        ("text", pa.string()), ("loss", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))),
                        ("repeated", pa.int32()), ("n_tokens", pa.int64())])
 
-    def pack(t: pa.Table) -> pa.Table:
+    def windows_of(rows: list[dict]) -> list[tuple]:
+        """The windows of one segment, from its turns, those before it and the system turn."""
         found: dict[str, list[dict]] = {"own": [], "before": [], "system": []}
-        for r in sorted(t.to_pylist(), key=lambda r: r["pos"]):
+        for r in rows:
             found[r["kind"]].append(r)
         fresh, lead = found["own"], found["system"]
         before, want = [], fresh[0]["pos"] - 1 if fresh else None
@@ -165,10 +169,17 @@ def windows(turns: DataFrame, model: str, budget: int = BUDGET, history: int = H
                 chars += len(b)
             out.append((fresh[0]["conv_id"], fresh[0]["key_no"], fresh[0]["segment"], len(out), "".join(texts), loss,
                         len(shown), sum(r["n_tokens"] for r in shown + fresh[at:to])))
+        return out
+
+    def pack(t: pa.Table) -> pa.Table:
+        rows = sorted(t.to_pylist(), key=lambda r: (r["key_no"], r["pos"]))
+        out = [w for _, part in itertools.groupby(rows, key=lambda r: r["key_no"]) for w in windows_of(list(part))]
         return pa.Table.from_arrays([pa.array(c, ty) for c, ty in zip(zip(*out) if out else [[]] * len(types), types.types)],
                                     names=types.names)
     keep = ["conv_id", "key_no", "segment", "kind", "pos", "role", "body", "n_tokens"]
-    groups = own.select(keep).unionByName(halo.select(keep)).unionByName(lead.select(keep)).groupBy("key_no", "segment")
+    groups = own.select(keep).unionByName(halo.select(keep)).unionByName(lead.select(keep))
+    # Neighbouring conversations share a group: most have one segment of a few turns.
+    groups = groups.groupBy(F.expr(f"key_no div {TOGETHER}"), "segment")
     return written(groups.applyInArrow(pack, WINDOWS), "windows")
 
 
