@@ -55,11 +55,11 @@ def _best(rows: DataFrame, keys: list[str], cells: Column) -> DataFrame:
 
 
 def fit_garch(train: DataFrame, keys: tuple[str, ...] = ("symbol",), min_rows: int = 50, rounds: int = REFINE_ROUNDS,
-              tolerance: float = 1e-3) -> DataFrame:
+              tolerance: float = 1e-3, reach: int = 2) -> DataFrame:
     """omega, alpha, beta, last_sigma2 and ll per series by maximum likelihood with variance targeting.
 
-    A coarse table of stationary cells finds the region; rounds of five by five cells around the best point then follow it
-    with halving steps, keeping a step while the best cell lies on the rim. A series is done when a round inside its rim gains
+    A coarse table of stationary cells finds the region; rounds of cells up to ``reach`` steps around the best point then
+    follow it with halving steps, keeping a step while the best cell lies on the rim. A series is done when a round inside its rim gains
     less than ``tolerance``. Cells are generators, so (series, cell) pairs spread over the cluster, and all series share
     a round's job. Series under ``min_rows`` returns are left out; callers fall back to rolling volatility.
     """
@@ -75,12 +75,13 @@ def fit_garch(train: DataFrame, keys: tuple[str, ...] = ("symbol",), min_rows: i
     active, ended = stored(_best(rows, keys, grid).withColumns(step)), []
     for _ in range(rounds):
         around = F.array(*[F.struct((F.col("alpha") + i * F.col("da")).alias("alpha"), (F.col("beta") + j * F.col("db")).alias("beta"))
-                           for i in range(-2, 3) for j in range(-2, 3)])
+                           for i in range(-reach, reach + 1) for j in range(-reach, reach + 1)])
         inside = F.filter(around, lambda c: (c["alpha"] > 0) & (c["beta"] >= LEAST_BETA) & (c["alpha"] + c["beta"] < STATIONARY))
         before = active.select(*keys, inside.alias("_cells"), F.col("alpha").alias("_a"), F.col("beta").alias("_b"),
                                F.col("ll").alias("_ll"), "da", "db")
         found = _best(rows.join(before.select(*keys, "_cells"), keys), keys, F.col("_cells")).join(before.drop("_cells"), keys)
-        rim = (F.abs(F.col("alpha") - F.col("_a")) > 1.5 * F.col("da")) | (F.abs(F.col("beta") - F.col("_b")) > 1.5 * F.col("db"))
+        edge = reach - 0.5
+        rim = (F.abs(F.col("alpha") - F.col("_a")) > edge * F.col("da")) | (F.abs(F.col("beta") - F.col("_b")) > edge * F.col("db"))
         half = F.when(rim, 1.0).otherwise(0.5)
         new = stored(found.select(*keys, "n_train", "omega", "alpha", "beta", "last_sigma2", "ll", (F.col("da") * half).alias("da"),
                                   (F.col("db") * half).alias("db"), (~rim & (F.col("ll") - F.col("_ll") < tolerance) & (
@@ -108,7 +109,8 @@ def garch_sigma(rows: DataFrame, keys: tuple[str, ...] = ("symbol",)) -> DataFra
     """
     keys = list(keys)
     w = Window.partitionBy(*keys).orderBy("pos")
-    fit = fit_garch(rows.where("is_train"), tuple(keys)).select(*keys, "omega", "alpha", "beta", F.col("last_sigma2").alias("sigma2_0"))
+    fit = fit_garch(rows.where("is_train"), tuple(keys), reach=1).select(
+        *keys, "omega", "alpha", "beta", F.col("last_sigma2").alias("sigma2_0"))
     clean = rows.where("r IS NOT NULL").withColumns({"_at": F.col("pos"), "pos": F.row_number().over(w) - 1})
     known = garch_volatility(clean.join(fit, keys)).select(*keys, F.col("_at").alias("pos"), "sigma")
     recent = w.rowsBetween(-20, 0)
