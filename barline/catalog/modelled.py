@@ -118,10 +118,23 @@ SELECT symbol, pos, p_low * p_0 * 1.0 + p_low * (1 - p_0) * 0.5 + p_high * (1 -
     lambda spark, sf: flt.lagged_position(models(spark, sf).withColumns({
         "k0": F.col("p_low") * F.col("p_0"), "k1": F.col("p_low") * (1 - F.col("p_0")), "k2": F.col("p_high") * (1 - F.col("p_2")),
         "k3": F.col("p_high") * F.col("p_2")}), ["k0", "k1", "k2", "k3"], S.K4_ALLOC, lag=0))
-query("fit_durations")(lambda spark, sf: vol.fit_durations(raw(spark, sf)))
-
-
-@query("remaining_duration")
+cte("durations", "runs", """
+SELECT b.symbol, b.label, n_runs, CASE WHEN n_runs < 3 THEN 1.0 ELSE s.shape END AS shape, CASE WHEN n_runs < 3 THEN greatest(mean, 1.0) ELSE s.scale END AS scale
+FROM (SELECT symbol, label, count(*) AS n_runs, avg(run_len) AS mean FROM runs GROUP BY 1, 2) b JOIN (
+ SELECT symbol, label, arg_max(shape, ll) AS shape, arg_max(scale, ll) AS scale FROM (
+  SELECT *, n * ln(shape) - n * shape * ln(scale) + (shape - 1) * ld - n AS ll FROM (
+   SELECT symbol, label, shape, count(*) AS n, pow(avg(pow(run_len::DOUBLE, shape)), 1 / shape) AS scale, sum(ln(run_len::DOUBLE)) AS ld
+   FROM runs, (SELECT round(0.3 + 0.05 * i, 2)::DOUBLE AS shape FROM range(75) t(i)) GROUP BY 1, 2, 3)) GROUP BY 1, 2) s
+ON b.symbol = s.symbol AND b.label = s.label""")
+query("fit_durations", "durations", "SELECT * FROM durations", keys="symbol", ints="label n_runs", floats="shape scale")(
+    lambda spark, sf: vol.fit_durations(raw(spark, sf)))
+
+
+@query("remaining_duration", "durations persist", """
+SELECT *, CASE WHEN exp(-z) >= 1e-9 THEN list_sum(list_transform(range(400), lambda i: exp(-(i + 0.5) * 0.1::DOUBLE) * (
+ scale * pow(z + (i + 1) * 0.1::DOUBLE, 1 / shape) - scale * pow(z + i * 0.1::DOUBLE, 1 / shape)))) END AS remaining
+FROM (SELECT p.symbol, p.label, p.streak, d.n_runs, d.shape, d.scale, pow(p.streak / d.scale, d.shape) AS z
+ FROM persist p JOIN durations d ON p.symbol = d.symbol AND p.label = d.label)""", keys="symbol", ints="label streak n_runs", floats="shape scale remaining")
 def remaining_duration(spark, sf):
     """Expected bars left in the current regime from its fitted duration law."""
     labels = raw(spark, sf).select("symbol", "pos", "label")
