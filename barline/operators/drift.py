@@ -15,6 +15,8 @@ from ..functions.store import stored
 
 PSI_THRESHOLD, MMD_THRESHOLD, CALIBRATION_THRESHOLD = 0.25, 0.10, 0.05
 FLOOR = 1e-4
+#: Rows whose features are formed at once.
+SLICE = 1024
 
 
 def _long(df: DataFrame, columns: Sequence[str], side: str) -> DataFrame:
@@ -91,25 +93,37 @@ def mmd_rbf(reference: DataFrame, current: DataFrame, vector: str, id_column: st
     return mmd_fourier(reference, current, vector, dim, median_distance(both, vector, id_column), features)
 
 
+def fourier_sums(batches: Iterator[pd.DataFrame], w: np.ndarray, b: np.ndarray) -> Iterator[pd.DataFrame]:
+    """Per side of (side, v) rows: their number and the sum of each feature, once for a task.
+
+    Features are formed for ``SLICE`` rows at a time, so what a task holds doesn't depend on the batch size.
+    """
+    n, sums = {}, {}
+    for pdf in batches:
+        for at in range(0, len(pdf), SLICE):
+            part = pdf.iloc[at:at + SLICE]
+            for side, group in part.groupby("side"):
+                z = np.array(group["v"].tolist(), dtype=float) @ w
+                z += b
+                n[side] = n.get(side, 0) + len(group)
+                sums[side] = sums.get(side, 0.0) + np.cos(z, out=z).sum(0) * np.sqrt(2.0 / len(b))
+    for side in n:
+        yield pd.DataFrame({"side": int(side), "n": n[side], "i": np.arange(len(b)), "z": sums[side]})
+
+
 def mmd_fourier(reference: DataFrame, current: DataFrame, vector: str, dim: int, scale: float,
                 features: int = 256, seed: int = 42) -> DataFrame:
     """The same discrepancy over whole tables: random Fourier features averaged per side.
 
-    Each batch is reduced to one sum vector before the shuffle; what crosses is bounded by tasks.
+    Each task is reduced to one sum vector a side before the shuffle; what crosses is bounded by tasks.
     """
     rng = np.random.default_rng(seed)
     w = rng.normal(scale=np.sqrt(2.0 / scale), size=(dim, features))
     b = rng.uniform(0, 2 * np.pi, size=features)
 
-    def reduce(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for side, group in pdf.groupby("side"):
-                z = np.cos(np.array(group["v"].tolist(), dtype=float) @ w + b).sum(0) * np.sqrt(2.0 / features)
-                yield pd.DataFrame({"side": int(side), "n": len(group), "i": np.arange(features), "z": z})
-
     rows = [d.where(F.col(vector).isNotNull()).select(F.lit(s).alias("side"), F.col(vector).cast("array<double>").alias("v"))
             for s, d in ((0, reference), (1, current))]
-    sums = rows[0].unionByName(rows[1]).mapInPandas(reduce, "side int, n long, i int, z double")
+    sums = rows[0].unionByName(rows[1]).mapInPandas(lambda batches: fourier_sums(batches, w, b), "side int, n long, i int, z double")
     mean = sums.groupBy("i").agg(*[
         (F.sum(F.when(F.col("side") == s, F.col("z"))) / F.nullif(F.sum(F.when(F.col("side") == s, F.col("n"))), F.lit(0))).alias(f"m{s}")
         for s in (0, 1)])

@@ -1,3 +1,5 @@
+import tracemalloc
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -94,3 +96,19 @@ def test_blocks_follow_beta(spark):
 
 def test_stored_tables_keep_their_rows(spark):
     assert stored(spark.range(5)).count() == 5
+
+
+def test_fourier_sums_hold_a_slice_at_a_time():
+    rng = np.random.default_rng(3)
+    w, b = rng.normal(size=(8, 512)), rng.uniform(0, 6, 512)
+    pdf = pd.DataFrame({"side": np.arange(20_000) % 2, "v": list(rng.normal(size=(20_000, 8)))})
+    tracemalloc.start()
+    out = pd.concat(drift.fourier_sums(iter([pdf, pdf.iloc[:10]]), w, b))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20e6  # all features of the batch at once take 82 MB and more
+    for side in (0, 1):
+        x = np.array([v for p in (pdf, pdf.iloc[:10]) for v in p[p.side == side].v])
+        one = out[out.side == side]
+        assert len(one) == 512 and (one.n == len(x)).all()
+        assert np.allclose(one.z, (np.cos(x @ w + b) * np.sqrt(2 / 512)).sum(0))
