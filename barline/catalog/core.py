@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import schema as S
 from ..functions import columns as C
 from ..functions import frame as fr
+from ..functions.scan import rolling_blocks
 from ..functions.store import scratch
 from ..operators import features as feat
 from ..operators import folds, labels, realised
@@ -324,10 +325,10 @@ query("shock_z", "bars_raw", "SELECT * FROM bars_raw", keys="symbol", ints="pos"
 query("drawdown_252", "bars_raw", "SELECT * FROM bars_raw", keys="symbol", ints="pos", floats="drawdown_252")(
     lambda spark, sf: feat.drawdown(td.bars(spark, sf)))
 query("autocorr_63", "bars_raw", "SELECT * FROM bars_raw", keys="symbol", ints="pos", floats="autocorr_63")(
-    lambda spark, sf: feat.with_return(td.bars(spark, sf)).withColumn("_l", F.lag("r").over(fr.series()))
-    .withColumn("autocorr_63", fr.rolling_corr("r", "_l", 63)))
+    lambda spark, sf: rolling_blocks(feat.with_return(td.bars(spark, sf)).withColumn("_l", F.lag("r").over(fr.series())),
+                                     63, corrs={"autocorr_63": ("r", "_l")}))
 query("trend_dir", "bars_raw", "SELECT * FROM bars_raw", keys="symbol", ints="pos", floats="trend_dir")(
-    lambda spark, sf: td.bars(spark, sf).withColumn("trend_dir", feat.trend_direction()))
+    lambda spark, sf: feat.trend_direction(td.bars(spark, sf)))
 
 
 def _cross(spark, sf):

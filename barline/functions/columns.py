@@ -92,5 +92,4 @@ def normal_quantile(p: float) -> float:
 
 def rounded(c: ColumnOrName, digits: int = 6) -> Column:
     """Round for output; negative zero becomes zero and non-finite becomes NULL."""
-    r = F.round(finite_or_null(c), digits)
-    return F.when(r == 0, F.lit(0.0)).otherwise(r)
+    return F.round(finite_or_null(c), digits) + F.lit(0.0)  # -0.0 + 0.0 is 0.0; a CASE would round twice

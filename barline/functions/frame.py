@@ -35,16 +35,6 @@ def rolling(fn: Callable[[Column], Column], c, n: int, min_periods: int | None =
                   fn(x).over(frame))
 
 
-def rolling_corr(a, b, n: int, w: WindowSpec | None = None) -> Column:
-    """Pearson correlation over n rows with both values present; NULL for a constant window."""
-    frame = (w or series()).rowsBetween(-(n - 1), 0)
-    both = col(a).isNotNull() & col(b).isNotNull()
-    x, y = F.when(both, col(a)), F.when(both, col(b))
-    spread = F.stddev_samp(x).over(frame) * F.stddev_samp(y).over(frame)
-    return F.when(F.count(x).over(frame) >= n,
-                  F.covar_samp(x, y).over(frame) / F.nullif(spread, F.lit(0.0)))
-
-
 def log_return(c: str = "close", w: WindowSpec | None = None) -> Column:
     x = F.ln(F.when(col(c) > 0, col(c)))
     return x - F.lag(x).over(w or series())

@@ -1,8 +1,9 @@
 """First-order linear recurrences as two window passes: y_t = beta * y_{t-1} + u_t.
 
 A running sum of u * beta^-k inside a block of rows gives the recurrence up to a factor; each
-block's total then carries into the next one. Blocks keep beta^-k in double range, the carry
-table has one row per block, and nothing leaves the JVM.
+block's last value then carries into the next one. Blocks keep beta^-k in double range, a row holds
+one carry per earlier block of its series (a daily series has few), and nothing leaves the JVM. All
+windows share the partitioning by ``keys``, so a scan adds no shuffle.
 """
 
 from __future__ import annotations
@@ -52,17 +53,19 @@ def linear_scan(df: DataFrame, specs: Mapping[str, tuple[str, float | str]],
     local = work.selectExpr(*df.columns, "_b", "_k", *[
         f"sum(_u{i} * pow({b}, -_k)) OVER {inside} * pow({b}, _k) AS _s{i}" for i, _, _, b in items])
 
-    totals = work.groupBy(*keys, "_b").agg(*[
-        F.expr(f"sum(_u{i} * pow({b}, {block - 1}D - _k)) AS _e{i}") for i, _, _, b in items], *[
-        F.expr(f"max(pow({b}, {block}D)) AS _d{i}") for i, _, _, b in items])
-    earlier = f"(PARTITION BY {key} ORDER BY _b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
-    carry = totals.selectExpr(*keys, "_b", *[
-        f"aggregate(collect_list(_e{i}) OVER {earlier}, 0D, (acc, e) -> acc * _d{i} + e) AS _c{i}"
-        for i, _, _, _ in items])
-
-    joined = local.join(carry, [*keys, "_b"], "left")
-    return joined.selectExpr(*df.columns, *[
-        f"_s{i} + pow({b}, _k + 1) * coalesce(_c{i}, 0D) AS {n}" for i, n, _, b in items])
+    # A block's last row holds the block's total; rows past it in the series collect these totals in order.
+    # (_b, pos) orders like pos and needs no sort after the windows inside blocks.
+    seq = f"PARTITION BY {key} ORDER BY _b, pos"
+    ends = local.selectExpr("*", f"lead(_b, 1, -1) OVER ({seq}) <> _b AS _end")
+    totals = ", ".join(f"_s{i} * pow({b}, {block - 1}D - _k)" for i, _, _, b in items)
+    carried = ends.selectExpr(
+        *df.columns, "_k", *[f"_s{i}" for i, _, _, _ in items],
+        f"collect_list(CASE WHEN _end THEN array({totals}) END) OVER ({seq} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS _c")
+    # Rows of a series' first block have nothing to carry.
+    return carried.selectExpr(*df.columns, *[
+        f"CASE WHEN size(_c) = 0 THEN _s{i} ELSE _s{i} + pow({b}, _k + 1) * "
+        f"aggregate(_c, 0D, (acc, e) -> acc * pow({b}, {block}D) + e[{i}]) END AS {n}"
+        for i, n, _, b in items])
 
 
 def ewm(df: DataFrame, specs: Mapping[str, tuple[str, float]], keys: Sequence[str] = ("symbol",),
@@ -120,14 +123,60 @@ def rolling_range(df: DataFrame, columns: Sequence[str], n: int, min_periods: in
     up_to = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
     head = f"(PARTITION BY {key}, _b ORDER BY pos {up_to})"
     tail = f"(PARTITION BY {key}, _b ORDER BY pos DESC {up_to})"
-    seq = f"(PARTITION BY {key} ORDER BY pos)"
+    seq = f"(PARTITION BY {key} ORDER BY _b, pos)"  # the order of pos, sorted for the heads already
     kinds = (("lo", "min", "least"), ("hi", "max", "greatest"))
     out = df.selectExpr("*", f"CAST(floor(pos / {n}) AS INT) AS _b")
-    out = out.selectExpr("*", *[f"{fn}({c}) OVER {head} AS _h_{k}_{c}" for c in columns for k, fn, _ in kinds],
-                         *[f"{fn}({c}) OVER {tail} AS _t_{k}_{c}" for c in columns for k, fn, _ in kinds],
-                         *[f"count({c}) OVER (PARTITION BY {key} ORDER BY pos {up_to}) AS _n_{c}" for c in columns])
+    out = out.selectExpr("*", *[f"{fn}({c}) OVER {tail} AS _t_{k}_{c}" for c in columns for k, fn, _ in kinds])
+    out = out.selectExpr("*", *[f"{fn}({c}) OVER {head} AS _h_{k}_{c}" for c in columns for k, fn, _ in kinds])
+    out = out.selectExpr("*", *[f"count({c}) OVER (PARTITION BY {key} ORDER BY _b, pos {up_to}) AS _n_{c}" for c in columns])
     out = out.selectExpr("*", *[f"lag(_t_{k}_{c}, {n - 1}) OVER {seq} AS _l_{k}_{c}" for c in columns for k, _, _ in kinds],
                          *[f"_n_{c} - coalesce(lag(_n_{c}, {n}) OVER {seq}, 0) AS _m_{c}" for c in columns])
     return out.selectExpr(*df.columns, *[
         f"CASE WHEN _m_{c} >= {need} THEN {pick}(_h_{k}_{c}, _l_{k}_{c}) END AS {c}_{k}"
         for c in columns for k, _, pick in kinds])
+
+
+def rolling_blocks(df: DataFrame, n: int, means: Mapping[str, str] | None = None, corrs: Mapping[str, tuple[str, str]] | None = None,
+                   keys: Sequence[str] = ("symbol",)) -> DataFrame:
+    """Means (``out: column``) and Pearson correlations (``out: (a, b)``) over the last n rows, in constant work per row.
+
+    NULL unless all n rows have values; a correlation is NULL for a constant window, too. As in ``rolling_range`` a window
+    is the tail of one block of n rows and the head of the next. Their counts, means and squared deviations are merged, so
+    nothing is subtracted and far rows leave no rounding behind.
+    """
+    means, corrs, key = means or {}, corrs or {}, ", ".join(keys)
+    up_to = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
+    parts = {f"m{j}_s": f"sum({c})" for j, c in enumerate(means.values())}
+    parts |= {f"m{j}_n": f"count({c})" for j, c in enumerate(means.values())}
+    for j, (a, b) in enumerate(corrs.values()):
+        x, y = f"CASE WHEN {b} IS NOT NULL THEN {a} END", f"CASE WHEN {a} IS NOT NULL THEN {b} END"
+        parts |= {f"c{j}_n": f"count({x})", f"c{j}_x": f"avg({x})", f"c{j}_y": f"avg({y})", f"c{j}_xx": f"var_pop({x})",
+                  f"c{j}_yy": f"var_pop({y})", f"c{j}_xy": f"covar_pop({x}, {y})", f"c{j}_xlo": f"min({x})",
+                  f"c{j}_xhi": f"max({x})", f"c{j}_ylo": f"min({y})", f"c{j}_yhi": f"max({y})"}
+
+    def running(side: str, order: str) -> list[str]:
+        return [f"{e} OVER (PARTITION BY {key}, _b ORDER BY {order} {up_to}) AS _{side}_{k}" for k, e in parts.items()]
+
+    out = df.selectExpr("*", f"CAST(floor(pos / {n}) AS INT) AS _b")
+    out = out.selectExpr("*", *running("t", "pos DESC")).selectExpr("*", *running("h", "pos"))
+    tail = ", ".join(f"'{k}', _t_{k}" for k in parts)
+    # A block's last row ends a window that is its head alone.
+    out = out.selectExpr(*df.columns, *[f"_h_{k}" for k in parts],
+                         f"CASE WHEN pos % {n} <> {n - 1} THEN lag(named_struct({tail}), {n - 1}) OVER (PARTITION BY {key} ORDER BY _b, pos) END AS _t")
+    out = out.selectExpr(*df.columns, *[f"_h_{k}" for k in parts], *[f"_t.{k} AS _t_{k}" for k in parts])
+    done = []
+    for j, name in enumerate(means):
+        have = f"_h_m{j}_n + coalesce(_t_m{j}_n, 0L)"
+        done.append(f"CASE WHEN {have} >= {n} THEN (_h_m{j}_s + coalesce(_t_m{j}_s, 0D)) / {n}D END AS {name}")
+    for j, name in enumerate(corrs):
+        h, t = f"_h_c{j}", f"_t_c{j}"
+        na, nb = f"coalesce({t}_n, 0L)", f"{h}_n"
+
+        def merged(d: str, e: str) -> str:
+            apart = f"coalesce(({h}_{d} - {t}_{d}) * ({h}_{e} - {t}_{e}) * {na} * {nb} / {n}D, 0D)"
+            return f"(coalesce({t}_{d}{e} * {na}, 0D) + {h}_{d}{e} * {nb} + {apart})"
+
+        varies = " AND ".join(f"least({h}_{d}lo, {t}_{d}lo) < greatest({h}_{d}hi, {t}_{d}hi)" for d in "xy")
+        spread = f"sqrt({merged('x', 'x')}) * sqrt({merged('y', 'y')})"
+        done.append(f"CASE WHEN {na} + {nb} >= {n} AND {varies} THEN {merged('x', 'y')} / nullif({spread}, 0D) END AS {name}")
+    return out.selectExpr(*df.columns, *done)

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import safe_div
 from ..functions.frame import (UNB, align_ffill, complete_cases, ffill, fill_dead_columns,
-                               log_return, rolling, rolling_corr, series, with_pos)
-from ..functions.scan import ewm, ewm_recursive, rolling_range
+                               log_return, rolling, series, with_pos)
+from ..functions.scan import ewm, ewm_recursive, rolling_blocks, rolling_range
 from ..schema import (ANNUAL_BARS, AUX_SERIES, FEATURES_V1, FEATURES_V2, FEATURES_V2_ADD,
                       MIN_PERIODS, MOMENTUM_BARS, NORM_WINDOW, SHOCK_ALPHA, VOL_ALPHAS,
                       require_daily)
@@ -54,16 +54,17 @@ def drawdown(df: DataFrame, n: int = 252) -> DataFrame:
     return out.withColumn("drawdown_252", F.col("close") / F.nullif("close_hi", F.lit(0.0)) - 1).drop("close_lo", "close_hi")
 
 
-def trend_direction(short: int = 21, long: int = 63) -> Column:
-    return rolling(F.avg, "close", short) / rolling(F.avg, "close", long) - 1
+def trend_direction(df: DataFrame, short: int = 21, long: int = 63) -> DataFrame:
+    out = rolling_blocks(df, long, {"_long": "close"})
+    return out.withColumn("trend_dir", rolling(F.avg, "close", short) / F.col("_long") - 1).drop("_long")
 
 
 def price_features(df: DataFrame) -> DataFrame:
     """The 14 price columns, not yet lagged. Input needs pos, close and r."""
     out = drawdown(ewm_volatility(momentum(df))).withColumn("_lag_r", F.lag("r").over(series()))
-    return out.withColumns({
-        "autocorr_63": rolling_corr("r", "_lag_r", 63),
-        "trend_dir": trend_direction()}).drop("_lag_r")
+    # one pass over blocks of 63 rows for both
+    out = rolling_blocks(out, 63, {"_long": "close"}, {"autocorr_63": ("r", "_lag_r")})
+    return out.withColumn("trend_dir", rolling(F.avg, "close", 21) / F.col("_long") - 1).drop("_lag_r", "_long")
 
 
 def lagged(df: DataFrame, columns: list[str], n: int = 1) -> DataFrame:
@@ -116,9 +117,8 @@ def term_structure(df: DataFrame) -> DataFrame:
 def cross_correlation(df: DataFrame, columns: dict[str, str], n: int = 63) -> DataFrame:
     """Rolling correlation of ``r`` with the log return of aligned cross series."""
     rets = df.withColumns({f"_{c}_r": log_return(c) for c in columns.values()})
-    return rets.withColumns({
-        out: rolling_corr("r", f"_{c}_r", n) for out, c in columns.items()}).drop(
-            *[f"_{c}_r" for c in columns.values()])
+    return rolling_blocks(rets, n, corrs={out: ("r", f"_{c}_r") for out, c in columns.items()}).drop(
+        *[f"_{c}_r" for c in columns.values()])
 
 
 def features_v2(bars: DataFrame, aux_wide: DataFrame, ohlc: DataFrame | None = None) -> DataFrame:

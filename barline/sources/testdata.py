@@ -7,7 +7,7 @@ than one row per task and day.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.frame import with_pos
@@ -37,9 +37,18 @@ def bars(spark: SparkSession, sf_dir: str, by: str = "flag") -> DataFrame:
     w = Window.partitionBy("symbol").orderBy("ts")
     smooth = w.rowsBetween(-(SMOOTH - 1), 0)
     price = F.col("amt").cast("double") / F.col("qty").cast("double")
-    vwap = (F.sum("amt").over(smooth).cast("double") / F.sum("qty").over(smooth).cast("double"))
-    out = with_pos(day).withColumns({
-        "close": vwap, "_hi": F.max(price).over(smooth), "_lo": F.min(price).over(smooth)})
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+
+    def recent(c: str) -> Column:
+        """The sum over ``smooth`` as a difference of running sums: decimals are exact, and no frame is summed."""
+        run, n = F.col(f"_{c}"), F.col(f"_n_{c}")
+        some = n > F.lag(n, SMOOTH, 0).over(w)
+        return F.when(some, run - F.coalesce(F.lag(run, SMOOTH).over(w), F.lit(0).cast("decimal(38,2)"))).cast("double")
+
+    run = {f"_{c}": F.sum(c).over(upto).cast("decimal(38,2)") for c in ("amt", "qty")}
+    run |= {f"_n_{c}": F.count(c).over(upto) for c in ("amt", "qty")}
+    out = with_pos(day).withColumns(run).withColumns({
+        "close": recent("amt") / recent("qty"), "_hi": F.max(price).over(smooth), "_lo": F.min(price).over(smooth)})
     out = out.withColumn("open", F.coalesce(F.lag("close").over(w), F.col("close")))
     return out.select(
         "symbol", "pos", "ts", "open", F.greatest("_hi", "open").alias("high"),

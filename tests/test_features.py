@@ -1,8 +1,10 @@
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from barline.functions.frame import rolling
+from barline.functions import scan
 from barline.functions.scan import ewm, rolling_range
 from barline.operators import features as feat
 
@@ -56,3 +58,34 @@ def test_bars_must_be_daily(spark):
     df = spark.sql("SELECT 'A' AS symbol, timestamp'2020-01-01 10:00:00' AS ts, 1.0D AS close")
     with pytest.raises(TypeError):
         feat.with_return(df)
+
+
+def test_features_shuffle_a_series_once(spark):
+    rows = spark.range(3).selectExpr("CAST(id AS STRING) AS symbol", "0 AS pos", "DATE'2020-01-01' AS ts", "1D AS close")
+    plan = feat.features_v1(rows)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan
+
+
+def test_rolling_blocks_equal_a_plain_window(spark):
+    rng = np.random.default_rng(4)
+    x, y = rng.normal(size=200), rng.normal(size=200) + 1e6
+    x[40:60], y[100:120] = 0.1, 7.0  # constant windows
+    x[rng.choice(200, 6, replace=False)] = np.nan
+    rows = [("A", i, None if np.isnan(a) else float(a), float(b)) for i, (a, b) in enumerate(zip(x, y))]
+    got = scan.rolling_blocks(spark.createDataFrame(rows, "symbol string, pos int, x double, y double").repartition(3), 9,
+                              {"mean": "x"}, {"corr": ("x", "y")}).orderBy("pos").toPandas()
+    px, py = pd.Series(x), pd.Series(y)
+    for i in range(200):
+        a, b = px[max(0, i - 8):i + 1], py[max(0, i - 8):i + 1]
+        whole = len(a) == 9 and a.notna().all()
+        assert np.isnan(got["mean"][i]) if not whole else abs(got["mean"][i] - a.mean()) < 1e-12
+        varies = whole and a.nunique() > 1 and b.nunique() > 1
+        assert np.isnan(got["corr"][i]) if not varies else abs(got["corr"][i] - np.corrcoef(a, b)[0, 1]) < 1e-8
+
+
+def test_linear_scan_carries_over_many_blocks_and_gaps(spark):
+    pos = [p for p in range(50) if p not in (3, 4, 9)]
+    df = spark.createDataFrame([("A", p, float(p % 7)) for p in pos], "symbol string, pos int, u double").repartition(3)
+    got = {r.pos: r.y for r in scan.linear_scan(df, {"y": ("u", 0.9)}, block=5).collect()}
+    want = {t: sum(0.9 ** (t - p) * (p % 7) for p in pos if p <= t) for t in pos}
+    assert got.keys() == want.keys() and all(abs(got[t] - want[t]) < 1e-9 for t in pos)
