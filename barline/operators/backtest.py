@@ -118,8 +118,8 @@ def annualised_sharpe(df: DataFrame, keys: Sequence[str], r: str = "ret") -> Dat
 
 
 def path_metrics(rets: DataFrame, keys: Sequence[str] = ("strategy", "symbol", "path_id"),
-                 extra: Sequence[str] = ()) -> DataFrame:
-    """n_bars, total return, Sharpe, Sortino, max drawdown, Calmar per path."""
+                 extra: Sequence[str] = (), more: Sequence[Column] = ()) -> DataFrame:
+    """n_bars, total return, Sharpe, Sortino, max drawdown, Calmar per path, and the aliased aggregates ``more`` as struct ``more``."""
     keys = list(keys)
     w = Window.partitionBy(*keys).orderBy("pos").rowsBetween(UNB, 0)
     eq = (rets.where("ret IS NOT NULL").withColumn("_eq", F.exp(F.sum("ret").over(w)))
@@ -128,7 +128,7 @@ def path_metrics(rets: DataFrame, keys: Sequence[str] = ("strategy", "symbol", "
     agg = eq.groupBy(*keys, *extra).agg(
         F.count("ret").alias("n_bars"), F.sum("ret").alias("_total"), F.avg("ret").alias("_mean"),
         sharpe_of().alias("sharpe"), F.min("_dd").alias("_mdd"),
-        F.when(F.count(neg) > 1, F.stddev_samp(neg)).alias("_down"))
+        F.when(F.count(neg) > 1, F.stddev_samp(neg)).alias("_down"), *([F.struct(*more).alias("more")] if more else []))
     few = F.col("n_bars") < 2
     mean, down, mdd = F.col("_mean"), F.col("_down"), F.col("_mdd")
     edge = F.when(mean > 0, float("inf")).otherwise(0.0)
@@ -136,7 +136,7 @@ def path_metrics(rets: DataFrame, keys: Sequence[str] = ("strategy", "symbol", "
     calmar = F.when(mdd < 0, mean * ANNUAL_BARS / F.nullif(F.abs(mdd), F.lit(0.0))).otherwise(edge)
     return agg.select(*keys, *extra, "n_bars", F.when(few, 0.0).otherwise(F.col("_total")).alias("total_return"),
                       "sharpe", F.when(~few, sortino).alias("sortino"),
-                      F.when(~few, mdd).alias("max_drawdown"), F.when(~few, calmar).alias("calmar"))
+                      F.when(~few, mdd).alias("max_drawdown"), F.when(~few, calmar).alias("calmar"), *(["more"] if more else []))
 
 
 def path_distribution(metrics: DataFrame, keys: Sequence[str] = ("strategy", "symbol")) -> DataFrame:

@@ -84,16 +84,17 @@ def expanded(grouped: DataFrame, folds: list[tuple[int, list[int]]], n_splits: i
 
 
 def cpcv_split(df: DataFrame, n_splits: int = 10, n_test: int = 2, embargo_pct: float = 0.01,
-               purge: int = 10, test_only: bool = False) -> DataFrame:
+               purge: int = 10, test_only: bool = False, spread: bool = True) -> DataFrame:
     """One row per bar and path with role train, test or dropped.
 
     Uses the ``horizon`` column when present, else the fixed purge. Series shorter than
     ``n_splits`` cannot be split and yield no rows. With ``test_only`` each bar expands only into
     the paths that test it, C(n-1, k-1) instead of C(n, k). The expanded rows are spread by
-    (symbol, path), so one long series' paths run in parallel instead of behind one symbol key.
+    (symbol, path), so one long series' paths run in parallel instead of behind one symbol key. Where there are many
+    series, ``spread=False`` leaves the paths with their series and shuffles no expanded row.
     """
     out = expanded(with_groups(df, n_splits).where("group_size > 0"), fold_table(n_splits, n_test), n_splits, test_only)
-    out = out.repartition("symbol", "path_id")
+    out = out.repartition("symbol", "path_id") if spread else out
     if test_only:
         return out.withColumn("role", F.lit("test"))
     purged = purged_by_horizon(n_splits) if "horizon" in df.columns else purged_fixed(purge)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import normal_cdf, normal_quantile
@@ -28,9 +28,17 @@ def deflated_sharpe(rets: DataFrame, keys: Sequence[str], n_trials: int = 50, r:
     One aggregate: moments, the bias-corrected skewness and kurtosis they imply, then the normal
     CDF as a column. Under 30 returns the result is NULL; a constant series gives (0, 0).
     """
-    m = rets.where(F.col(r).isNotNull()).groupBy(*keys).agg(
-        F.count(r).alias("n_returns"), F.avg(r).alias("_m"), F.stddev_samp(r).alias("_s"),
-        F.skewness(r).alias("_g1"), F.kurtosis(r).alias("_g2"))
+    return deflated_of(rets.where(F.col(r).isNotNull()).groupBy(*keys).agg(*moments_of(r)), keys, n_trials)
+
+
+def moments_of(r: str = "ret") -> list[Column]:
+    """The aggregates that ``deflated_of`` reads."""
+    return [F.count(r).alias("n_returns"), F.avg(r).alias("_m"), F.stddev_samp(r).alias("_s"),
+            F.skewness(r).alias("_g1"), F.kurtosis(r).alias("_g2")]
+
+
+def deflated_of(m: DataFrame, keys: Sequence[str], n_trials: int = 50) -> DataFrame:
+    """``deflated_sharpe`` of rows that hold the moments."""
     n = F.col("n_returns").cast("double")
     usable = (F.col("n_returns") >= 30) & (F.col("_s") > 0)
     g3 = F.col("_g1") * F.sqrt(n * (n - 1)) / F.nullif(n - 2, F.lit(0.0))

@@ -4,27 +4,27 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.store import stored
 from ..operators import backtest as bt
 from ..operators.folds import cpcv_split
-from ..operators.stats import deflated_sharpe, overfitting_probability
+from ..operators.stats import deflated_of, deflated_sharpe, moments_of, overfitting_probability
 
 KEYS = ["strategy", "symbol"]
 
 
 def backtest_cells(frame: DataFrame, strategies: Mapping[str, Column], in_sample: bool = False,
                    risk: bool = False, cost: Column | None = None, n_splits: int = 10, n_test: int = 2,
-                   embargo_pct: float = 0.01) -> DataFrame:
+                   embargo_pct: float = 0.01, spread: bool = True) -> DataFrame:
     """Net returns per (strategy, symbol, path, role, pos).
 
     ``frame`` has symbol, pos, r, horizon and whatever the strategy expressions read; strategies
     that need state arrive as precomputed columns. Without in-sample rows and risk limits each bar
     expands only into the paths that test it.
     """
-    split = cpcv_split(frame, n_splits, n_test, embargo_pct, test_only=not (in_sample or risk))
+    split = cpcv_split(frame, n_splits, n_test, embargo_pct, test_only=not (in_sample or risk), spread=spread)
     keep = [*bt.PATH, "pos", "r", *(["volume"] if "volume" in frame.columns else [])]
     if risk:
         split = bt.risk_limits(split)
@@ -114,13 +114,20 @@ def report_of(cells: DataFrame, n_strategies: int, n_trials: int) -> DataFrame:
 
 
 def evaluate_assets(frame: DataFrame, strategy: str, position: Column, min_bars_per_split: int = 50,
-                    n_splits: int = 10, **options) -> DataFrame:
-    """``validate`` for a universe: series too short to split get an error row, not a failure."""
+                    n_splits: int = 10, n_trials: int = 50, **options) -> DataFrame:
+    """``validate`` for a universe: series too short to split get an error row, not a failure.
+
+    The frame is written once with the few columns that folds and the strategy read. A series' paths stay in its task, and
+    metrics and return moments come from one pass over them: no expanded row is shuffled, whatever the number of paths.
+    """
+    frame = stored(frame)
     counts = frame.groupBy("symbol").agg(F.count(F.lit(1)).alias("n_bars"))
     need = min_bars_per_split * n_splits
-    long = counts.where(F.col("n_bars") >= need)
-    report = validate(frame.join(long.select("symbol"), "symbol", "left_semi"), strategy, position,
-                      n_splits=n_splits, **options)
+    long = frame.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("symbol"))).where(F.col("_n") >= need).drop("_n")
+    cells = backtest_cells(long, {strategy: position}, n_splits=n_splits, spread=False, **options)
+    metrics = stored(bt.path_metrics(cells.where("role = 'test'"), more=moments_of()))
+    median = bt.median_path(metrics).select(*KEYS, "more.*")
+    report = bt.path_distribution(metrics).join(deflated_of(median, KEYS, n_trials).drop("n_returns"), KEYS, "left")
     error = F.when(F.col("n_bars") < need, F.format_string(
         f"only %d bars, need at least {need}", F.col("n_bars")))
     return counts.withColumn("error", error).join(report.drop("strategy"), "symbol", "left")
@@ -147,7 +154,6 @@ def lookahead_check(frame: DataFrame, operator: Callable[[DataFrame], DataFrame]
     the operator runs once, over all probes in parallel. Bars are matched by ``ts``: operators may
     drop warm-up bars and number the rest anew. A bar the operator drops on both sides counts as unmoved.
     """
-    from pyspark.sql import Window
     outputs = [outputs] if isinstance(outputs, str) else outputs
     n = F.count(F.lit(1)).over(Window.partitionBy("symbol"))
     edge = F.greatest(F.floor(n * 0.1), F.lit(1))

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from barline.functions.columns import normal_cdf
 from barline.operators import backtest as bt
-from barline.operators import folds, labels, stats
+from barline.operators import features, folds, labels, stats
+from barline.plans import validation as val
 
 
 def test_folds_equal_the_set_definition(spark):
@@ -85,3 +86,19 @@ def test_large_fold_tables_are_joined_with_equal_rows(bars, monkeypatch):
     small = rows(), rows(test_only=True)
     monkeypatch.setattr(folds, "LITERAL_PATHS", 3)
     assert (rows(), rows(test_only=True)) == small and len(folds.fold_table(24, 5)) == 42504
+
+
+def test_universe_report_equals_one_by_one_without_shuffling_paths(spark, bars):
+    frame = features.features_v1(bars).select("symbol", "pos", "r", "mom_20").persist()
+    short = frame.where("pos < 40").withColumn("symbol", F.concat(F.lit("short"), "symbol"))
+    position = bt.benchmark_positions()["momentum_20d"]
+    got = {r.symbol: r for r in val.evaluate_assets(frame.unionByName(short), "m", position, 10, 5).collect()}
+    want = {r.symbol: r for r in val.validate(frame, "m", position, n_splits=5).collect()}
+    assert len(got) == 2 * len(want) and all(got[f"short{s}"].error and got[f"short{s}"].n_paths is None for s in want)
+    for s, w in want.items():
+        assert got[s].error is None
+        for k, v in w.asDict().items():
+            g = got[s][k] if k != "strategy" else v
+            assert g == v or abs(g - v) < 1e-9, k
+    cells = val.backtest_cells(frame, {"m": position}, n_splits=5, spread=False)
+    assert cells._jdf.queryExecution().executedPlan().toString().split("InMemoryTableScan")[0].count("Exchange") == 0
