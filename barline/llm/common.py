@@ -53,12 +53,14 @@ def wrapped(df: DataFrame, **derived) -> DataFrame:
                      *[c.alias(k) for k, c in derived.items()])
 
 
-def per_row(df: DataFrame, schema: str, make: Callable[[], Callable], rows: int = 256, keep: int = 0) -> DataFrame:
+def per_row(df: DataFrame, schema: str, make: Callable[[], Callable], rows: int = 256, keep: int = 0,
+            field: str | None = None) -> DataFrame:
     """Apply a function of column lists to slices of at most ``rows`` rows of each Arrow batch.
 
     ``make`` runs once per task and returns ``fn(*columns) -> tuple of columns`` in the order of ``schema``. The slices
     bound what a task holds beside the batch itself when texts are very long. The first ``keep`` columns are handed on
-    as they are, before those of ``schema``; ``fn`` then must return a value for each row.
+    as they are, before those of ``schema``; ``fn`` then must return a value for each row. ``field`` names a field of the
+    first column, a struct, that ``fn`` gets first: a text inside a wrapped row needs no second copy beside it.
     """
     from pyspark.sql import types as T
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -70,9 +72,13 @@ def per_row(df: DataFrame, schema: str, make: Callable[[], Callable], rows: int
         for batch in batches:
             for at in range(0, batch.num_rows, rows):
                 part = batch.slice(at, rows)
-                out = fn(*[c.to_pylist() for c in part.columns[keep:]])
+                inner = [part.column(0).field(field)] if field else []
+                out = fn(*[c.to_pylist() for c in [*inner, *part.columns[keep:]]])
                 new = [pa.array(v, t) for v, t in zip(out, arrow.types)]
                 yield pa.RecordBatch.from_arrays([*part.columns[:keep], *new], names=[*batch.schema.names[:keep],
                                                                                       *arrow.names])
+                del part, inner, out, new
+            del batch  # else it stays while the next one is read
+        pa.default_memory_pool().release_unused()  # the worker is kept for other tasks
 
     return df.mapInArrow(run, T.StructType([*df.schema.fields[:keep], *made.fields]))

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from barline.llm import langid, pieces, quality, tokencounts, words
+from barline.llm import common, langid, mixing, pieces, quality, tokencounts, words
 from barline.llm.catalog import tokenizer_file
 
 WORD_BPE = tokenizer_file("word_bpe_49k.json")
@@ -185,3 +185,20 @@ def test_unigram_models_are_rebuilt(tmp_path, squeeze):
     texts = ["ab abc", "abcabc c", "x ab", "é a", "", "a  b" if not squeeze else "a b"]
     ids, agree, decoded = c.encode(texts)
     assert [x.tolist() for x in ids] == c.other.encode(texts) and all(agree) and decoded == c.decode(ids)
+
+
+def test_words_are_counted_without_python_and_wrapped_texts_passed_once(spark, docs):
+    texts = [None, "", " \n\t \x0b", "a", " a  b\x0cc\r\nd\u00a0e \x00 \u2003f ", "x " * 5000, "\t" * 100_000, "ä😀 ß"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
+    got = {r.i: r.size for r in mixing.sized(df).collect()}
+    assert got == {i: len((t or "").encode().split()) for i, t in enumerate(texts)}
+
+    def plan(frame):
+        return frame._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan(mixing.sized(df))
+
+    def make():
+        return lambda texts, host: ([len(t or "") for t in texts],)
+    rows = common.wrapped(docs, host=F.col("source"), other=F.col("source"))
+    out = common.per_row(rows, "n bigint", make, rows=7, keep=2, field="text").collect()
+    assert len(out) == docs.count() and all(r.n == len(r.row["text"] or "") for r in out)
