@@ -1,14 +1,23 @@
 """Near-duplicates of whole documents: links at a Jaccard similarity of at least 0.8 between sets of five-word shingles.
 
-Documents with one set of shingles collapse to a node. A node has ``BANDS`` keys, each a hash of ``ROWS`` MinHash values;
-nodes that share a key are candidates. Two sets at similarity s share a key with probability 1 - (1 - s^6)^48, so a pair
-at 0.8 is missed once in two million, one at 0.9 never in practice; this is the only approximation. Each candidate link
-is checked on the full sets: nothing below 0.8 links.
+Documents with one set of shingles collapse to a node. Candidates come in two ways:
+
+* A node has a SimHash fingerprint, the majority bits of its shingles, which goes through the anchors of ``simhash``.
+  Every pair of fingerprints at ``LINK_BITS`` or fewer differing bits is a candidate, which is at most 2,080 pairs a
+  fingerprint. Fingerprints further apart often meet at an anchor too: each is a candidate with the nearest of the
+  centres (smallest fingerprints at an anchor) that it meets within ``NEAR_BITS``.
+* At a similarity of 0.8 fingerprints differ in about 10 of 64 bits, beyond any radius that anchors can cover. So a node
+  has ``BANDS`` keys for the rest, each a hash of ``ROWS`` MinHash values; nodes that share a key are candidates. Two sets
+  at similarity s share a key with probability 1 - (1 - s^6)^48, so a pair at 0.8 is missed once in two million, one at
+  0.9 never in practice; this is the only approximation.
+
+Each candidate link is checked on the full sets: nothing below 0.8 links. The links that anchors show come first; nodes
+that they join aren't compared again.
 
 Nodes that share a key with the same smallest node (its centre) form a group, so two nodes that share a key share a group.
-Components come in three steps, none of which enumerates a group's pairs:
+Components of the rest come in three steps, none of which enumerates a group's pairs:
 
-1. Each node is compared with its centres.
+1. Each node is compared with its centres, unless the anchors joined them.
 2. Groups that still hold several components get a reference set: what over half of a small sample of their nodes hold.
    Any reference gives right results, a close one gives short differences. Every node is replaced by its difference from
    the reference c: r shingles removed, a added. As |x & y| = |c| - r1 - r2 + (shared elements of the differences), a
@@ -18,22 +27,24 @@ Components come in three steps, none of which enumerates a group's pairs:
    their number of nodes in the group; the first d - T + 1 of d are enough). Nodes meet at such elements if their
    sizes and positions allow T shared ones, and then the differences are compared.
 
-Everything is exact, given the keys: no link between components is lost, nothing below 0.8 links.
+Everything is exact, given the keys: no link between components is lost.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import per_row, written
-from .simhash import components, kept_rows
+from .simhash import LINK_BITS, _signed, components, kept_rows, majority, placed
 
 WORDS, SEED = 5, 42
 #: Least similarity of a link, as a fraction of whole numbers.
 SIMILAR = (4, 5)
+#: Most differing bits of fingerprints that are compared because they met at an anchor.
+NEAR_BITS = 12
 BANDS, ROWS = 48, 6
 _RNG = np.random.Generator(np.random.PCG64(SEED))
 TIMES = _RNG.integers(0, 1 << 63, (BANDS * ROWS, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -72,16 +83,53 @@ def band_keys(h: np.ndarray) -> np.ndarray:
 
 
 def with_keys(docs: DataFrame) -> DataFrame:
-    """(doc_id, text) to (doc_id, h a hash of the text, node a hash of its set, n the set's size, keys)."""
+    """(doc_id, text) to (doc_id, h a hash of the text, node a hash of its set, n the set's size, fp its SimHash, keys)."""
     def make():
         def fn(ids, texts, h):
             sets = [shingles(t) for t in texts]
             node = [xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets]
             return (ids, h, np.array(node, dtype=np.uint64).view(np.int64), list(map(len, sets)),
-                    [band_keys(s) for s in sets])
+                    [_signed(majority(s)) for s in sets], [band_keys(s) for s in sets])
         return fn
     return per_row(docs.select("doc_id", "text", F.xxhash64("text").alias("h")),
-                   "doc_id bigint, h bigint, node bigint, n bigint, keys array<bigint>", make)
+                   "doc_id bigint, h bigint, node bigint, n bigint, fp bigint, keys array<bigint>", make)
+
+
+def nodes_of(docs: DataFrame) -> DataFrame:
+    """(node, n, fp, keys, stays) of the distinct sets, ``stays`` the row that represents a set."""
+    rows = written(with_keys(docs), "shingled")
+    row = F.struct(F.isnull("doc_id").alias("no_id"), "doc_id", "h")
+    return written(rows.groupBy("node").agg(F.min(row).alias("stays"), *[F.first(c).alias(c) for c in ("n", "fp", "keys")]),
+                   "nodes")
+
+
+def anchor_pairs(one: DataFrame) -> DataFrame:
+    """Nodes (node, n, fp) to candidate pairs (a, b) by the anchors of their fingerprints.
+
+    Nodes with one fingerprint are compared with the smallest of them, which stands for the fingerprint.
+    """
+    heads = written(one.groupBy("fp").agg(F.min(F.struct("node", "n")).alias("head")), "heads")
+    # Two fingerprints 2 bits apart have one between them, whose own anchor is within one more than the radius of both.
+    at = written(placed(heads.select("fp"), own=False, reach=LINK_BITS // 2), "anchors")
+    a = at.select("anchor", F.col("fp").alias("a"), F.min("fp").over(Window.partitionBy("anchor")).alias("centre"))
+    bits = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
+    limit = F.when(F.col("a") == F.col("centre"), NEAR_BITS).otherwise(LINK_BITS)
+    met = written(a.join(at.withColumnRenamed("fp", "b"), "anchor").where((F.col("a") < F.col("b")) & (bits <= limit))
+                  .select("a", "b", bits.alias("bits")).distinct(), "met")
+    near = met.groupBy("b").agg(F.min(F.struct("bits", "a")).alias("near")).select("near.a", "b")
+    pairs = met.where(F.col("bits") <= LINK_BITS).select("a", "b").unionByName(near).distinct()
+    ha, hb = [heads.select(F.col("fp").alias(k), F.col("head").alias(f"h{k}")) for k in "ab"]
+    between = pairs.join(ha, "a").join(hb, "b").select("ha", "hb")
+    within = one.join(heads, "fp").where("node <> head.node").select(
+        F.col("head").alias("ha"), F.struct("node", "n").alias("hb"))
+    return between.unionByName(within).where(near_sizes("ha.n", "hb.n")).select(
+        F.col("ha.node").alias("a"), F.col("hb.node").alias("b"))
+
+
+def near_sizes(x: str, y: str) -> Column:
+    """Whether sets of these sizes can reach ``SIMILAR``."""
+    top, of = SIMILAR
+    return (of * F.col(x) >= top * F.col(y)) & (of * F.col(y) >= top * F.col(x))
 
 
 def sets_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -179,29 +227,32 @@ def close_pairs(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def links(one: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Nodes (node, n, keys, stays) to links (a, b), and (node, root) of the nodes that links reach.
+    """Nodes (node, n, fp, keys, stays) to links (a, b), and (node, root) of the nodes that links reach.
 
     The links leave out those inside a component that others already hold together.
     """
-    top, of = SIMILAR
-
-    def near(x, y):
-        return (of * F.col(x) >= top * F.col(y)) & (of * F.col(y) >= top * F.col(x))
+    anchored = written(anchor_pairs(one), "anchored")
     bands = one.select("node", "n", F.explode("keys").alias("key"))
     shared = written(bands.groupBy("key").agg(F.min(F.struct("node", "n")).alias("first"), F.max("node").alias("last"))
                      .where("first.node < last")
                      .select("key", F.col("first.node").alias("least"), F.col("first.n").alias("least_n")), "shared-keys")
     members = written(bands.join(shared, "key").select("least", "least_n", "node", "n").distinct(), "members")
-    sets = written(sets_of(docs, one.join(members.select("node").distinct(), "node", "left_semi")), "sets")
-    stars = members.where((F.col("node") > F.col("least")) & near("n", "least_n")).select(
-        F.col("least").alias("a"), F.col("node").alias("b"))
-    first = written(similar(stars, sets), "links")
+    met = members.select("node").unionByName(anchored.select(F.explode(F.array("a", "b")).alias("node"))).distinct()
+    sets = written(sets_of(docs, one.join(met, "node", "left_semi")), "sets")
+    close = written(similar(anchored, sets), "links")
+    joined = components(close)
+    own, centres = [joined.select(F.col("node").alias(k), F.col("root").alias(f"{k}_root")) for k in ("node", "least")]
+    stars = (members.where((F.col("node") > F.col("least")) & near_sizes("n", "least_n"))
+             .join(own, "node", "left").join(centres, "least", "left")
+             .where(F.coalesce("node_root", "node") != F.coalesce("least_root", "least"))
+             .select(F.col("least").alias("a"), F.col("node").alias("b")))
+    first = written(close.unionByName(similar(stars, sets)), "links")
     root = components(first)
-    placed = written(members.join(root, "node", "left").select("least", "node", F.coalesce("root", "node").alias("root")),
+    rooted = written(members.join(root, "node", "left").select("least", "node", F.coalesce("root", "node").alias("root")),
                      "members")
     # A group of two is a centre and a node compared with it.
-    open_ = placed.groupBy("least").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("size"))
-    open_ = written(placed.join(open_.where("low < high AND size > 2").select("least"), "least", "left_semi"), "open")
+    open_ = rooted.groupBy("least").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("size"))
+    open_ = written(rooted.join(open_.where("low < high AND size > 2").select("least"), "least", "left_semi"), "open")
     rows = written(differences(open_, sets, references(open_, sets)), "differences")
     proven, shown = close_pairs(rows)
     more = written(proven.unionByName(shown).distinct(), "links")
@@ -215,10 +266,7 @@ def keep_first(docs: DataFrame) -> DataFrame:
     Texts without words are copies of one another. Of rows that repeat the kept doc_id and text one stays. All columns
     and their order stay; an empty table gives no rows.
     """
-    nodes = written(with_keys(docs), "shingled")
-    row = F.struct(F.isnull("doc_id").alias("no_id"), "doc_id", "h")
-    one = written(nodes.groupBy("node").agg(F.min(row).alias("stays"), F.first("n").alias("n"),
-                                            F.first("keys").alias("keys")), "nodes")
+    one = nodes_of(docs)
     _, root = links(one, docs)
     names = one.select("node", "stays").join(root, "node", "left").groupBy(F.coalesce("root", "node").alias("root"))
     return kept_rows(docs, names.agg(F.min("stays").alias("stays")))

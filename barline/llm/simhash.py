@@ -30,6 +30,15 @@ BLOCK_BITS, RADIUS = 23, 3
 GOLAY = 0b101011100011
 
 
+def majority(h: np.ndarray) -> int:
+    """The bits that over half of the hashes have set; 0 without hashes."""
+    h = h.astype("<u8", copy=False).view(np.uint8).reshape(-1, 8)
+    ones = np.zeros(64, dtype=np.int64)
+    for at in range(0, len(h), 4096):
+        ones += np.unpackbits(h[at:at + 4096], axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(ones * 2 > len(h), bitorder="little").view("<u8")[0])
+
+
 def fingerprint(text: str | None, words: int = WORDS, seed: int = SEED) -> int:
     """Majority bits of the XXH64 of word shingles of the text with A-Z in lower case; 0 without words."""
     w = (text or "").encode().lower().split()
@@ -37,11 +46,7 @@ def fingerprint(text: str | None, words: int = WORDS, seed: int = SEED) -> int:
         return 0
     shingles = map(b" ".join, zip(*[w[i:] for i in range(words)])) if len(w) >= words else [b" ".join(w)]
     digest = xxhash.xxh64_intdigest
-    h = np.array([digest(s, seed) for s in shingles], dtype="<u8").view(np.uint8).reshape(-1, 8)
-    ones = np.zeros(64, dtype=np.int64)
-    for at in range(0, len(h), 4096):
-        ones += np.unpackbits(h[at:at + 4096], axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > len(h), bitorder="little").view("<u8")[0])
+    return majority(np.array([digest(s, seed) for s in shingles], dtype="<u8"))
 
 
 def _signed(v: int) -> int:
@@ -78,8 +83,8 @@ def _golay() -> tuple[np.ndarray, np.ndarray]:
     return every, weight, start, syndrome
 
 
-def anchors(fp: int, own: bool = False) -> list[int]:
-    """Anchors within reach of a fingerprint, or only its own."""
+def anchors(fp: int, own: bool = False, reach: int = LINK_BITS) -> list[int]:
+    """Anchors within reach of a fingerprint (excesses over the radius of ``reach`` in all), or only its own."""
     every, weight, start, syndrome = _golay()
     near = []
     for shift in (0, BLOCK_BITS):
@@ -88,15 +93,15 @@ def anchors(fp: int, own: bool = False) -> list[int]:
         part = slice(start[s], start[s + 1])
         near.append((block ^ every[part], np.maximum(weight[part] - RADIUS, 0)))
     (a, ea), (b, eb) = near
-    fits = ea[:, None] + eb[None, :] <= (0 if own else LINK_BITS)
+    fits = ea[:, None] + eb[None, :] <= (0 if own else reach)
     return (a[:, None] | b[None, :] << BLOCK_BITS)[fits].tolist()
 
 
-def placed(fps: DataFrame, own: bool) -> DataFrame:
+def placed(fps: DataFrame, own: bool, reach: int = LINK_BITS) -> DataFrame:
     """(fp) to (anchor, fp): one row for the own anchor, or one for each anchor within reach."""
     def make():
         def fn(col):
-            rows = [(x, v) for v in col for x in anchors(v & (1 << 64) - 1, own)]
+            rows = [(x, v) for v in col for x in anchors(v & (1 << 64) - 1, own, reach)]
             return tuple(map(list, zip(*rows))) if rows else ([], [])
         return fn
     return per_row(fps.select("fp"), "anchor bigint, fp bigint", make)

@@ -2,7 +2,9 @@
 
 import random
 
-from barline.llm import neardup
+from pyspark.sql import functions as F
+
+from barline.llm import neardup, simhash
 
 
 def plain_set(text):
@@ -117,3 +119,65 @@ def test_reference_and_spread_change_nothing(spark, monkeypatch):
         monkeypatch.setattr(neardup, "REFERENCE", reference)
         monkeypatch.setattr(neardup, "SPREAD", spread)
         assert kept(neardup.keep_first(df)) == want
+
+
+def edited(rng):
+    """60 texts of 400 words, each with three copies that have 1 to 8 words replaced."""
+    pool = [f"w{i}" for i in range(5000)]
+    texts = []
+    for _ in range(60):
+        base = rng.choices(pool, k=400)
+        texts += [base] + [replaced(rng, base, rng.randint(1, 8)) for _ in range(3)]
+    return [(i, " ".join(t)) for i, t in enumerate(texts)]
+
+
+def test_anchors_give_the_candidates(spark):
+    """Every pair of fingerprints within 2 bits, and most within 6, are candidates; all are within the documented bits."""
+    rows = edited(random.Random(13))
+    one = neardup.nodes_of(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3))
+    fp = {r.node: r.fp & (1 << 64) - 1 for r in one.collect()}
+    sets = [neardup.shingles(t) for _, t in rows]
+    assert sorted(fp.values()) == sorted(simhash.majority(s) for s in sets)
+    got = {frozenset((r.a, r.b)) for r in neardup.anchor_pairs(one).collect()}
+    bits = {frozenset((a, b)): (fp[a] ^ fp[b]).bit_count() for a in fp for b in fp if a < b}
+    close = {p for p, d in bits.items() if d <= simhash.LINK_BITS}
+    assert len(close) >= 10 and close <= got
+    assert len(got - close) >= 30 and all(bits[p] <= neardup.NEAR_BITS for p in got)
+
+
+def test_anchors_link_before_the_keys(spark):
+    """Without any key, anchors alone join copies, and never below 0.8; with keys the result is that of brute force."""
+    rows = edited(random.Random(14))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    one = neardup.nodes_of(df)
+    _, root = neardup.links(one.withColumn("keys", F.array().cast("array<bigint>")), df)
+    stays = {r.node: r.stays.doc_id for r in one.collect()}
+    joined = [(stays[r.node], stays[r.root]) for r in root.collect()]
+    assert len({a for a, b in joined if a != b}) >= 60
+    assert all(a // 4 == b // 4 for a, b in joined)
+    assert kept(neardup.keep_first(df)) == plain_kept(rows)
+
+
+def test_one_fingerprint_many_texts(spark):
+    """Long texts that differ in one word share a fingerprint; each is compared and joined."""
+    rng = random.Random(15)
+    base = [f"w{rng.randint(0, 10 ** 6)}" for _ in range(20000)]
+    rows = [(i, " ".join(replaced(rng, base, 1 if i else 0))) for i in range(12)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    one = neardup.nodes_of(df)
+    assert one.count() == 12 and one.select("fp").distinct().count() < 12
+    assert neardup.anchor_pairs(one).select(F.explode(F.array("a", "b"))).distinct().count() == 12
+    assert kept(neardup.keep_first(df)) == plain_kept(rows)
+
+
+def test_fingerprints_two_bits_apart_share_an_anchor_at_half_the_reach():
+    rng = random.Random(16)
+    rows = 0
+    for _ in range(400):
+        a = b = rng.getrandbits(64)
+        for k in rng.sample(range(64), rng.randint(0, 2)):
+            b ^= 1 << k
+        near = set(simhash.anchors(a, reach=1))
+        rows += len(near)
+        assert near & set(simhash.anchors(b, reach=1))
+    assert rows < 400 * 16
