@@ -54,13 +54,14 @@ def wrapped(df: DataFrame, **derived) -> DataFrame:
 
 
 def per_row(df: DataFrame, schema: str, make: Callable[[], Callable], rows: int = 256, keep: int = 0,
-            field: str | None = None) -> DataFrame:
+            field: str | None = None, done: Callable[[], None] | None = None) -> DataFrame:
     """Apply a function of column lists to slices of at most ``rows`` rows of each Arrow batch.
 
     ``make`` runs once per task and returns ``fn(*columns) -> tuple of columns`` in the order of ``schema``. The slices
     bound what a task holds beside the batch itself when texts are very long. The first ``keep`` columns are handed on
     as they are, before those of ``schema``; ``fn`` then must return a value for each row. ``field`` names a field of the
-    first column, a struct, that ``fn`` gets first: a text inside a wrapped row needs no second copy beside it.
+    first column, a struct, that ``fn`` gets first: a text inside a wrapped row needs no second copy beside it. ``done``
+    runs at the end of a task, to let go of what the worker would keep.
     """
     from pyspark.sql import types as T
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -79,6 +80,8 @@ def per_row(df: DataFrame, schema: str, make: Callable[[], Callable], rows: int
                                                                                       *arrow.names])
                 del part, inner, out, new
             del batch  # else it stays while the next one is read
+        if done:
+            done()
         pa.default_memory_pool().release_unused()  # the worker is kept for other tasks
 
     return df.mapInArrow(run, T.StructType([*df.schema.fields[:keep], *made.fields]))

@@ -190,6 +190,11 @@ class Codec:
             text = "".join(units).replace(MARK, " ")
         return text[1:] if text.startswith(" ") else text
 
+    def forget(self) -> None:
+        """Lets go of all units, so that an idle worker holds the models only."""
+        self.cache = WordCache(self._encode_units)
+        self.changed, self.differing = {}, set()
+
     def decode(self, ids: list[array.array]) -> list[str]:
         """Any ids as texts."""
         return self.whole.decode_batch([x.tolist() for x in ids], skip_special_tokens=False)
@@ -214,7 +219,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
             return doc_ids, [x.tolist() for x in ids], list(map(len, ids)), agree, decoded
         return fn
     return per_row(docs.select("doc_id", "text"), "doc_id bigint, ids array<int>, n_tokens bigint, parity boolean, "
-                   "decoded string", make, rows=64)
+                   "decoded string", make, rows=64, done=lambda: codec(path).forget())
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:

@@ -135,6 +135,29 @@ PIECES = tokenizer_file("piece_bpe_32k.model")
 TEXTS = ["", " ", "  a", "a  b   c ", "\n", "\n\n x\ny", "a\n b", "日本語😀\x00x\x1c", "<s> </s> <unk> <0x41>", "\t\r\n", "é ́a", "\n a "]
 
 
+def test_codec_forgets_its_units():
+    c = pieces.codec(PIECES)
+    texts = ["some words of a text", "a  text\nof\twords"]
+    before = c.encode(texts)
+    assert len(c.cache) > 0
+    c.forget()
+    assert len(c.cache) == len(c.cache.older) == len(c.changed) == 0
+    assert c.encode(texts) == before
+
+
+def test_encode_forgets_units_at_the_end_of_a_task(spark):
+    """A worker that has run the stage holds no units; looked at by a task that follows in the same worker."""
+    docs = spark.createDataFrame([(1, "some words"), (2, "of a text")], "doc_id bigint, text string").coalesce(1)
+    assert pieces.encode(docs, PIECES).count() == 2
+
+    def held(batches):
+        import pyarrow as pa
+        for b in batches:
+            n = len(pieces.codec(PIECES).cache)
+            yield pa.RecordBatch.from_arrays([pa.array([n] * b.num_rows, pa.int64())], names=["n"])
+    assert {r.n for r in docs.mapInArrow(held, "n bigint").collect()} == {0}
+
+
 def test_pieces_match_sentencepiece(docs, rows, no_docs):
     c = pieces.codec(PIECES)
     texts = TEXTS + [r[1] or "" for r in rows]
