@@ -111,7 +111,8 @@ def links(fps: DataFrame) -> DataFrame:
     """Distinct fingerprints (fp) to all pairs (a, b), a < b, at ``LINK_BITS`` or fewer differing bits."""
     homes = placed(fps, own=True).select("anchor", F.col("fp").alias("a"))
     probes = placed(fps, own=False).select("anchor", F.col("fp").alias("b"))
-    return (homes.join(probes, "anchor")
+    # Spark takes the replicas for as few as the fingerprints, a 61st of what they are, and would broadcast them.
+    return (homes.join(probes.hint("merge"), "anchor")
             .where((F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= LINK_BITS) & (F.col("a") < F.col("b")))
             .select("a", "b"))
 

@@ -69,6 +69,15 @@ def test_components_match_brute_force(docs, rows, no_docs):
     assert simhash.keep_first(no_docs).count() == 0
 
 
+def test_no_side_of_the_anchor_join_is_broadcast(spark):
+    rng = random.Random(3)
+    fps = [simhash._signed(rng.getrandbits(64)) for _ in range(200)]
+    found = simhash.links(spark.createDataFrame([(f,) for f in fps + [fps[0] ^ 5]], "fp bigint"))
+    assert [{*r} for r in found.collect()] == [{fps[0], fps[0] ^ 5}]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_chains_join_in_one_component(spark):
     rng = random.Random(2)
     chain, x = [], rng.getrandbits(64)
