@@ -34,9 +34,9 @@ def garch_variance(df: DataFrame, keys: tuple[str, ...] = ("symbol",)) -> DataFr
     return linear_scan(df, {"sigma2": ("_drive", "beta")}, keys).drop("_drive")
 
 
-def garch_volatility(df: DataFrame) -> DataFrame:
+def garch_volatility(df: DataFrame, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
     """Conditional volatility in return units."""
-    return garch_variance(df).withColumn("sigma", F.sqrt(F.greatest("sigma2", F.lit(0.0))) / SCALE)
+    return garch_variance(df, keys).withColumn("sigma", F.sqrt(F.greatest("sigma2", F.lit(0.0))) / SCALE)
 
 
 def _best(rows: DataFrame, keys: list[str], cells: Column) -> DataFrame:
@@ -112,7 +112,7 @@ def garch_sigma(rows: DataFrame, keys: tuple[str, ...] = ("symbol",)) -> DataFra
     fit = fit_garch(rows.where("is_train"), tuple(keys), reach=1).select(
         *keys, "omega", "alpha", "beta", F.col("last_sigma2").alias("sigma2_0"))
     clean = rows.where("r IS NOT NULL").withColumns({"_at": F.col("pos"), "pos": F.row_number().over(w) - 1})
-    known = garch_volatility(clean.join(fit, keys)).select(*keys, F.col("_at").alias("pos"), "sigma")
+    known = garch_volatility(clean.join(fit, keys), tuple(keys)).select(*keys, F.col("_at").alias("pos"), "sigma")
     recent = w.rowsBetween(-20, 0)
     rolled = F.when(F.count("r").over(recent) >= 5, F.stddev_samp("r").over(recent))
     out = rows.withColumn("_rolled", rolled).join(known, [*keys, "pos"], "left").withColumn(

@@ -12,6 +12,10 @@ from ..functions.columns import normal_cdf, normal_quantile
 from ..schema import ANNUAL_BARS, EULER_GAMMA
 
 
+#: Returns nearer to 0 count as 0: the cube of their variance leaves double range, and Spark's skewness divides by it.
+LEAST_RETURN = 1e-30
+
+
 def expected_max_z(n_trials: int) -> float:
     """Expected maximum of n standard normal draws, as used for deflation."""
     if n_trials < 1:
@@ -33,8 +37,9 @@ def deflated_sharpe(rets: DataFrame, keys: Sequence[str], n_trials: int = 50, r:
 
 def moments_of(r: str = "ret") -> list[Column]:
     """The aggregates that ``deflated_of`` reads."""
-    return [F.count(r).alias("n_returns"), F.avg(r).alias("_m"), F.stddev_samp(r).alias("_s"),
-            F.skewness(r).alias("_g1"), F.kurtosis(r).alias("_g2")]
+    x = F.when(F.abs(r) < LEAST_RETURN, 0.0).otherwise(F.col(r))
+    return [F.count(r).alias("n_returns"), F.avg(x).alias("_m"), F.stddev_samp(x).alias("_s"),
+            F.skewness(x).alias("_g1"), F.kurtosis(x).alias("_g2")]
 
 
 def deflated_of(m: DataFrame, keys: Sequence[str], n_trials: int = 50) -> DataFrame:

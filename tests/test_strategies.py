@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from barline.functions.ranged import lag_by_range
 from barline.models import volatility as vol
+from barline.operators.stats import deflated_sharpe
 from barline.plans import strategies as st
 from barline.sources import publication as pub
 
@@ -49,6 +50,35 @@ def test_refined_garch_is_the_best_of_a_fine_grid_and_recovers_parameters(spark)
         assert a + b == pytest.approx(sum(known[s]), rel=0.05) and a == pytest.approx(known[s][0], abs=0.025)
 
 
+def test_paths_of_a_series_keep_their_own_variance(spark):
+    rng, parts = np.random.default_rng(4), []
+    for path, (alpha, beta) in enumerate([(0.05, 0.90), (0.20, 0.55), (0.10, 0.80)]):
+        r = simulated_garch(rng, 400, 0.04, alpha, beta)
+        parts.append(pd.DataFrame({"symbol": "A", "path_id": path, "pos": np.arange(400), "r": r, "is_train": np.arange(400) < 300}))
+    rows = spark.createDataFrame(pd.concat(parts)).repartition(3)
+    keys = ("symbol", "path_id")
+    got = vol.garch_sigma(rows, keys).toPandas()
+    fit = {f.path_id: f for f in vol.fit_garch(rows.where("is_train"), keys, reach=1).collect()}
+    assert len(got) == 1200 and len(fit) == 3
+    for path, part in enumerate(parts):
+        f, want = fit[path], []
+        s2 = f.last_sigma2
+        for x in 100 * part.r:
+            want.append(math.sqrt(s2) / 100)
+            s2 = f.omega + f.alpha * x * x + f.beta * s2
+        np.testing.assert_allclose(got[got.path_id == path].sort_values("pos").sigma, want, rtol=1e-6)
+
+
+def test_deflated_sharpe_of_returns_next_to_nothing(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(0.001, 0.01, 100)
+    parts = [pd.DataFrame({"symbol": f"{v:g}", "ret": x * v}) for v in (1.0, 1e-20, 1e-40, 1e-60, 1e-80, 1e-120)]
+    parts.append(pd.DataFrame({"symbol": "near", "ret": 1e-28 * (1 + np.arange(100) % 2 * 2e-16)}))
+    out = {r.symbol: (r.dsr_p_value, r.dsr_sharpe) for r in deflated_sharpe(spark.createDataFrame(pd.concat(parts)), ["symbol"]).collect()}
+    assert out["1e-20"] == pytest.approx(out["1"], rel=1e-9) and out["1"][1] > 0
+    assert out["near"][1] > 0 and all(out[k] == (0.0, 0.0) for k in ("1e-40", "1e-60", "1e-80", "1e-120"))
+
+
 def view_of(spark, n=900, seed=3):
     """Two series on two paths with a purged hole, as the fold view has them."""
     rng, rows = np.random.default_rng(seed), []
