@@ -305,7 +305,9 @@ def fitted(blocks: DataFrame, initial: DataFrame, kind: str, iterations: int = 2
     if not pooled:
         sizes = blocks.groupBy("model").count()
         small = sizes.where(F.col("count") <= LOCAL_BLOCKS).select("model")
-        done = stored(blocks.join(initial, "model").join(small, "model", "left_semi").groupBy("model").applyInArrow(
+        # Models are few bytes and long work: a number of parts that is named isn't merged by size into a few tasks.
+        parts = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        done = stored(blocks.join(initial, "model").join(small, "model", "left_semi").repartition(parts, "model").groupBy("model").applyInArrow(
             lambda t: _all_rounds(t, kind, iterations, tolerance), FITTED))
         large = sizes.where(F.col("count") > LOCAL_BLOCKS).select("model")
         if large.isEmpty():

@@ -9,6 +9,7 @@ purged rows are missing.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from threading import Lock
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -35,12 +36,14 @@ def _training(view: DataFrame, *columns: str) -> DataFrame:
 def once(probabilities: Probabilities) -> Probabilities:
     """The same for several strategies: fitted and written once for each view."""
     known: dict[int, tuple[DataFrame, DataFrame]] = {}
+    lock = Lock()
 
     def run(view: DataFrame) -> DataFrame:
-        if id(view) not in known:
-            known.clear()
-            known[id(view)] = view, stored(probabilities(view))
-        return known[id(view)][1]
+        with lock:
+            if id(view) not in known:
+                known.clear()
+                known[id(view)] = view, stored(probabilities(view))
+            return known[id(view)][1]
     return run
 
 

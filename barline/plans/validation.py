@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.util import inheritable_thread_target
 
 from ..functions.store import stored
 from ..operators import backtest as bt
@@ -70,6 +72,7 @@ A strategy may fit on each path's train rows; it returns positions for both role
 """
 
 CELL = ["symbol", "path_id", "role", "pos"]
+FITS_AT_ONCE = 3
 
 
 def row_strategy(position: Column) -> Strategy:
@@ -81,13 +84,17 @@ def panel_cells(frame: DataFrame, strategies: Mapping[str, Strategy], cost: Colu
                 **folds) -> DataFrame:
     """Net returns per (strategy, symbol, path, role, pos) of strategies that see the folds, after limits and costs.
 
-    The fold view is written once; every strategy and the limits read that table.
+    The fold view is written once; every strategy and the limits read that table. Strategies that fit run their jobs side by
+    side, ``FITS_AT_ONCE`` at a time: one's rounds are many short jobs that leave cores idle.
     """
     view = cpcv_split(frame, **folds)
     view = stored(bt.risk_limits(view) if risk else view.where("role IN ('train', 'test')"))
     inputs = view.drop("var_limit", "halted", "test_groups")
-    parts = [fn(inputs).select(*CELL, "position", F.lit(n).alias("strategy"), F.lit(i).alias("strategy_idx"))
-             for i, (n, fn) in enumerate(strategies.items())]
+    with ThreadPoolExecutor(FITS_AT_ONCE) as pool:
+        fits = [pool.submit(inheritable_thread_target(view.sparkSession)(fn), inputs) for fn in strategies.values()]
+        found = [fit.result() for fit in fits]
+    parts = [p.select(*CELL, "position", F.lit(n).alias("strategy"), F.lit(i).alias("strategy_idx"))
+             for i, (n, p) in enumerate(zip(strategies, found))]
     rows = parts[0]
     for p in parts[1:]:
         rows = rows.unionByName(p)

@@ -2,6 +2,8 @@
 
 import math
 import random
+import threading
+import time
 
 import numpy as np
 import pandas as pd
@@ -12,6 +14,7 @@ from barline.functions.ranged import lag_by_range
 from barline.models import volatility as vol
 from barline.operators.stats import deflated_sharpe
 from barline.plans import strategies as st
+from barline.plans import validation as val
 from barline.sources import publication as pub
 
 
@@ -123,6 +126,27 @@ def test_every_fitted_strategy_gives_one_position_per_row(spark):
     assert p.count() == len(want) and p.where("p_change < 0 OR p_change > 1").count() == 0 and p.select("p_change").distinct().count() > 10
 
 
+def test_strategies_run_side_by_side_and_share_a_fit(spark, monkeypatch):
+    rng, met, fits = np.random.default_rng(6), threading.Barrier(2, timeout=60), []
+    frame = spark.createDataFrame(pd.DataFrame({"symbol": "A", "pos": np.arange(60), "r": rng.normal(0, 0.01, 60), "horizon": 1}))
+    monkeypatch.setattr(st, "stored", lambda df: df)
+
+    def fit(view):
+        time.sleep(0.2)
+        fits.append(view)
+        return view
+    shared = st.once(fit)
+
+    def strategy(position):
+        def run(view):
+            met.wait()  # nobody comes if one strategy has to end before the next begins
+            return shared(view).select(*val.CELL, F.lit(position).alias("position"))
+        return run
+    cells = val.panel_cells(frame, {"b": strategy(0.5), "a": strategy(-0.5)}, risk=False, n_splits=3, n_test=1)
+    got = {tuple(r) for r in cells.select("strategy", "strategy_idx", "position").distinct().collect()}
+    assert len(fits) == 1 and got == {("b", 0, 0.5), ("a", 1, -0.5)}
+
+
 @pytest.mark.parametrize("stop", ["data", "manifest", "pointer", None])
 def test_publication_survives_a_stop_between_any_two_steps(spark, tmp_path, stop):
     path, schema = f"file://{tmp_path}/p", "symbol string, label int"
